@@ -153,6 +153,11 @@ def half_up(x: float | None, digits: int) -> float | None:
     return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
 
 
+def grouped_number(c: Column) -> Column:
+    """Thousands commas and one or two decimals, as short as the value allows."""
+    return F.regexp_replace(F.format_string("%,.2f", c), "0$", "")
+
+
 def longform(df: DataFrame, columns: list[str], key: str = "col", value: str = "val") -> DataFrame:
     """Wide one-type columns to (key, value) rows; meant for small aggregates."""
     pairs = [F.struct(F.lit(c).alias(key), col(c).alias(value)) for c in columns]

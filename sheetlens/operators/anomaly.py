@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import union_all
 from sheetlens.functions.quantiles import exact_quantiles
-from sheetlens.functions.values import col, field_type, numeric, numeric_frame
+from sheetlens.functions.values import col, field_type, grouped_number, numeric, numeric_frame
 from sheetlens.session import small_frame
 from sheetlens.sources.row_ids import ROW_ID
 
@@ -122,31 +122,23 @@ def iqr_records(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
     return union_all(parts).withColumn("severity", F.when(F.col("anomaly_score") >= 90, "High").otherwise("Medium"))
 
 
-def forest_records(flagged: DataFrame, columns: list[str]) -> DataFrame:
-    """The first flagged rows in row order; the reported column holds the largest raw value."""
-    first = flagged.orderBy(ROW_ID).limit(FOREST_RECORDS)
-    options = F.array(
-        *[
-            F.struct(F.coalesce(col(c), F.lit(0.0)).alias("v"), F.lit(-i).alias("pref"), F.lit(c).alias("column"))
-            for i, c in enumerate(columns)
-        ]
-    )
-    top = first.select(ROW_ID, F.array_max(options).alias("o"))
+def flagged_records(first: DataFrame) -> DataFrame:
+    """Records of the first rows a forest flagged; each names the column with its largest raw value."""
     # fixed value: the sentence that explains a record
     text = F.format_string(
-        "Multivariate outlier flagged across numerical attributes (%s = %s).", "o.column", F.col("o.v").cast("string")
+        "Multivariate outlier flagged across numerical attributes (%s = %s).", F.col("top_column"), grouped_number(F.col("top_value"))
     )
-    return top.select(
+    return first.select(
         F.lit(-1).alias("col_order"),
         F.concat(F.lit("anomaly_"), F.col(ROW_ID)).alias("id"),
         F.col(ROW_ID).alias("row_id"),
-        F.col("o.column").alias("column"),
-        F.col("o.v").alias("value"),
+        F.col("top_column").alias("column"),
+        F.col("top_value").alias("value"),
         F.lit(None).cast("string").alias("expected_range"),
         F.lit("Isolation Forest").alias("method"),
-        F.lit("High").alias("severity"),
         F.lit(FOREST_SCORE).alias("anomaly_score"),
         text.alias("explanation"),
+        F.lit("High").alias("severity"),
     )
 
 
