@@ -32,6 +32,8 @@ DATE_FORMATS = (
     ("MMMM d, yyyy", r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$"),
     ("yyyy-MM", r"^\d{4}-\d{2}$"),
 )
+ANY_DATE_SHAPE = "|".join(sorted({shape for _, shape in DATE_FORMATS}))
+LONGEST_DATE = 24
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FRACTION_TYPES = (T.FloatType, T.DoubleType)
@@ -132,6 +134,11 @@ def parsed_date(c: Column, fmt: str) -> Column:
     return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
 
 
+def date_shaped(c: Column) -> Column:
+    """Could the value be a date in any layout? One cheap test instead of a parse per layout."""
+    return (F.length(c) <= LONGEST_DATE) & c.rlike(ANY_DATE_SHAPE)
+
+
 def event_time(df: DataFrame, name: str, fmt: str | None = None) -> Column:
     """A date column as ``timestamp_ntz``, parsed when it is stored as text."""
     if is_time(field_type(df, name)):

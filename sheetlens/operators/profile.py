@@ -20,6 +20,7 @@ from sheetlens.functions.values import (
     DATE_FORMATS,
     col,
     comparable,
+    date_shaped,
     event_time,
     field_type,
     half_up,
@@ -107,25 +108,36 @@ def _first_pass(df: DataFrame, columns: list[str]) -> Row:
             aggs.append((F.min(value) < F.max(value)).alias(f"varies{i}"))
         if isinstance(t, T.StringType):
             aggs.append(F.avg(F.length(col(c))).alias(f"len{i}"))
-            for k, (fmt, _) in enumerate(DATE_FORMATS):
-                aggs.append(F.count(parsed_date(col(c), fmt)).alias(f"d{i}_{k}"))
+            aggs.append(F.count(F.when(date_shaped(col(c)), 1)).alias(f"shaped{i}"))
         elif not is_numeric(t) and not is_time(t) and not isinstance(t, T.BooleanType):
             aggs.append(F.avg(F.length(value.cast("string"))).alias(f"len{i}"))
     return df.agg(*aggs).first()
 
 
-def _best_format(row: Row, i: int, present: int) -> str | None:
-    hits = [row[f"d{i}_{k}"] for k in range(len(DATE_FORMATS))]
-    best = max(range(len(hits)), key=lambda k: (hits[k], -k))
-    return DATE_FORMATS[best][0] if present and hits[best] >= DATE_HIT_RATE * present else None
+def _date_formats(df: DataFrame, columns: list[str], present: list[int]) -> dict[str, str]:
+    """Best layout of each column of mostly date-shaped text, if it parses often enough."""
+    if not columns:
+        return {}
+    hits = df.agg(
+        *[F.count(parsed_date(col(c), fmt)).alias(f"d{i}_{k}") for i, c in enumerate(columns) for k, (fmt, _) in enumerate(DATE_FORMATS)]
+    ).first()
+    out = {}
+    for i, c in enumerate(columns):
+        best = max(range(len(DATE_FORMATS)), key=lambda k: (hits[f"d{i}_{k}"], -k))
+        if hits[f"d{i}_{best}"] >= DATE_HIT_RATE * present[i]:
+            out[c] = DATE_FORMATS[best][0]
+    return out
 
 
 def infer_types(df: DataFrame) -> TableTypes:
-    """Class of every column: one aggregate plus one job of distinct counts."""
+    """Class of every column: one aggregate, one job of distinct counts, one for date-shaped text."""
     columns = data_columns(df)
     row = _first_pass(df, columns)
     unique = distinct_counts(df, columns)
     out = TableTypes(row["rows"])
+    texts = [i for i, c in enumerate(columns) if isinstance(field_type(df, c), T.StringType)]
+    maybe = [i for i in texts if row[f"n{i}"] and row[f"shaped{i}"] >= DATE_HIT_RATE * row[f"n{i}"]]
+    formats = _date_formats(df, [columns[i] for i in maybe], [row[f"n{i}"] for i in maybe])
     for i, c in enumerate(columns):
         t = field_type(df, c)
         present, fmt = row[f"n{i}"], None
@@ -137,7 +149,7 @@ def infer_types(df: DataFrame) -> TableTypes:
         elif is_time(t):
             sem = "datetime"
         else:
-            fmt = _best_format(row, i, present) if isinstance(t, T.StringType) else None
+            fmt = formats.get(c)
             many = unique[c] > max(TEXT_MIN_UNIQUE, TEXT_UNIQUE_RATE * out.rows)
             if fmt:
                 sem = "datetime"
