@@ -1,23 +1,28 @@
 """Exact quantiles whose memory stays bounded however many values a column has.
 
-Up to ``DIRECT_LIMIT`` values the built-in ``percentile`` is used: its value map
-is at most that long. Beyond it, every wanted rank is bracketed by a sketch and the
-bracket is verified by counting, until at most ``DIRECT_LIMIT`` values are inside
-(or the bracket is one value). Each pass is one aggregate over all columns.
+A small column goes to the built-in ``percentile``, whose value map is then short. A large one is
+narrowed first: one histogram pass over all columns finds, for every wanted rank, the bin it falls
+in and the exact number of values before it. Bins that still hold too many values (heavy tails) are
+narrowed on by a sketch whose bracket is verified by counting. At the end each bracket holds at
+most ``PICK_LIMIT`` values, or copies of a single one, and the ranks are picked from those.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlens.functions.names import quoted
 from sheetlens.functions.values import col
 
-DIRECT_LIMIT = 1_000_000
+DIRECT_LIMIT = 50_000
+PICK_LIMIT = 500_000
+HISTOGRAM_BINS = 1024
 SKETCH_ACCURACY = 10_000
 
 
@@ -35,9 +40,12 @@ class _Bracket:
     def settled(self, limit: int) -> bool:
         return self.low == self.high or self.inside <= limit
 
-    def values(self):
+    def holds(self) -> Column:
         c = col(self.column)
-        return F.when((c >= F.lit(self.low)) & (c <= F.lit(self.high)), c)
+        return (c >= F.lit(self.low)) & (c <= F.lit(self.high))
+
+    def values(self) -> Column:
+        return F.when(self.holds(), col(self.column))
 
 
 def _narrow(df: DataFrame, open_: list[_Bracket]) -> None:
@@ -75,35 +83,64 @@ def _narrow(df: DataFrame, open_: list[_Bracket]) -> None:
             b.below += size
 
 
+def _histogram(df: DataFrame, columns: list[str], ends: dict[str, tuple[float, float]]) -> dict[str, list[tuple]]:
+    """Per column the filled bins in order, as (smallest value, largest value, count).
+
+    Rows are combined map-side, so the shuffle carries at most ``HISTOGRAM_BINS`` rows per column and task.
+    """
+    lows = F.array(*[F.lit(ends[c][0]) for c in columns])
+    widths = F.array(*[F.lit((ends[c][1] / HISTOGRAM_BINS - ends[c][0] / HISTOGRAM_BINS) or 1.0) for c in columns])
+    long = df.select(F.posexplode(F.array(*[col(c) for c in columns])).alias("c", "v")).where(F.col("v").isNotNull())
+    at = F.floor((F.col("v") - F.get(lows, F.col("c"))) / F.get(widths, F.col("c")))
+    bins = long.withColumn("b", at).groupBy("c", "b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    out: dict[str, list[tuple]] = {c: [] for c in columns}
+    for r in bins.collect():
+        out[columns[r["c"]]].append((r["lo"], r["hi"], r["n"]))
+    return {c: sorted(rows) for c, rows in out.items()}
+
+
+def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
+    """Values at the ranks of settled brackets, from the few rows inside them."""
+    inside = df.where(reduce(or_, [b.holds() for b in brackets]))
+    picks = [
+        F.expr(
+            f"percentile_disc({(b.rank - b.below + 0.5) / b.inside!r}D) WITHIN GROUP (ORDER BY "
+            f"CASE WHEN {quoted(b.column)} >= {b.low!r}D AND {quoted(b.column)} <= {b.high!r}D "
+            f"THEN {quoted(b.column)} END)"
+        ).alias(f"p{i}")
+        for i, b in enumerate(brackets)
+    ]
+    row = inside.agg(*picks).first()
+    return {(b.column, b.rank): float(row[i]) for i, b in enumerate(brackets)}
+
+
 def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, set[int]]], limit: int) -> dict:
+    """Values at 0-based ranks; ``wanted`` maps a column to (number of values, ranks)."""
     columns = list(wanted)
-    ends = df.agg(
+    row = df.agg(
         *[F.min(col(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(col(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
-    brackets = [
-        _Bracket(c, r, float(ends[f"lo{i}"]), float(ends[f"hi{i}"]), 0, wanted[c][0])
-        for i, c in enumerate(columns)
-        for r in sorted(wanted[c][1])
-    ]
+    bins = _histogram(df, columns, {c: (float(row[f"lo{i}"]), float(row[f"hi{i}"])) for i, c in enumerate(columns)})
+    brackets = []
+    for c in columns:
+        for rank in sorted(wanted[c][1]):
+            below = 0
+            for low, high, size in bins[c]:
+                if rank < below + size:
+                    brackets.append(_Bracket(c, rank, float(low), float(high), below, size))
+                    break
+                below += size
     while open_ := [b for b in brackets if not b.settled(limit)]:
         _narrow(df, open_)
     out = {(b.column, b.rank): b.low for b in brackets if b.low == b.high}
-    rest = [b for b in brackets if b.low != b.high]
-    # one aggregate per few brackets, so that the value maps of one job stay bounded
-    for start in range(0, len(rest), 4):
-        part = rest[start : start + 4]
-        picks = [
-            F.expr(
-                f"percentile_disc({(b.rank - b.below + 0.5) / b.inside!r}D) WITHIN GROUP (ORDER BY "
-                f"CASE WHEN {quoted(b.column)} >= {b.low!r}D AND {quoted(b.column)} <= {b.high!r}D "
-                f"THEN {quoted(b.column)} END)"
-            ).alias(f"p{i}")
-            for i, b in enumerate(part)
-        ]
-        row = df.agg(*picks).first()
-        out.update({(b.column, b.rank): float(row[i]) for i, b in enumerate(part)})
-    return out
+    batch: list[_Bracket] = []
+    for b in [b for b in brackets if b.low != b.high]:
+        if batch and sum(x.inside for x in batch) + b.inside > 2 * limit:
+            out |= _pick(df, batch)
+            batch = []
+        batch.append(b)
+    return out | (_pick(df, batch) if batch else {})
 
 
 def exact_quantiles(
@@ -111,7 +148,8 @@ def exact_quantiles(
     columns: list[str],
     probs: list[float],
     counts: dict[str, int] | None = None,
-    limit: int = DIRECT_LIMIT,
+    direct: int = DIRECT_LIMIT,
+    pick: int = PICK_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of double columns, NULLs left out."""
     if not columns:
@@ -121,20 +159,18 @@ def exact_quantiles(
         counts = {c: row[i] for i, c in enumerate(columns)}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if counts[c] == 0}
     filled = [c for c in columns if counts[c] > 0]
-    small = [c for c in filled if counts[c] <= limit]
-    per_job = max(1, limit // max([counts[c] for c in small], default=1))
-    for start in range(0, len(small), max(per_job, 8)):
-        part = small[start : start + max(per_job, 8)]
-        wanted = [F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(part)]
+    small = [c for c in filled if counts[c] <= direct]
+    if small:
+        wanted = [F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(small)]
         row = df.agg(*wanted).first()
-        out.update({c: [float(v) for v in row[i]] for i, c in enumerate(part)})
-    large = [c for c in filled if counts[c] > limit]
+        out.update({c: [float(v) for v in row[i]] for i, c in enumerate(small)})
+    large = [c for c in filled if counts[c] > direct]
     if large:
         ranks = {}
         for c in large:
             spots = [(counts[c] - 1) * p for p in probs]
             ranks[c] = (counts[c], {math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
-        found = _order_statistics(df, ranks, limit)
+        found = _order_statistics(df, ranks, pick)
         for c in large:
             result = []
             for p in probs:
@@ -145,7 +181,7 @@ def exact_quantiles(
     return out
 
 
-def exact_ranks(df: DataFrame, column: str, n: int, ranks: list[int], limit: int = DIRECT_LIMIT) -> list[float]:
+def exact_ranks(df: DataFrame, column: str, n: int, ranks: list[int], pick: int = PICK_LIMIT) -> list[float]:
     """Values at 0-based ranks of one column with ``n`` values, by the same bracketing."""
-    found = _order_statistics(df, {column: (n, set(ranks))}, limit)
+    found = _order_statistics(df, {column: (n, set(ranks))}, pick)
     return [found[(column, r)] for r in ranks]

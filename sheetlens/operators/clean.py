@@ -239,18 +239,18 @@ def count_outliers(df: DataFrame, columns: list[str]) -> int:
 def clean(df: DataFrame, types: TableTypes | None = None) -> tuple[DataFrame, CleanReport]:
     """Cleaned table (with ``_row_id`` of the kept rows) and its report."""
     df = with_row_id(df)
-    types = types or infer_types(df)
+    types = types or infer_types(df, "needed")
     report = CleanReport(rows_before=types.rows, missing_values_before=types.missing_total, columns=len(types.columns))
 
     df, fixed = coerce_numbers(df, types)
     report.columns_format_fixed = {c: FIXED_NOTE for c in fixed}
     if fixed:
-        changed = {c.name: c for c in infer_types(df.select(*[col(c) for c in fixed])).columns}
+        changed = {c.name: c for c in infer_types(df.select(*[col(c) for c in fixed]), "needed").columns}
         types = TableTypes(types.rows, [changed.get(c.name, c) for c in types.columns])
     df, report.columns_text_normalized = normalise_text(df, types)
 
     df = stage(drop_duplicates(df), "distinct")
-    types = infer_types(df)
+    types = infer_types(df, "needed")
     filled, report.missing_values_left = fill_values(df, types)
     report.missing_values_filled = {c: {k: v for k, v in f.items() if k != "value"} for c, f in filled.items()}
     if filled:

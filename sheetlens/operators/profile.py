@@ -129,35 +129,47 @@ def _date_formats(df: DataFrame, columns: list[str], present: list[int]) -> dict
     return out
 
 
-def infer_types(df: DataFrame) -> TableTypes:
-    """Class of every column: one aggregate, one job of distinct counts, one for date-shaped text."""
+def infer_types(df: DataFrame, unique: str = "labels") -> TableTypes:
+    """Class of every column: one aggregate, one job of distinct counts, one for date-shaped text.
+
+    ``unique`` says which distinct counts are wanted: "all" columns, "labels" (every column that is not a
+    plain number or a date), or "needed" (only those a class depends on). Others are reported as -1.
+    """
     columns = data_columns(df)
+    kinds = {c: field_type(df, c) for c in columns}
     row = _first_pass(df, columns)
-    unique = distinct_counts(df, columns)
     out = TableTypes(row["rows"])
-    texts = [i for i, c in enumerate(columns) if isinstance(field_type(df, c), T.StringType)]
+    texts = [i for i, c in enumerate(columns) if isinstance(kinds[c], T.StringType)]
     maybe = [i for i in texts if row[f"n{i}"] and row[f"shaped{i}"] >= DATE_HIT_RATE * row[f"n{i}"]]
     formats = _date_formats(df, [columns[i] for i in maybe], [row[f"n{i}"] for i in maybe])
+
+    def counted(i: int, c: str) -> bool:
+        if unique == "all":
+            return True
+        plain = is_numeric(kinds[c]) or is_time(kinds[c]) or isinstance(kinds[c], T.BooleanType)
+        if is_id_name(c) and not is_time(kinds[c]) and c not in formats:
+            return True
+        return not plain and c not in formats and (unique == "labels" or (row[f"len{i}"] or 0) > TEXT_MIN_LENGTH)
+
+    seen = distinct_counts(df, [c for i, c in enumerate(columns) if counted(i, c)])
     for i, c in enumerate(columns):
-        t = field_type(df, c)
-        present, fmt = row[f"n{i}"], None
-        identifier = is_id_name(c) and unique[c] >= ID_UNIQUE_RATE * out.rows
+        t, n = kinds[c], seen.get(c, -1)
+        present, fmt = row[f"n{i}"], formats.get(c)
+        identifier = is_id_name(c) and n >= ID_UNIQUE_RATE * out.rows
         if isinstance(t, T.BooleanType):
             sem = "boolean"
         elif is_numeric(t):
             sem = "id" if identifier else ("numerical" if row[f"varies{i}"] else "categorical")
-        elif is_time(t):
+        elif is_time(t) or fmt:
             sem = "datetime"
+        elif identifier:
+            sem = "id"
         else:
-            fmt = formats.get(c)
-            many = unique[c] > max(TEXT_MIN_UNIQUE, TEXT_UNIQUE_RATE * out.rows)
-            if fmt:
-                sem = "datetime"
-            elif identifier:
-                sem = "id"
-            else:
-                sem = "text" if many and (row[f"len{i}"] or 0) > TEXT_MIN_LENGTH else "categorical"
-        out.columns.append(ColumnType(c, sem, t.simpleString(), present, out.rows - present, unique[c], fmt))
+            many = n > max(TEXT_MIN_UNIQUE, TEXT_UNIQUE_RATE * out.rows)
+            sem = "text" if many and (row[f"len{i}"] or 0) > TEXT_MIN_LENGTH else "categorical"
+        if sem == "categorical" and n < 0 and is_numeric(t):
+            n = int(present > 0)
+        out.columns.append(ColumnType(c, sem, t.simpleString(), present, out.rows - present, n, fmt))
     return out
 
 
@@ -169,7 +181,7 @@ COLUMN_SCHEMA = (
 
 def column_types(df: DataFrame, types: TableTypes | None = None) -> DataFrame:
     """One row per column: class, missing values, distinct values."""
-    types = types or infer_types(df)
+    types = types or infer_types(df, "all")
     rows = [
         {
             "col_order": i,

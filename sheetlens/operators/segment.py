@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.functions.values import col, numeric_frame
+from sheetlens.session import run_together
 
 # Limits, seed and segment names.
 MIN_COLUMNS, MIN_ROWS = 2, 15
@@ -50,15 +51,17 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
     # k-means passes over the features many times; they are cached, and recomputed if an executor goes
     features = scaler.transform(vectors).drop("raw").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        best_model, best = None, -2.0
         evaluator = ClusteringEvaluator(featuresCol="features")
-        for k in candidate_ks(n):
+
+        def attempt(k: int):
             model = KMeans(k=k, seed=SEED, featuresCol="features").fit(features)
-            if model.summary.k < 2 or min(model.summary.clusterSizes[:2]) == 0:
-                continue
-            value = evaluator.evaluate(model.transform(features))
-            if value > best:
-                best_model, best = model, value
+            if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+                return None, -2.0
+            return model, evaluator.evaluate(model.transform(features))
+
+        features.count()
+        tried = run_together({str(k): (lambda k=k: attempt(k)) for k in candidate_ks(n)})
+        best_model, best = max(tried.values(), key=lambda t: t[1])
         if best_model is None:
             return None, None, "Clustering encountered an error: all records are alike."
         sums = (

@@ -16,6 +16,7 @@ from sheetlens.operators import anomaly, charts, iforest, insight, kpi, recommen
 from sheetlens.operators.ask import possible_answers, question_frame, suggested_questions
 from sheetlens.operators.domain import classify_domain, domain_scores
 from sheetlens.operators.profile import TableTypes, column_types, infer_types
+from sheetlens.session import run_together
 from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 
@@ -53,42 +54,60 @@ def analyse(df: DataFrame, types: TableTypes | None = None, forest: bool = True,
     """Correlations, anomalies, trends, segments and leaders of a table with row ids."""
     df = with_row_id(df)
     types = types or infer_types(df)
-    out = Analysis(types)
-    nums = types.numerical
+    out, nums = Analysis(types), types.numerical
+    tasks = {}
+    if nums:
+        tasks["outliers"] = lambda: _univariate(df, nums)
+        if types.date_column:
+            tasks["months"] = lambda: _monthly(df, types)
+        if types.categorical:
+            tasks["leaders"] = lambda: settle(charts.leader(df, types.categorical[0], nums[0]))
+        if forest:
+            tasks["forest"] = lambda: iforest.isolation_forest(df, nums)
     if len(nums) >= 2:
-        out.pairs = settle(stats.correlations(df, nums))
+        tasks["pairs"] = lambda: settle(stats.correlations(df, nums))
+    if segments:
+        tasks["segments"] = lambda: segment.segments(df, nums)
+    done = run_together(tasks)
+
+    out.pairs, out.leaders = done.get("pairs"), done.get("leaders")
+    if out.pairs is not None:
         out.significant = settle(stats.significant_pairs(out.pairs))
+    if "months" in done:
+        out.periods, out.trends = done["months"]
     if nums:
-        bounds = anomaly.outlier_bounds(df, nums)
-        out.outliers = settle(anomaly.univariate_outliers(df, bounds))
-        records = anomaly.iqr_records(df, bounds)
-        scored = iforest.isolation_forest(df, nums) if forest else None
-        flagged = None
+        out.outliers, records = done["outliers"]
+        scored, flagged = done.get("forest"), None
+        first = None
         if scored is not None:
             out.forest = settle(iforest.summary(scored))
             flagged = scored.where("is_outlier")
-            first = flagged.orderBy(ROW_ID).limit(anomaly.FOREST_RECORDS)
-            records = anomaly.merge_records(anomaly.flagged_records(first), records)
-        else:
-            records = anomaly.merge_records(None, records)
-        out.records = settle(anomaly.with_row_index(settle(records), df))
+            first = anomaly.flagged_records(flagged.orderBy(ROW_ID).limit(anomaly.FOREST_RECORDS))
+        merged = settle(anomaly.merge_records(first, records))
+        out.records = settle(anomaly.with_row_index(merged, df))
         out.total_anomalies = anomaly.total_anomalies(flagged, out.records).first()[0]
-        if types.date_column:
-            monthly = settle(series.monthly_sums(df, types.time(df), nums))
-            counts = {c: types.get(c).present for c in nums}
-            out.periods = settle(series.period_anomalies(monthly, counts))
-            out.trends = settle(series.trends(monthly))
-        if segments:
-            profile, score, out.segment_reason = segment.segments(df, nums)
-            if profile is not None:
-                out.segments = settle(profile)
-                head = out.segments.agg(F.count("*").alias("n_clusters"))
-                out.segment_head = settle(head.withColumn("silhouette_score", F.round(F.lit(score), 3)))
-        if types.categorical:
-            out.leaders = settle(charts.leader(df, types.categorical[0], nums[0]))
+    if segments:
+        profile, score, out.segment_reason = done["segments"]
+        if profile is not None:
+            out.segments = settle(profile)
+            head = out.segments.agg(F.count("*").alias("n_clusters"))
+            out.segment_head = settle(head.withColumn("silhouette_score", F.round(F.lit(score), 3)))
     return out
 
 
+def _univariate(df: DataFrame, nums: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Outlier counts and the first outliers per column."""
+    bounds = anomaly.outlier_bounds(df, nums)
+    return settle(anomaly.univariate_outliers(df, bounds)), settle(anomaly.iqr_records(df, bounds))
+
+
+def _monthly(df: DataFrame, types: TableTypes) -> tuple[DataFrame, DataFrame]:
+    """Period changes and trends, both from one table of month sums (a row per month and column)."""
+    monthly = settle(series.monthly_sums(df, types.time(df), types.numerical))
+    counts = {c: types.get(c).present for c in types.numerical}
+    return settle(series.period_anomalies(monthly, counts)), settle(series.trends(monthly))
+
+
 def headline(df: DataFrame, a: Analysis, domain_name: str, quality_score: float) -> DataFrame:
     """The one row of facts the executive summary is written from."""
     spark = df.sparkSession
@@ -160,25 +179,29 @@ def dashboard(df: DataFrame, dataset_id: str, quality_score: float | None = None
     related = a.significant is not None and not a.significant.isEmpty()
     specs = recommend.recommend(types, recommend.best_pair(a.significant) if related else None)
     summary = insight.executive_summary(headline(df, a, domain["domain_name"], quality))
-    sections: list[tuple[str, DataFrame, list]] = [
-        ("columns", column_types(df, types), ["col_order"]),
-        ("summary", summary, []),
-        ("kpis", kpi.kpis(df, types, quality), ["position"]),
-        ("filters", kpi.filter_catalogue(df, types), ["filter_order"]),
-        ("charts", recommend.spec_frame(spark, specs), ["chart_order"]),
-        ("suggested_questions", question_frame(spark, suggested_questions(types, a.total_anomalies, related)), ["position"]),
-    ]
+    sections = {
+        "columns": (lambda: column_types(df), ["col_order"]),
+        "summary": (lambda: summary, []),
+        "kpis": (lambda: kpi.kpis(df, types, quality), ["position"]),
+        "filters": (lambda: kpi.filter_catalogue(df, types), ["filter_order"]),
+        "charts": (lambda: recommend.spec_frame(spark, specs), ["chart_order"]),
+        "suggested_questions": (
+            lambda: question_frame(spark, suggested_questions(types, a.total_anomalies, related)),
+            ["position"],
+        ),
+    }
     if a.has_facts():
-        sections.append(("insights", insight.prioritise(insight.insight_cards(a.facts())), []))
+        sections["insights"] = (lambda: insight.prioritise(insight.insight_cards(a.facts())), [])
     if a.pairs is not None:
-        sections.append(("what_if_drivers", stats.what_if_options(a.pairs), []))
+        sections["what_if_drivers"] = (lambda: stats.what_if_options(a.pairs), [])
     if a.records is not None:
-        sections.append(("detailed_anomalies", a.records, ["record"]))
+        sections["detailed_anomalies"] = (lambda: a.records, ["record"])
     if a.segments is not None:
-        sections.append(("clusters", a.segments, ["cluster"]))
-    rows = [("title", f'"{domain["domain_name"]} Dashboard"'), ("domain", _as_json(spark.createDataFrame([domain]), []))]
-    rows += [(name, _as_json(part, order)) for name, part, order in sections]
+        sections["clusters"] = (lambda: a.segments, ["cluster"])
     for i, s in enumerate(specs):
-        rows.append((f"chart_{i + 1}_{s.kind}", _as_json(recommend.chart_data(df, s, types, a.pairs))))
+        sections[f"chart_{i + 1}_{s.kind}"] = (lambda s=s: recommend.chart_data(df, s, types, a.pairs), [])
+    contents = run_together({k: (lambda make=make, order=order: _as_json(make(), order)) for k, (make, order) in sections.items()})
+    rows = [("title", f'"{domain["domain_name"]} Dashboard"'), ("domain", _as_json(spark.createDataFrame([domain]), []))]
+    rows += list(contents.items())
     data = [(dataset_id, i, name, content) for i, (name, content) in enumerate(rows)]
     return spark.createDataFrame(data, "dataset_id string, position int, section string, content string")

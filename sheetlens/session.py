@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -72,6 +75,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_together(tasks: dict[str, Callable[[], Any]]) -> dict[str, Any]:
+    """Submit independent jobs at once, so that short stages of one fill the cores another leaves idle."""
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(task)) for name, task in tasks.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 def small_frame(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """DataFrame of a few driver-side rows (column profiles, bounds, k-row reports)."""
     schema = StructType.fromDDL(ddl)
