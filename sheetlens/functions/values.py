@@ -92,7 +92,7 @@ def numeric_frame(df: DataFrame, columns: list[str], keep: list[str] | None = No
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
 
 
 def bare_number(c: Column) -> Column:
@@ -100,17 +100,21 @@ def bare_number(c: Column) -> Column:
     return F.translate(strip(c), CURRENCY_SYMBOLS + ",", "")
 
 
-def is_percent(c: Column) -> Column:
-    return F.endswith(bare_number(c), F.lit("%"))
+def bare_is_percent(bare: Column) -> Column:
+    return F.endswith(bare, F.lit("%"))
 
 
-def looks_numeric(c: Column) -> Column:
-    return F.regexp_replace(bare_number(c), "%+$", "").rlike(NUMBER_PATTERN)
+def bare_looks_numeric(bare: Column) -> Column:
+    return F.rtrim(bare, F.lit("%")).rlike(NUMBER_PATTERN)
+
+
+def bare_value(bare: Column) -> Column:
+    return F.nullif(F.translate(bare, "%", "").try_cast("double"), F.lit(float("nan")))
 
 
 def number_from_text(c: Column, percent: bool) -> Column:
     """Numeric value of formatted text; a percent column is scaled as a whole."""
-    value = F.nullif(F.translate(bare_number(c), "%", "").try_cast("double"), F.lit(float("nan")))
+    value = bare_value(bare_number(c))
     return value / F.lit(100.0) if percent else value
 
 
@@ -118,14 +122,14 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"\s+", " ")
 
 
-def looks_like_word(c: Column) -> Column:
-    return collapse_spaces(c).rlike(WORD_PATTERN)
+def looks_like_word(tidy: Column) -> Column:
+    return tidy.rlike(WORD_PATTERN)
 
 
-def title_case(c: Column) -> Column:
+def title_case(tidy: Column) -> Column:
     """Upper-case first letters after blanks and hyphens alike."""
-    pieces = F.split(collapse_spaces(c), "(?<=-)")
-    return F.array_join(F.transform(pieces, F.initcap), "")
+    hyphened = F.array_join(F.transform(F.split(tidy, "(?<=-)"), F.initcap), "")
+    return F.when(F.contains(tidy, F.lit("-")), hyphened).otherwise(F.initcap(tidy))
 
 
 def parsed_date(c: Column, fmt: str) -> Column:

@@ -14,23 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetlens.functions.counts import modes
+from sheetlens.functions.names import is_id_name
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import (
     FRACTION_TYPES,
+    bare_is_percent,
+    bare_looks_numeric,
+    bare_number,
+    bare_value,
     col,
     collapse_spaces,
     comparable,
     field_type,
     half_up,
-    is_percent,
     looks_like_word,
-    looks_numeric,
     number_from_text,
     numeric_frame,
     title_case,
 )
 from sheetlens.operators.anomaly import outlier_bounds
-from sheetlens.operators.profile import TableTypes, infer_types
+from sheetlens.operators.profile import ColumnType, TableTypes, infer_types
 from sheetlens.session import small_frame, stage
 from sheetlens.sources.row_ids import ROW_ID, data_columns, with_row_id
 
@@ -130,28 +133,58 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
 
 
-def coerce_numbers(df: DataFrame, types: TableTypes) -> tuple[DataFrame, list[str]]:
-    """Turn text columns that are numbers in disguise into doubles.
+def _number_aggs(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """Per text column: number-like values, percents, convertible values, and whether those vary.
 
-    One "%" anywhere in a column divides the whole column by 100.
+    The bare text is a derived column, so that it is computed once per value.
     """
-    candidates = _text_columns(df, types, ("categorical", "text"))
-    if not candidates:
-        return df, []
-    aggs = []
-    for i, c in enumerate(candidates):
-        aggs += [
-            F.count(col(c)).alias(f"n{i}"),
-            F.count(F.when(looks_numeric(col(c)), 1)).alias(f"h{i}"),
-            F.count(F.when(is_percent(col(c)), 1)).alias(f"p{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    new = {
-        c: number_from_text(col(c), row[f"p{i}"] > 0)
-        for i, c in enumerate(candidates)
-        if row[f"n{i}"] and row[f"h{i}"] >= NUMERIC_HIT_RATE * row[f"n{i}"]
-    }
-    return (_replace(df, new) if new else df), list(new)
+    aggs, derived = [], []
+    for c in data_columns(df):
+        if isinstance(field_type(df, c), T.StringType):
+            derived += [bare_number(col(c)).alias(f"bare:{c}"), bare_value(bare_number(col(c))).alias(f"value:{c}")]
+            bare, value = col(f"bare:{c}"), col(f"value:{c}")
+            aggs += [
+                F.count(F.when(bare_looks_numeric(bare), 1)).alias(f"hits:{c}"),
+                F.count(F.when(bare_is_percent(bare), 1)).alias(f"percents:{c}"),
+                F.count(value).alias(f"numbers:{c}"),
+                (F.min(value) < F.max(value)).alias(f"varies:{c}"),
+            ]
+    return aggs, derived
+
+
+def typed_for_cleaning(df: DataFrame) -> TableTypes:
+    """Column classes, with what number coercion needs to know from the same scan."""
+    return infer_types(df, "needed", _number_aggs(df))
+
+
+def coerce_numbers(df: DataFrame, types: TableTypes) -> tuple[DataFrame, TableTypes, list[str]]:
+    """Turn text columns that are numbers in disguise into doubles, and adapt their classes.
+
+    One "%" anywhere in a column divides the whole column by 100. ``types`` comes from
+    ``typed_for_cleaning``.
+    """
+    seen, new, columns = types.extra, {}, []
+    for c in types.columns:
+        candidate = c.sem_type in ("categorical", "text") and isinstance(field_type(df, c.name), T.StringType)
+        if not candidate or not c.present or seen[f"hits:{c.name}"] < NUMERIC_HIT_RATE * c.present:
+            columns.append(c)
+            continue
+        new[c.name] = number_from_text(col(c.name), seen[f"percents:{c.name}"] > 0)
+        present = seen[f"numbers:{c.name}"]
+        sem = "numerical" if seen[f"varies:{c.name}"] else "categorical"
+        columns.append(ColumnType(c.name, sem, "double", present, types.rows - present, c.unique))
+    if not new:
+        return df, types, []
+    df = _replace(df, new)
+    named_ids = [c for c in new if is_id_name(c)]
+    if named_ids:
+        again = {c.name: c for c in infer_types(df.select(*[col(c) for c in named_ids]), "needed").columns}
+        columns = [again.get(c.name, c) for c in columns]
+    return df, TableTypes(types.rows, columns), list(new)
+
+
+def _titled(tidy: Column) -> Column:
+    return F.when(looks_like_word(tidy), title_case(tidy)).otherwise(tidy)
 
 
 def normalise_text(df: DataFrame, types: TableTypes) -> tuple[DataFrame, list[str]]:
@@ -159,24 +192,24 @@ def normalise_text(df: DataFrame, types: TableTypes) -> tuple[DataFrame, list[st
     candidates = _text_columns(df, types, ("categorical",))
     if not candidates:
         return df, []
-
-    def titled(c: str) -> Column:
-        return F.when(looks_like_word(col(c)), title_case(col(c))).otherwise(collapse_spaces(col(c)))
-
+    tidied = df.select(
+        *[col(c) for c in candidates], *[collapse_spaces(col(c)).alias(f"tidy:{c}") for c in candidates]
+    )
     aggs = []
     for i, c in enumerate(candidates):
+        tidy = col(f"tidy:{c}")
         aggs += [
             F.count(col(c)).alias(f"n{i}"),
-            F.count(F.when(looks_like_word(col(c)), 1)).alias(f"w{i}"),
-            F.count(F.when(collapse_spaces(col(c)) != col(c), 1)).alias(f"s{i}"),
-            F.count(F.when(titled(c) != col(c), 1)).alias(f"t{i}"),
+            F.count(F.when(looks_like_word(tidy), 1)).alias(f"w{i}"),
+            F.count(F.when(tidy != col(c), 1)).alias(f"s{i}"),
+            F.count(F.when(_titled(tidy) != col(c), 1)).alias(f"t{i}"),
         ]
-    row = df.agg(*aggs).first()
+    row = tidied.agg(*aggs).first()
     new = {}
     for i, c in enumerate(candidates):
         wordy = row[f"w{i}"] > WORD_RATE * row[f"n{i}"]
         if row[f"t{i}"] if wordy else row[f"s{i}"]:
-            new[c] = titled(c) if wordy else collapse_spaces(col(c))
+            new[c] = _titled(collapse_spaces(col(c))) if wordy else collapse_spaces(col(c))
     return (_replace(df, new) if new else df), list(new)
 
 
@@ -236,17 +269,14 @@ def count_outliers(df: DataFrame, columns: list[str]) -> int:
     return sum(row)
 
 
-def clean(df: DataFrame, types: TableTypes | None = None) -> tuple[DataFrame, CleanReport]:
+def clean(df: DataFrame) -> tuple[DataFrame, CleanReport]:
     """Cleaned table (with ``_row_id`` of the kept rows) and its report."""
     df = with_row_id(df)
-    types = types or infer_types(df, "needed")
+    types = typed_for_cleaning(df)
     report = CleanReport(rows_before=types.rows, missing_values_before=types.missing_total, columns=len(types.columns))
 
-    df, fixed = coerce_numbers(df, types)
+    df, types, fixed = coerce_numbers(df, types)
     report.columns_format_fixed = {c: FIXED_NOTE for c in fixed}
-    if fixed:
-        changed = {c.name: c for c in infer_types(df.select(*[col(c) for c in fixed]), "needed").columns}
-        types = TableTypes(types.rows, [changed.get(c.name, c) for c in types.columns])
     df, report.columns_text_normalized = normalise_text(df, types)
 
     df = stage(drop_duplicates(df), "distinct")

@@ -87,6 +87,8 @@ def tree_samples(rows: DataFrame, n: int) -> DataFrame:
         drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).where(
             _uniform(F.lit(SEED), ROW_ID, "tree") < F.lit(share)
         )
+    # one shuffle by tree serves the pick and the growing; the number keeps small data spread over the cores
+    drawn = drawn.repartition(min(TREES, rows.sparkSession.sparkContext.defaultParallelism), "tree")
     pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(SEED + 2), ROW_ID, "tree"), ROW_ID)
     return drawn.withColumn("_pick", F.row_number().over(pick)).where(F.col("_pick") <= want).drop("_pick")
 
@@ -127,13 +129,15 @@ def score(rows: DataFrame, forest: DataFrame, columns: list[str], n: int) -> Dat
                 }
             )
 
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        # few input splits: spread the scoring work over all cores
-        rows = rows.repartition(cores, ROW_ID)
     return rows.mapInPandas(apply, f"{ROW_ID} bigint, score double, top_column string, top_value double")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than that."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, ROW_ID) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame | None:
     """Scored complete rows with ``is_outlier``; None when there are fewer than ten.
 
@@ -143,6 +147,7 @@ def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame | None:
     n = rows.count()
     if n < MIN_ROWS:
         return None
+    rows = _spread(rows)
     scored = stage(score(rows, fit(rows, columns, n), columns, n), "forest")
     (cut,) = exact_quantiles(scored, ["score"], [1.0 - CONTAMINATION], {"score": n})["score"]
     return scored.withColumn("is_outlier", col("score") > F.lit(cut))

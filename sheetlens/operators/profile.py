@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,7 @@ class TableTypes:
 
     rows: int
     columns: list[ColumnType] = field(default_factory=list)
+    extra: Row | None = None
 
     def of(self, sem_type: str) -> list[str]:
         return [c.name for c in self.columns if c.sem_type == sem_type]
@@ -97,11 +98,13 @@ class TableTypes:
         return event_time(df, name, self.get(name).date_format)
 
 
-def _first_pass(df: DataFrame, columns: list[str]) -> Row:
-    """Counts, lengths and date hits of all columns in one aggregate."""
-    aggs = [F.count("*").alias("rows")]
+def _first_pass(df: DataFrame, columns: list[str], extra: list[Column], derived: list[Column]) -> Row:
+    """Counts, lengths and date shapes of all columns in one aggregate, with the caller's own."""
+    types = {c: field_type(df, c) for c in columns}
+    df = df.select(*[col(c) for c in columns], *derived)
+    aggs = [F.count("*").alias("rows"), *extra]
     for i, c in enumerate(columns):
-        t = field_type(df, c)
+        t = types[c]
         value = comparable(c, t)
         aggs.append(F.count(value).alias(f"n{i}"))
         if is_numeric(t):
@@ -129,16 +132,17 @@ def _date_formats(df: DataFrame, columns: list[str], present: list[int]) -> dict
     return out
 
 
-def infer_types(df: DataFrame, unique: str = "labels") -> TableTypes:
+def infer_types(df: DataFrame, unique: str = "labels", extra: tuple[list[Column], list[Column]] = ([], [])) -> TableTypes:
     """Class of every column: one aggregate, one job of distinct counts, one for date-shaped text.
 
     ``unique`` says which distinct counts are wanted: "all" columns, "labels" (every column that is not a
     plain number or a date), or "needed" (only those a class depends on). Others are reported as -1.
+    ``extra`` = (aggregates, columns derived for them) rides along in the same scan.
     """
     columns = data_columns(df)
     kinds = {c: field_type(df, c) for c in columns}
-    row = _first_pass(df, columns)
-    out = TableTypes(row["rows"])
+    row = _first_pass(df, columns, *extra)
+    out = TableTypes(row["rows"], extra=row)
     texts = [i for i, c in enumerate(columns) if isinstance(kinds[c], T.StringType)]
     maybe = [i for i in texts if row[f"n{i}"] and row[f"shaped{i}"] >= DATE_HIT_RATE * row[f"n{i}"]]
     formats = _date_formats(df, [columns[i] for i in maybe], [row[f"n{i}"] for i in maybe])

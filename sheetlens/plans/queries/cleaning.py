@@ -33,7 +33,7 @@ cleaned AS (SELECT DISTINCT * FROM imputed)
 
 def _coerced(spark, sf_dir):
     df = with_row_id(messy_lineitem(spark, sf_dir))
-    return clean.coerce_numbers(df, profile.infer_types(df))[0]
+    return clean.coerce_numbers(df, clean.typed_for_cleaning(df))[0]
 
 
 @query(f"WITH {MESSY_LINEITEM_SQL}, {COERCED_SQL} SELECT * FROM coerced")
