@@ -175,8 +175,9 @@ def exact_quantiles(
             result = []
             for p in probs:
                 spot = (counts[c] - 1) * p
-                lo, hi = found[(c, math.floor(spot))], found[(c, math.ceil(spot))]
-                result.append(lo + (hi - lo) * (spot - math.floor(spot)))
+                before, after = math.floor(spot), math.ceil(spot)
+                lo, hi = found[(c, before)], found[(c, after)]
+                result.append(lo if lo == hi else (after - spot) * lo + (spot - before) * hi)
             out[c] = result
     return out
 

@@ -33,7 +33,7 @@ DATE_FORMATS = (
     ("yyyy-MM", r"^\d{4}-\d{2}$"),
 )
 ANY_DATE_SHAPE = "|".join(sorted({shape for _, shape in DATE_FORMATS}))
-LONGEST_DATE = 24
+SHORTEST_DATE, LONGEST_DATE = 7, 24
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FRACTION_TYPES = (T.FloatType, T.DoubleType)
@@ -69,6 +69,14 @@ def comparable(name: str, t: T.DataType) -> Column:
     return present(name, t)
 
 
+def parse_double(text: Column) -> Column:
+    """Text as a double, NULL where it is none.
+
+    A failed cast costs an exception inside the JVM, so text without a digit is not tried.
+    """
+    return F.when(text.rlike("[0-9]"), F.nullif(text.try_cast("double"), F.lit(float("nan"))))
+
+
 def numeric(name: str, t: T.DataType) -> Column:
     """Value as double, NULL where it is not a number."""
     if isinstance(t, T.DoubleType):
@@ -79,7 +87,7 @@ def numeric(name: str, t: T.DataType) -> Column:
         return col(name).cast("int").cast("double")
     if not isinstance(t, T.StringType):
         return F.lit(None).cast("double")
-    return F.nullif(col(name).try_cast("double"), F.lit(float("nan")))
+    return parse_double(col(name))
 
 
 def numeric_frame(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -109,7 +117,7 @@ def bare_looks_numeric(bare: Column) -> Column:
 
 
 def bare_value(bare: Column) -> Column:
-    return F.nullif(F.translate(bare, "%", "").try_cast("double"), F.lit(float("nan")))
+    return parse_double(F.translate(bare, "%", ""))
 
 
 def number_from_text(c: Column, percent: bool) -> Column:
@@ -140,7 +148,7 @@ def parsed_date(c: Column, fmt: str) -> Column:
 
 def date_shaped(c: Column) -> Column:
     """Could the value be a date in any layout? One cheap test instead of a parse per layout."""
-    return (F.length(c) <= LONGEST_DATE) & c.rlike(ANY_DATE_SHAPE)
+    return F.length(c).between(SHORTEST_DATE, LONGEST_DATE) & c.rlike(ANY_DATE_SHAPE)
 
 
 def event_time(df: DataFrame, name: str, fmt: str | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetlens.functions.values import col
+from sheetlens.functions.values import col, parse_double
 from sheetlens.sources.row_ids import ROW_ID, read_parquet, with_row_id
 
 # Accepted files and texts that mean "missing".
@@ -63,7 +63,7 @@ def _typed(c: str, rows: int, ints: int, nums: int, flags: int) -> Column:
     if rows and ints == rows:
         return F.trim(col(c)).cast("bigint")
     if rows and nums == rows:
-        return F.nullif(col(c).try_cast("double"), F.lit(float("nan")))
+        return parse_double(col(c))
     return col(c)
 
 
@@ -82,7 +82,7 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> Dat
             aggs += [
                 F.count(v).alias(f"n{i}"),
                 F.count(F.when(v.rlike(INTEGER_PATTERN), 1)).alias(f"i{i}"),
-                F.count(v.try_cast("double")).alias(f"d{i}"),
+                F.count(parse_double(v)).alias(f"d{i}"),
                 F.count(F.when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1)).alias(f"b{i}"),
                 F.count(F.when(F.contains(v, F.lit(BROKEN_CHARACTER)), 1)).alias(f"x{i}"),
             ]
@@ -94,7 +94,7 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> Dat
     typed = [_typed(c, row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"]).alias(c) for i, c in kept]
     names = [c for _, c in kept]
     any_present = F.coalesce(*[col(n) for n in names]).isNotNull()
-    return with_row_id(df.select(*names)).where(any_present).select(*typed, ROW_ID)
+    return with_row_id(df.select(*[col(n) for n in names])).where(any_present).select(*typed, ROW_ID)
 
 
 def check_size(rows: int, columns: int, max_rows: int | None) -> None:

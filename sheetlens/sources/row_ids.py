@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 ROW_ID = "_row_id"
 FILE_STRIDE_BITS = 40
 BLOCK_BITS = 18
+LISTED_FILES = 20_000
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -15,17 +16,24 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 def read_parquet(spark, path: str) -> DataFrame:
-    """Parquet rows with ``_row_id`` = (file position, row in file), free of any shuffle."""
+    """Parquet rows with ``_row_id`` = (file position, row in file), free of any shuffle.
+
+    The positions of up to ``LISTED_FILES`` files are broadcast, a few megabytes at most. Beyond that
+    the ids follow the order of the input splits instead.
+    """
     df = spark.read.parquet(path)
-    files = sorted(df.inputFiles())
+    files = sorted(f.replace("file:///", "file:/", 1) for f in df.inputFiles())
     if len(files) <= 1:
         return df.select("*", F.col("_metadata.row_index").alias(ROW_ID))
-    # one row per file; Spark broadcasts it only while its own size estimate allows
+    if len(files) > LISTED_FILES:
+        return df.withColumn(ROW_ID, F.monotonically_increasing_id())
     positions = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _pos bigint")
     with_file = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    # a row of an unlisted file must not vanish silently
+    position = F.coalesce(F.col("_pos"), F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))).cast("bigint"))
     return (
-        with_file.join(positions, "_file")
-        .withColumn(ROW_ID, F.shiftleft("_pos", FILE_STRIDE_BITS) + F.col("_at"))
+        with_file.join(F.broadcast(positions), "_file", "left")
+        .withColumn(ROW_ID, F.shiftleft(position, FILE_STRIDE_BITS) + F.col("_at"))
         .drop("_file", "_pos", "_at")
     )
 
