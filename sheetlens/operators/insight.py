@@ -244,6 +244,21 @@ def insight_cards(facts: DataFrame) -> DataFrame:
         },
         F.lit("Baseline"),
     )
+    reason = _by_kind(
+        {
+            "correlation": txt(
+                "Correlation magnitude of %.2f exceeds statistical significance threshold (%s).", size, c("label")
+            ),
+            "trend": F.lit("Directional slope detected across historical time window with statistically significant R²."),
+            "anomaly_multivariate": F.lit(
+                "Sub-sampling tree depth was significantly shorter than average, indicating multi-variate isolation."
+            ),
+            "anomaly_time": F.lit("Sudden temporal variance exceeding 2.5x standard rolling volatility."),
+            "ranking": F.lit("Leading contributor with highest cumulative volume in dimension."),
+            "cluster": F.lit("Maximum separation of multi-dimensional feature space without overfitting."),
+        },
+        F.lit("Metric values within standard bounds."),
+    )
     impact = (
         F.when(c("kind") == "cluster", "Medium Impact")
         .when(c("priority") == "critical", "High Impact")
@@ -259,7 +274,7 @@ def insight_cards(facts: DataFrame) -> DataFrame:
         finding.alias("finding"),
         metric.alias("supporting_metric"),
         F.struct(
-            sources.alias("source_columns"), calculation.alias("calculation"), metric_value.alias("metric_value")
+            sources.alias("source_columns"), calculation.alias("calculation"), metric_value.alias("metric_value"), reason.alias("reason")
         ).alias("provenance"),
     ).withColumn("importance", impact)
 

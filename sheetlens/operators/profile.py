@@ -201,6 +201,27 @@ def column_types(df: DataFrame, types: TableTypes | None = None) -> DataFrame:
     return small_frame(df.sparkSession, rows, COLUMN_SCHEMA)
 
 
+TABLE_SCHEMA = (
+    "row_count bigint, column_count int, missing_values bigint, duplicate_rows bigint, numerical_columns array<string>, "
+    "categorical_columns array<string>, date_columns array<string>, boolean_columns array<string>, "
+    "id_columns array<string>, text_columns array<string>"
+)
+
+
+def table_profile(df: DataFrame, types: TableTypes | None = None) -> DataFrame:
+    """One row per table: size, missing values, copies and the columns of each class."""
+    types = types or infer_types(df)
+    row = {
+        "row_count": types.rows,
+        "column_count": len(types.columns),
+        "missing_values": types.missing_total,
+        "duplicate_rows": duplicate_rows(df).first()[0],
+    }
+    lists = ("numerical", "categorical", "date", "boolean", "id", "text")
+    row |= {f"{name}_columns": types.of(sem) for name, sem in zip(lists, CLASSES)}
+    return small_frame(df.sparkSession, [row], TABLE_SCHEMA)
+
+
 def class_counts(profile: DataFrame) -> DataFrame:
     """Number of columns per class, from ``column_types``."""
     return profile.groupBy("sem_type").agg(F.count("*").alias("column_count"))

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import union_all
 from sheetlens.functions.values import col, field_type, numeric, numeric_frame
+from sheetlens.session import small_frame
 
 # Thresholds and sizes of the reports.
 MODERATE_R, STRONG_R = 0.35, 0.6
 TOP_PAIRS, TOP_OPTIONS = 10, 8
 WHAT_IF_MIN_ROWS = 5
 PAIRS_PER_JOB = 400
+WHAT_IF_DDL = (
+    "success boolean, driver_column string, target_column string, percentage_change double, current_driver_mean double, "
+    "simulated_driver_mean double, current_target_value double, simulated_target_value double, estimated_change double, "
+    "percentage_change_result double, correlation double, r_squared double, confidence_score int, summary string, error string"
+)
 
 _HEADS = (("n", F.count), ("mean", F.avg), ("lo", F.min), ("hi", F.max))
 
@@ -192,6 +198,9 @@ def what_if(df: DataFrame, driver: str, target: str, percentage_change: float) -
 
     The sum over simulated rows has the closed form slope * factor * Σx + n * intercept.
     """
+    if driver not in df.columns or target not in df.columns:
+        message = f"Columns {driver} or {target} not found in dataset."
+        return small_frame(df.sparkSession, [{"success": False, "error": message}], WHAT_IF_DDL)
     factor = 1.0 + percentage_change / 100.0
     ok = (F.col("n") >= WHAT_IF_MIN_ROWS) & F.col("slope").isNotNull()
     m = _moments(df, driver, target).withColumn("success", ok)

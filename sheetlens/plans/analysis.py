@@ -16,7 +16,7 @@ from sheetlens.operators import anomaly, charts, iforest, insight, kpi, recommen
 from sheetlens.operators.ask import possible_answers, question_frame, suggested_questions
 from sheetlens.operators.domain import classify_domain, domain_scores
 from sheetlens.operators.profile import TableTypes, column_types, infer_types
-from sheetlens.session import run_together
+from sheetlens.session import run_together, small_frame
 from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 
@@ -108,42 +108,37 @@ def _monthly(df: DataFrame, types: TableTypes) -> tuple[DataFrame, DataFrame]:
     return settle(series.period_anomalies(monthly, counts)), settle(series.trends(monthly))
 
 
+HEADLINE_DDL = (
+    "domain_name string, row_count bigint, column_count int, quality_score double, total_anomalies bigint, "
+    "leader struct<top_category:string,metric_label:string,value:double>, "
+    "pair struct<column_a:string,column_b:string,correlation:double,strength:string,direction:string>, "
+    "trend struct<column:string,direction:string,total_pct_change:double,periods_analyzed:bigint>, "
+    "n_clusters bigint, silhouette_score double"
+)
+
+
 def headline(df: DataFrame, a: Analysis, domain_name: str, quality_score: float) -> DataFrame:
     """The one row of facts the executive summary is written from."""
-    spark = df.sparkSession
-    base = spark.range(1).select(
-        F.lit(domain_name).alias("domain_name"),
-        F.lit(a.types.rows).cast("bigint").alias("row_count"),
-        F.lit(len(a.types.columns)).alias("column_count"),
-        F.lit(float(quality_score)).alias("quality_score"),
-        F.lit(a.total_anomalies).cast("bigint").alias("total_anomalies"),
-    )
-    pair_order = F.struct(F.abs("correlation"), -F.col("order_a"), -F.col("order_b"))
-    trend_order = F.struct(F.abs("total_pct_change"), -F.col("col_order"))
-    tops = {
-        "leader": (a.leaders, "top_category string, metric_label string, value double", F.lit(1)),
-        "pair": (
-            a.significant,
-            "column_a string, column_b string, correlation double, strength string, direction string",
-            pair_order,
-        ),
-        "trend": (
-            a.trends,
-            "column string, direction string, total_pct_change double, periods_analyzed bigint",
-            trend_order,
-        ),
+
+    def first(rows: DataFrame | None, order: list, fields: tuple[str, ...]) -> dict | None:
+        row = None if rows is None else rows.orderBy(*order).select(*fields).first()
+        return None if row is None else row.asDict()
+
+    leader_fields = ("top_category", "metric_label", "value")
+    pair_fields = ("column_a", "column_b", "correlation", "strength", "direction")
+    trend_fields = ("column", "direction", "total_pct_change", "periods_analyzed")
+    row = {
+        "domain_name": domain_name,
+        "row_count": a.types.rows,
+        "column_count": len(a.types.columns),
+        "quality_score": float(quality_score),
+        "total_anomalies": a.total_anomalies,
+        "leader": first(a.leaders, ["top_category"], leader_fields),
+        "pair": first(a.significant, [F.desc(F.abs("correlation")), "order_a", "order_b"], pair_fields),
+        "trend": first(a.trends, [F.desc(F.abs("total_pct_change")), "col_order"], trend_fields),
     }
-    for name, (rows, ddl, order) in tops.items():
-        fields = [f.split()[0] for f in ddl.split(", ")]
-        if rows is None:
-            base = base.withColumn(name, F.lit(None).cast(f"struct<{ddl.replace(' ', ':').replace(',:', ',')}>"))
-        else:
-            base = base.join(rows.agg(F.max_by(F.struct(*fields), order).alias(name)))
-    if a.segment_head is None:
-        return base.withColumns(
-            {"n_clusters": F.lit(None).cast("bigint"), "silhouette_score": F.lit(None).cast("double")}
-        )
-    return base.join(a.segment_head)
+    row |= first(a.segment_head, ["n_clusters"], ("n_clusters", "silhouette_score")) or {}
+    return small_frame(df.sparkSession, [row], HEADLINE_DDL)
 
 
 def top_anomaly(a: Analysis) -> DataFrame | None:

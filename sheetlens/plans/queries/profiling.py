@@ -120,14 +120,15 @@ def duplicate_rows_messy(spark, sf_dir):
 @query(f"""
 WITH {MESSY_LINEITEM_SQL}
 SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(6 AS INTEGER) AS column_count,
-       CAST(2 * count(*) - count(qty) - count(flag) AS BIGINT) AS missing_values
+       CAST(2 * count(*) - count(qty) - count(flag) AS BIGINT) AS missing_values,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy_lineitem)) AS duplicate_rows,
+       'l_orderkey,l_linenumber,qty' AS numerical_columns, 'flag,price_text,disc_text' AS categorical_columns
 FROM messy_lineitem
 """)
-def missing_total_messy(spark, sf_dir):
-    profiled = profile.column_types(messy_lineitem(spark, sf_dir))
-    rows = messy_lineitem(spark, sf_dir).agg(F.count("*").alias("row_count"))
-    totals = profiled.agg(F.count("*").cast("int").alias("column_count"), F.sum("missing_count").alias("missing_values"))
-    return rows.join(totals)
+def table_profile_messy(spark, sf_dir):
+    row = profile.table_profile(messy_lineitem(spark, sf_dir))
+    sizes = ["row_count", "column_count", "missing_values", "duplicate_rows"]
+    return row.select(*sizes, *[F.array_join(c, ",").alias(c) for c in ("numerical_columns", "categorical_columns")])
 
 
 def _samples_sql(source: str, key: str, columns: list[tuple[str, str]]) -> str:

@@ -43,6 +43,8 @@ def test_what_if_edges(spark):
     assert stats.what_if(few, "x", "y", 10).first()["success"] is False
     flat = spark.createDataFrame([(1.0, float(i)) for i in range(9)], "x double, y double")
     assert stats.what_if(flat, "x", "y", 10).first()["success"] is False
+    missing = stats.what_if(flat, "x", "z", 10).first()
+    assert missing["success"] is False and "not found" in missing["error"]
     line = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(10)], "x double, y double")
     row = stats.what_if(line, "x", "y", 10).first()
     assert row["estimated_change"] == pytest.approx(9.0) and row["confidence_score"] == 95
