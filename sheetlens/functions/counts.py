@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.functions.values import comparable, field_type
@@ -26,6 +26,20 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+AGGREGATES_PER_JOB = 300
+
+
+def one_row(df: DataFrame, aggs: list[Column]) -> dict:
+    """Results of many aggregates by name.
+
+    One job for all but very wide tables. Those take a few: each reads only the columns of its share.
+    """
+    out: dict = {}
+    for start in range(0, len(aggs), AGGREGATES_PER_JOB):
+        out |= df.agg(*aggs[start : start + AGGREGATES_PER_JOB]).first().asDict()
+    return out
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """Exact number of distinct present values per column."""
     if not columns:

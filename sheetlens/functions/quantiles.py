@@ -17,6 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlens.functions.counts import one_row
 from sheetlens.functions.names import quoted
 from sheetlens.functions.values import col
 
@@ -24,6 +25,7 @@ DIRECT_LIMIT = 50_000
 PICK_LIMIT = 500_000
 HISTOGRAM_BINS = 1024
 SKETCH_ACCURACY = 10_000
+INFINITE = float("inf")
 
 
 @dataclass
@@ -91,7 +93,8 @@ def _histogram(df: DataFrame, columns: list[str], ends: dict[str, tuple[float, f
     lows = F.array(*[F.lit(ends[c][0]) for c in columns])
     widths = F.array(*[F.lit((ends[c][1] / HISTOGRAM_BINS - ends[c][0] / HISTOGRAM_BINS) or 1.0) for c in columns])
     long = df.select(F.posexplode(F.array(*[col(c) for c in columns])).alias("c", "v")).where(F.col("v").isNotNull())
-    at = F.floor((F.col("v") - F.get(lows, F.col("c"))) / F.get(widths, F.col("c")))
+    inside = F.floor((F.col("v") - F.get(lows, F.col("c"))) / F.get(widths, F.col("c")))
+    at = F.when(F.abs("v") < INFINITE, inside).when(F.col("v") > 0, HISTOGRAM_BINS + 1).otherwise(-1)
     bins = long.withColumn("b", at).groupBy("c", "b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
     out: dict[str, list[tuple]] = {c: [] for c in columns}
     for r in bins.collect():
@@ -117,11 +120,11 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], floa
 def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, set[int]]], limit: int) -> dict:
     """Values at 0-based ranks; ``wanted`` maps a column to (number of values, ranks)."""
     columns = list(wanted)
-    row = df.agg(
-        *[F.min(col(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(col(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
-    ).first()
-    bins = _histogram(df, columns, {c: (float(row[f"lo{i}"]), float(row[f"hi{i}"])) for i, c in enumerate(columns)})
+    finite = [F.when(F.abs(col(c)) < INFINITE, col(c)) for c in columns]
+    ends = [f(v).alias(f"{k}{i}") for i, v in enumerate(finite) for k, f in (("lo", F.min), ("hi", F.max))]
+    row = one_row(df, ends)
+    spans = {c: (float(row[f"lo{i}"] or 0.0), float(row[f"hi{i}"] or 0.0)) for i, c in enumerate(columns)}
+    bins = _histogram(df, columns, spans)
     brackets = []
     for c in columns:
         for rank in sorted(wanted[c][1]):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlens.functions.counts import union_all
+from sheetlens.functions.counts import one_row, union_all
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import col, field_type, grouped_number, numeric, numeric_frame
 from sheetlens.session import small_frame
@@ -60,7 +60,7 @@ def outlier_bounds(df: DataFrame, columns: list[str]) -> list[Bounds]:
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.count(col(c)).alias(f"n{i}"), F.avg(col(c)).alias(f"m{i}"), F.stddev_pop(col(c)).alias(f"s{i}")]
-    row = nums.agg(*aggs).first()
+    row = one_row(nums, aggs)
     kept = [i for i, c in enumerate(columns) if row[f"n{i}"] >= MIN_VALUES]
     quartiles = exact_quantiles(nums, [columns[i] for i in kept], [0.25, 0.75], {columns[i]: row[f"n{i}"] for i in kept})
     return [

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.functions.counts import union_all
+from sheetlens.functions.counts import one_row, union_all
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import col, field_type, grouped_number, numeric, numeric_frame
 from sheetlens.operators.filters import apply_filters, has_filters
@@ -162,7 +162,7 @@ def metric_table(active: DataFrame, numbers: list[str]) -> DataFrame:
         v = col(c)
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
         aggs += [F.sum(v).alias(f"sum{i}"), F.stddev_samp(v).alias(f"std{i}")]
-    row = nums.agg(*aggs).first() if numbers else None
+    row = one_row(nums, aggs)
     counts = {c: row[f"n{i}"] for i, c in enumerate(numbers)}
     quartiles = exact_quantiles(nums, numbers, [0.25, 0.5, 0.75], counts)
     rows = [

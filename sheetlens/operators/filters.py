@@ -43,7 +43,7 @@ def _equals_any(df: DataFrame, name: str, values: list[Any]) -> Column:
             text = str(v)
             start = dt.datetime.fromisoformat(text)
             end = start + (dt.timedelta(days=1) if len(text) == 10 else dt.timedelta(microseconds=1))
-            tests.append((col(name) >= F.lit(start).cast(t)) & (col(name) < F.lit(end).cast(t)))
+            tests.append((col(name) >= F.lit(str(start)).cast(t)) & (col(name) < F.lit(str(end)).cast(t)))
         return reduce(or_, tests)
     literals = [x for x in (_literal(t, str(v)) for v in values) if x is not None]
     return col(name).isin(*literals) if literals else F.lit(False)
@@ -99,10 +99,10 @@ def apply_slicers(df: DataFrame, active: dict[str, Any]) -> DataFrame:
                 if is_time(t):
                     # whole days as a half-open range of the stored type, so that it is pushed down
                     if low:
-                        tests.append(col(name) >= F.lit(dt.datetime.fromisoformat(low)).cast(t))
+                        tests.append(col(name) >= F.lit(str(dt.datetime.fromisoformat(low))).cast(t))
                     if high:
                         end = dt.datetime.fromisoformat(high) + dt.timedelta(days=1)
-                        tests.append(col(name) < F.lit(end).cast(t))
+                        tests.append(col(name) < F.lit(str(end)).cast(t))
                 else:
                     day = F.substring(F.coalesce(col(name).cast("string"), F.lit("")), 1, 10)
                     if low:

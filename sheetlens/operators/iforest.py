@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import col, numeric_frame
-from sheetlens.session import stage
+from sheetlens.session import spread, stage
 from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 # Size of the forest and expected share of outliers.
@@ -132,12 +132,6 @@ def score(rows: DataFrame, forest: DataFrame, columns: list[str], n: int) -> Dat
     return rows.mapInPandas(apply, f"{ROW_ID} bigint, score double, top_column string, top_value double")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than that."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, ROW_ID) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame | None:
     """Scored complete rows with ``is_outlier``; None when there are fewer than ten.
 
@@ -147,7 +141,7 @@ def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame | None:
     n = rows.count()
     if n < MIN_ROWS:
         return None
-    rows = _spread(rows)
+    rows = spread(rows, n, ROW_ID)
     scored = stage(score(rows, fit(rows, columns, n), columns, n), "forest")
     (cut,) = exact_quantiles(scored, ["score"], [1.0 - CONTAMINATION], {"score": n})["score"]
     return scored.withColumn("is_outlier", col("score") > F.lit(cut))

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetlens.functions.counts import distinct_counts, top_values, union_all
+from sheetlens.functions.counts import distinct_counts, one_row, top_values, union_all
 from sheetlens.functions.names import is_id_name
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import (
@@ -64,7 +64,7 @@ class TableTypes:
 
     rows: int
     columns: list[ColumnType] = field(default_factory=list)
-    extra: Row | None = None
+    extra: dict | None = None
 
     def of(self, sem_type: str) -> list[str]:
         return [c.name for c in self.columns if c.sem_type == sem_type]
@@ -98,7 +98,7 @@ class TableTypes:
         return event_time(df, name, self.get(name).date_format)
 
 
-def _first_pass(df: DataFrame, columns: list[str], extra: list[Column], derived: list[Column]) -> Row:
+def _first_pass(df: DataFrame, columns: list[str], extra: list[Column], derived: list[Column]) -> dict:
     """Counts, lengths and date shapes of all columns in one aggregate, with the caller's own."""
     types = {c: field_type(df, c) for c in columns}
     df = df.select(*[col(c) for c in columns], *derived)
@@ -114,16 +114,17 @@ def _first_pass(df: DataFrame, columns: list[str], extra: list[Column], derived:
             aggs.append(F.count(F.when(date_shaped(col(c)), 1)).alias(f"shaped{i}"))
         elif not is_numeric(t) and not is_time(t) and not isinstance(t, T.BooleanType):
             aggs.append(F.avg(F.length(value.cast("string"))).alias(f"len{i}"))
-    return df.agg(*aggs).first()
+    return one_row(df, aggs)
 
 
 def _date_formats(df: DataFrame, columns: list[str], present: list[int]) -> dict[str, str]:
     """Best layout of each column of mostly date-shaped text, if it parses often enough."""
     if not columns:
         return {}
-    hits = df.agg(
-        *[F.count(parsed_date(col(c), fmt)).alias(f"d{i}_{k}") for i, c in enumerate(columns) for k, (fmt, _) in enumerate(DATE_FORMATS)]
-    ).first()
+    hits = one_row(
+        df,
+        [F.count(parsed_date(col(c), fmt)).alias(f"d{i}_{k}") for i, c in enumerate(columns) for k, (fmt, _) in enumerate(DATE_FORMATS)],
+    )
     out = {}
     for i, c in enumerate(columns):
         best = max(range(len(DATE_FORMATS)), key=lambda k: (hits[f"d{i}_{k}"], -k))
@@ -247,7 +248,7 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
             F.round(F.sum(v), 2).alias(f"sum{i}"),
             F.format_string("%,.2f – %,.2f", F.min(v), F.max(v)).alias(f"range{i}"),
         ]
-    row = nums.agg(*aggs).first()
+    row = one_row(nums, aggs)
     medians = exact_quantiles(nums, columns, [0.5], {c: row[f"n{i}"] for i, c in enumerate(columns)})
     rows = [
         {"column": c, "median": half_up(medians[c][0], 2)}
@@ -297,8 +298,8 @@ def datetime_stats(df: DataFrame, types: TableTypes, columns: list[str] | None =
         F.struct(F.lit(c).alias("column"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.col(f"n{i}").alias("n"))
         for i, c in enumerate(columns)
     ]
-    seconds = F.unix_timestamp(F.col("hi").cast("timestamp")) - F.unix_timestamp(F.col("lo").cast("timestamp"))
-    step = F.floor(seconds / 86400) / F.greatest(F.lit(1), F.col("n") - 1)
+    days = F.extract(F.lit("DAY"), F.col("hi") - F.col("lo"))
+    step = days / F.greatest(F.lit(1), F.col("n") - 1)
     name = F.when(F.col("n") < 2, "Single Date")
     for label, limit in STEP_LIMITS:
         name = name.when(step <= limit, label)

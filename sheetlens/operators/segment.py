@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.functions.values import col, numeric_frame
-from sheetlens.session import run_together
+from sheetlens.session import run_together, spread
 
 # Limits, seed and segment names.
 MIN_COLUMNS, MIN_ROWS = 2, 15
@@ -46,7 +46,7 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
     reason = not_applicable(columns, n)
     if reason:
         return None, None, reason
-    vectors = VectorAssembler(inputCols=columns, outputCol="raw").transform(rows)
+    vectors = VectorAssembler(inputCols=columns, outputCol="raw").transform(spread(rows, n))
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vectors)
     # k-means passes over the features many times; they are cached, and recomputed if an executor goes
     features = scaler.transform(vectors).drop("raw").persist(StorageLevel.MEMORY_AND_DISK)
@@ -54,7 +54,7 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
         evaluator = ClusteringEvaluator(featuresCol="features")
 
         def attempt(k: int):
-            model = KMeans(k=k, seed=SEED, featuresCol="features").fit(features)
+            model = KMeans(k=k, seed=SEED, featuresCol="features", solver="block").fit(features)
             if sum(size > 0 for size in model.summary.clusterSizes) < 2:
                 return None, -2.0
             return model, evaluator.evaluate(model.transform(features))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.functions.counts import union_all
+from sheetlens.functions.counts import one_row, union_all
 from sheetlens.functions.values import col, field_type, numeric, numeric_frame
 from sheetlens.session import small_frame
 
@@ -44,7 +44,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     nums = numeric_frame(df, columns)
     heads = [f(col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in _HEADS]
-    head = nums.agg(F.count("*").alias("rows"), *heads).first()
+    head = one_row(nums, [F.count("*").alias("rows"), *heads])
     full = [head[f"n{i}"] == head["rows"] for i in range(len(columns))]
     flat = [head[f"lo{i}"] is None or head[f"lo{i}"] == head[f"hi{i}"] for i in range(len(columns))]
     centred = [col(c) - F.lit(head[f"mean{i}"] or 0.0) for i, c in enumerate(columns)]

@@ -56,18 +56,19 @@ def analyse(df: DataFrame, types: TableTypes | None = None, forest: bool = True,
     types = types or infer_types(df)
     out, nums = Analysis(types), types.numerical
     tasks = {}
+    # the long ones first
+    if segments:
+        tasks["segments"] = lambda: segment.segments(df, nums)
+    if nums and forest:
+        tasks["forest"] = lambda: iforest.isolation_forest(df, nums)
     if nums:
         tasks["outliers"] = lambda: _univariate(df, nums)
-        if types.date_column:
-            tasks["months"] = lambda: _monthly(df, types)
-        if types.categorical:
-            tasks["leaders"] = lambda: settle(charts.leader(df, types.categorical[0], nums[0]))
-        if forest:
-            tasks["forest"] = lambda: iforest.isolation_forest(df, nums)
+    if nums and types.date_column:
+        tasks["months"] = lambda: _monthly(df, types)
     if len(nums) >= 2:
         tasks["pairs"] = lambda: settle(stats.correlations(df, nums))
-    if segments:
-        tasks["segments"] = lambda: segment.segments(df, nums)
+    if nums and types.categorical:
+        tasks["leaders"] = lambda: settle(charts.leader(df, types.categorical[0], nums[0]))
     done = run_together(tasks)
 
     out.pairs, out.leaders = done.get("pairs"), done.get("leaders")

@@ -75,10 +75,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_TASK = 5_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` over more cores, when it has fewer splits than the work on its ``rows`` rows is worth."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK)
+    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
+
+
 def run_together(tasks: dict[str, Callable[[], Any]]) -> dict[str, Any]:
     """Submit independent jobs at once, so that short stages of one fill the cores another leaves idle."""
     spark = SparkSession.active()
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    with ThreadPoolExecutor(max_workers=6) as pool:
         running = {name: pool.submit(inheritable_thread_target(spark)(task)) for name, task in tasks.items()}
         return {name: job.result() for name, job in running.items()}
 

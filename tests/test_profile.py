@@ -107,6 +107,12 @@ def test_quantiles_agree_with_builtin_on_skewed_values(spark):
     assert exact_ranks(df, "a", len(values), [0, 17, 1000, 2001], pick=5) == [ordered[i] for i in (0, 17, 1000, 2001)]
 
 
+def test_quantiles_beside_infinite_values(spark):
+    values = [float("inf"), float("-inf")] + [float(i) for i in range(99)]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    assert exact_quantiles(df, ["a"], [0.25, 0.5, 0.75], direct=5, pick=5) == {"a": [24.0, 49.0, 74.0]}
+
+
 def test_quantiles_of_missing_columns(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 1.0)], "a double, b double")
     assert exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [1.0]}
