@@ -172,6 +172,11 @@ def half_up(x: float | None, digits: int) -> float | None:
     return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
 
 
+def fixed(c: Column | str, digits: int = 2) -> Column:
+    """Thousands commas and a fixed number of decimals, rounded on the exact binary value."""
+    return F.format_number(c, digits)
+
+
 def grouped_number(c: Column) -> Column:
     """Thousands commas and one or two decimals, as short as the value allows."""
     return F.regexp_replace(F.format_string("%,.2f", c), "0$", "")

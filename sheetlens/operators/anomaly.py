@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import one_row, union_all
 from sheetlens.functions.quantiles import exact_quantiles
-from sheetlens.functions.values import col, field_type, grouped_number, numeric, numeric_frame
+from sheetlens.functions.values import col, field_type, fixed, grouped_number, numeric, numeric_frame
 from sheetlens.session import small_frame
 from sheetlens.sources.row_ids import ROW_ID
 
@@ -102,7 +102,7 @@ def iqr_records(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
         first = df.where(b.outside(v)).select(ROW_ID, v.alias("raw")).orderBy(ROW_ID).limit(PER_COLUMN)
         # fixed value: the sentence that explains a record
         text = F.format_string(
-            f"Value %,.2f is substantially outside the normal expected range ({b.lower:.1f} to {b.upper:.1f}).", "raw"
+            f"Value %s is substantially outside the normal expected range ({b.lower:.1f} to {b.upper:.1f}).", fixed("raw")
         )
         parts.append(
             first.select(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import one_row, union_all
 from sheetlens.functions.quantiles import exact_quantiles
-from sheetlens.functions.values import col, field_type, grouped_number, numeric, numeric_frame
+from sheetlens.functions.values import col, field_type, fixed, grouped_number, numeric, numeric_frame
 from sheetlens.operators.filters import apply_filters, has_filters
 from sheetlens.operators.profile import TableTypes
 from sheetlens.session import small_frame
@@ -292,10 +292,10 @@ def possible_answers(
             _pack(
                 strongest_positive, "correlation",
                 txt(
-                    "The strongest statistical relationship is between '%s' and '%s' with a %s Pearson correlation of r = %.2f.",
-                    "column_a", "column_b", "direction", "correlation",
+                    "The strongest statistical relationship is between '%s' and '%s' with a %s Pearson correlation of r = %s.",
+                    F.col("column_a"), F.col("column_b"), F.col("direction"), fixed("correlation"),
                 ),
-                txt("Pearson r = %.2f", "correlation"), "correlation", 97, "navigate", F.lit("clusters"),
+                txt("Pearson r = %s", fixed("correlation")), "correlation", 97, "navigate", F.lit("clusters"),
             )
         )
     if anomalies is not None and not anomalies.where("total > 0").isEmpty():
@@ -327,39 +327,39 @@ def possible_answers(
     parts.append(small_frame(spark, [dict(zip(fields, p)) for p in plain], ANSWER_DDL))
     if types.numerical:
         m, c, note = metric_table(active, types.numerical), F.col("column"), F.lit(suffix)
-        average = txt("Average %s: %,.2f", "column", "mean")
+        average = txt("Average %s: %s", F.col("column"), fixed("mean"))
         parts += [
             _pack(
                 m, "average",
-                txt("The average %s is %,.2f (median: %,.2f, range: %,.2f to %,.2f)%s.", c, F.col("mean"), F.col("median"), F.col("min"), F.col("max"), note),
+                txt("The average %s is %s (median: %s, range: %s to %s)%s.", c, fixed("mean"), fixed("median"), fixed("min"), fixed("max"), note),
                 average, "metric", 98, "view_chart", c, c,
             ),
             _pack(
                 m, "average_default",
-                txt("The average %s across active records is %,.2f (median: %,.2f)%s.", c, F.col("mean"), F.col("median"), note),
+                txt("The average %s across active records is %s (median: %s)%s.", c, fixed("mean"), fixed("median"), note),
                 average, "metric", 96, "view_chart", c, c,
             ),
             _pack(
                 m, "total",
-                txt("The total cumulative %s is %,.2f across %,d observed records%s.", c, F.col("sum"), F.col("n"), note),
-                txt("Total %s: %,.2f", "column", "sum"), "metric", 98, "view_chart", c, c,
+                txt("The total cumulative %s is %s across %,d observed records%s.", c, fixed("sum"), F.col("n"), note),
+                txt("Total %s: %s", F.col("column"), fixed("sum")), "metric", 98, "view_chart", c, c,
             ),
             _pack(
                 m, "distribution",
                 txt(
-                    "%s has a median of %,.2f with standard deviation of %,.2f (IQR: %,.2f)%s.",
-                    c, F.col("median"), F.coalesce("std", F.lit(0.0)), F.col("q75") - F.col("q25"), note,
+                    "%s has a median of %s with standard deviation of %s (IQR: %s)%s.",
+                    c, fixed("median"), fixed(F.coalesce("std", F.lit(0.0))), fixed(F.col("q75") - F.col("q25")), note,
                 ),
-                txt("Std Dev: %,.2f", F.coalesce("std", F.lit(0.0))), "metric", 95, "view_chart", c, c,
+                txt("Std Dev: %s", fixed(F.coalesce("std", F.lit(0.0)))), "metric", 95, "view_chart", c, c,
             ),
             _pack(
                 m, "context",
                 txt(
-                    "For %s, the active average is %,.2f with peak spikes reaching %,.2f. 75%% of values sit below %,.2f, "
+                    "For %s, the active average is %s with peak spikes reaching %s. 75%% of values sit below %s, "
                     "indicating that top outliers are skewing upper distribution thresholds%s.",
-                    c, F.col("mean"), F.col("max"), F.col("q75"), note,
+                    c, fixed("mean"), fixed("max"), fixed("q75"), note,
                 ),
-                txt("Mean %s: %,.2f · Max: %,.2f", "column", "mean", "max"), "contextual", 96, "view_chart", c, c,
+                txt("Mean %s: %s · Max: %s", F.col("column"), fixed("mean"), fixed("max")), "contextual", 96, "view_chart", c, c,
             ),
         ]
     for label in types.categorical:
@@ -369,10 +369,10 @@ def possible_answers(
                 _pack(
                     top, "ranking",
                     txt(
-                        "'%s' leads %s with %,.2f in total %s, representing %.1f%% of cumulative volume%s.",
-                        F.col("leader"), F.col("category"), F.col("value"), F.col("measure"), F.col("share_pct"), F.lit(suffix),
+                        "'%s' leads %s with %s in total %s, representing %.1f%% of cumulative volume%s.",
+                        F.col("leader"), F.col("category"), fixed("value"), F.col("measure"), F.col("share_pct"), F.lit(suffix),
                     ),
-                    txt("Top: %s (%,.2f)", "leader", "value"), "ranking", 98, "apply_filter",
+                    txt("Top: %s (%s)", F.col("leader"), fixed("value")), "ranking", 98, "apply_filter",
                     txt("%s=%s", "category", "leader"), F.col("category"), F.col("measure"),
                 )
             )

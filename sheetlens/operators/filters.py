@@ -41,10 +41,13 @@ def _equals_any(df: DataFrame, name: str, values: list[Any]) -> Column:
         tests = []
         for v in values:
             text = str(v)
-            start = dt.datetime.fromisoformat(text)
+            try:
+                start = dt.datetime.fromisoformat(text)
+            except ValueError:
+                continue  # no time has this text form
             end = start + (dt.timedelta(days=1) if len(text) == 10 else dt.timedelta(microseconds=1))
             tests.append((col(name) >= F.lit(str(start)).cast(t)) & (col(name) < F.lit(str(end)).cast(t)))
-        return reduce(or_, tests)
+        return reduce(or_, tests) if tests else F.lit(False)
     literals = [x for x in (_literal(t, str(v)) for v in values) if x is not None]
     return col(name).isin(*literals) if literals else F.lit(False)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import union_all
-from sheetlens.functions.values import grouped_number
+from sheetlens.functions.values import fixed, grouped_number
 
 # How many facts of a kind are used, priority limits, report sizes.
 TOP_FACTS, TOP_INSIGHTS, STRIP_SIZE = 3, 10, 5
@@ -177,7 +177,7 @@ def insight_cards(facts: DataFrame) -> DataFrame:
     finding = _by_kind(
         {
             "correlation": txt(
-                "%s and %s exhibit a %s %s correlation of r = %.2f.", c("column_a"), c("column_b"), c("label"), c("direction"), v
+                "%s and %s exhibit a %s %s correlation of r = %s.", c("column_a"), c("column_b"), c("label"), c("direction"), fixed(v)
             ),
             "trend": txt(
                 "%s demonstrated a net %+.1f%% %s trajectory across %d observed chronological periods.",
@@ -202,7 +202,7 @@ def insight_cards(facts: DataFrame) -> DataFrame:
     )
     metric = _by_kind(
         {
-            "correlation": txt("Pearson r = %.2f (%s)", v, c("direction")),
+            "correlation": txt("Pearson r = %s (%s)", fixed(v), c("direction")),
             "trend": txt("%+.1f%% Net Change", v),
             "anomaly_multivariate": txt("%d Unusual Records (%s%% of rows)", c("count"), v.cast("string")),
             "anomaly_time": txt("%+.1f%% Period Spike (%s)", v, c("label")),
@@ -235,19 +235,19 @@ def insight_cards(facts: DataFrame) -> DataFrame:
     )
     metric_value = _by_kind(
         {
-            "correlation": txt("r = %.2f", v),
+            "correlation": txt("r = %s", fixed(v)),
             "trend": txt("%+.1f%% over %d periods", v, c("count")),
             "anomaly_multivariate": txt("%d records (%s%%)", c("count"), v.cast("string")),
             "anomaly_time": txt("%+.1f%%", v),
             "ranking": txt("%,.2f", v),
-            "cluster": txt("Score %.2f", v),
+            "cluster": txt("Score %s", fixed(v)),
         },
         F.lit("Baseline"),
     )
     reason = _by_kind(
         {
             "correlation": txt(
-                "Correlation magnitude of %.2f exceeds statistical significance threshold (%s).", size, c("label")
+                "Correlation magnitude of %s exceeds statistical significance threshold (%s).", fixed(size), c("label")
             ),
             "trend": F.lit("Directional slope detected across historical time window with statistically significant R²."),
             "anomaly_multivariate": F.lit(
@@ -335,7 +335,7 @@ def executive_summary(head: DataFrame) -> DataFrame:
             F.when(has["leader"], txt("the leading segment is '%s' for %s (%s)", "leader.top_category", "leader.metric_label", grouped_number(c("leader.value")))),
             F.when(
                 has["pair"],
-                txt("a %s %s correlation connects %s and %s (r = %.2f)", "pair.strength", "pair.direction", "pair.column_a", "pair.column_b", "pair.correlation"),
+                txt("a %s %s correlation connects %s and %s (r = %s)", "pair.strength", "pair.direction", "pair.column_a", "pair.column_b", fixed("pair.correlation")),
             ),
             F.when(
                 has["trend"],
@@ -363,7 +363,7 @@ def executive_summary(head: DataFrame) -> DataFrame:
         )
         .when(
             has["pair"],
-            txt("Primary Relationship: Strongest association observed between %s and %s (r = %.2f).", "pair.column_a", "pair.column_b", "pair.correlation"),
+            txt("Primary Relationship: Strongest association observed between %s and %s (r = %s).", "pair.column_a", "pair.column_b", fixed("pair.correlation")),
         )
         .otherwise(txt("Data Completeness: High hygiene profile observed across all %d columns.", "column_count")),
         F.when(
@@ -375,7 +375,7 @@ def executive_summary(head: DataFrame) -> DataFrame:
         ),
         F.when(
             c("n_clusters").isNotNull(),
-            txt("Segmentation: Identified %d distinct behavioral clusters using K-Means (silhouette score %.2f).", "n_clusters", "silhouette_score"),
+            txt("Segmentation: Identified %d distinct behavioral clusters using K-Means (silhouette score %s).", "n_clusters", fixed("silhouette_score")),
         ).otherwise("Segmentation: Dataset represents a unified cohort suitable for aggregated analytics."),
         F.lit(
             "Actionable Recommendation: Focus operational optimization on high-performing clusters and "

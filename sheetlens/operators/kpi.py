@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import union_all
 from sheetlens.functions.names import is_slicer_name
-from sheetlens.functions.values import col, field_type, numeric
+from sheetlens.functions.values import col, field_type, fixed, numeric
 from sheetlens.operators.profile import TableTypes
 from sheetlens.operators.series import growth, monthly_sums
 from sheetlens.session import small_frame
@@ -19,7 +19,7 @@ DEFAULT_QUALITY = 96.7
 
 def money(c: Column) -> Column:
     """Two decimals, in millions from a million on."""
-    return F.when(F.abs(c) >= 1e6, F.format_string("%.2fM", c / 1e6)).otherwise(F.format_string("%,.2f", c))
+    return F.when(F.abs(c) >= 1e6, F.format_string("%.2fM", c / 1e6)).otherwise(fixed(c))
 
 
 def kpis(df: DataFrame, types: TableTypes, quality_score: float | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def kpis(df: DataFrame, types: TableTypes, quality_score: float | None = None) -
         (f"Total {numbers[0]}", "Cumulative Aggregation", money(F.col("total")))
         if numbers
         else ("Total Records", "Active Observations", records),
-        (f"Average {numbers[1]}", "Mean Observation", F.format_string("%,.2f", "mean"))
+        (f"Average {numbers[1]}", "Mean Observation", fixed("mean"))
         if len(numbers) > 1
         else ("Total Records", "Dataset Volume", records),
         (

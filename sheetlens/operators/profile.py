@@ -23,6 +23,7 @@ from sheetlens.functions.values import (
     date_shaped,
     event_time,
     field_type,
+    fixed,
     half_up,
     is_numeric,
     is_time,
@@ -246,7 +247,7 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
             F.round(F.min(v), 2).alias(f"min{i}"),
             F.round(F.max(v), 2).alias(f"max{i}"),
             F.round(F.sum(v), 2).alias(f"sum{i}"),
-            F.format_string("%,.2f – %,.2f", F.min(v), F.max(v)).alias(f"range{i}"),
+            F.concat(fixed(F.min(v)), F.lit(" – "), fixed(F.max(v))).alias(f"range{i}"),
         ]
     row = one_row(nums, aggs)
     medians = exact_quantiles(nums, columns, [0.5], {c: row[f"n{i}"] for i, c in enumerate(columns)})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import one_row, union_all
-from sheetlens.functions.values import col, field_type, numeric, numeric_frame
+from sheetlens.functions.values import col, field_type, fixed, numeric, numeric_frame
 from sheetlens.session import small_frame
 
 # Thresholds and sizes of the reports.
@@ -128,13 +128,13 @@ def significant_pairs(pairs: DataFrame, k: int | None = TOP_PAIRS) -> DataFrame:
 def explained(pairs: DataFrame) -> DataFrame:
     """Significant pairs with their one-line reading."""
     text = F.format_string(
-        "%s and %s show a %s %s correlation (r = %.2f). "
+        "%s and %s show a %s %s correlation (r = %s). "
         "Note: This indicates a statistical association and does not imply causation.",
         "column_a",
         "column_b",
         "strength",
         "direction",
-        "correlation",
+        fixed("correlation"),
     )
     return pairs.withColumn("explanation", text)
 

@@ -275,7 +275,7 @@ UNION ALL SELECT 2, 'What is the average o_orderkey?'
 UNION ALL SELECT 3, 'Show me the Data Explorer table'
 """)
 def suggested_questions(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
+    df = table(spark, sf_dir, "orders", ids=True)
     a = analysis.analyse(df, forest=False, segments=False)
     asked = ask.suggested_questions(a.types, a.total_anomalies, not a.significant.isEmpty())
     return ask.question_frame(spark, asked)
@@ -330,7 +330,7 @@ FROM resolved r LEFT JOIN possible p ON p.intent = r.intent AND p.a IS NOT DISTI
 
 @query(RESOLVED_SQL + ", " + ORDER_MONTHS + ", " + TRENDS_SQL + _answer_sql())
 def answer_questions(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
+    df = table(spark, sf_dir, "orders", ids=True)
     a = analysis.analyse(df, forest=False, segments=False)
     answers = analysis.answers(df, a, {"o_totalprice": {"min": 100000, "max": 400000}}, "Sales Analytics")
     out = ask.answer_questions(questions(spark, sf_dir), answers, a.types)

@@ -274,7 +274,7 @@ SLICED_SQL = "sliced AS (SELECT * FROM events WHERE lower(trim(event_type)) = 'c
 
 
 def _sliced(spark, sf_dir):
-    return filters.apply_slicers(table(spark, sf_dir, "events"), ACTIVE)
+    return filters.apply_slicers(table(spark, sf_dir, "events", ids=True), ACTIVE)
 
 
 def _slicer_bar_sql(k: int, width: int) -> str:

@@ -95,7 +95,7 @@ FROM (SELECT event_id, value, row_id FROM event_rows ORDER BY row_id LIMIT 100)
 LEFT JOIN (SELECT row_id, "column", method, anomaly_score FROM records) m ON m.row_id = e.row_id
 """)
 def anomaly_overlay(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", "value", "_row_id")
+    df = table(spark, sf_dir, "events", ids=True).select("event_id", "value", "_row_id")
     page = filters.page_rows(df, 1, 100, dense_ids=True)
     return filters.anomaly_overlay(page, _records(df, ["value"])).withColumnRenamed("_row_id", "row_id")
 
@@ -130,13 +130,13 @@ CUSTOMER_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 @query()
 def iforest_flags(spark, sf_dir):
-    scored = iforest.isolation_forest(table(spark, sf_dir, "customer"), CUSTOMER_NUMBERS)
+    scored = iforest.isolation_forest(table(spark, sf_dir, "customer", ids=True), CUSTOMER_NUMBERS)
     return scored.where("is_outlier").select(F.col("_row_id").alias("row_id"), F.round("score", 6).alias("score"), "top_column", "top_value")
 
 
 @query()
 def total_anomalies(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "_row_id")
+    df = table(spark, sf_dir, "events", ids=True).select("event_id", "user_id", "value", "_row_id")
     scored = iforest.isolation_forest(df, ["user_id", "value"])
     flagged = scored.where("is_outlier")
     records = anomaly.merge_records(

@@ -149,7 +149,7 @@ def _samples_sql(source: str, key: str, columns: list[tuple[str, str]]) -> str:
     )
 )
 def sample_values_part(spark, sf_dir):
-    return profile.sample_values(table(spark, sf_dir, "part"))
+    return profile.sample_values(table(spark, sf_dir, "part", ids=True))
 
 
 @query(f"""
@@ -192,7 +192,7 @@ def _domain_sql() -> str:
 
 
 def _each_domain_table(spark, sf_dir, make):
-    return union_all([make(table(spark, sf_dir, n)).withColumn("table_name", F.lit(n)) for n in DOMAIN_TABLES])
+    return union_all([make(table(spark, sf_dir, n, ids=True)).withColumn("table_name", F.lit(n)) for n in DOMAIN_TABLES])
 
 
 @query(_domain_sql() + " SELECT *, name_score + value_score AS score FROM scores")
@@ -261,7 +261,7 @@ PART_TEXT = "concat_ws(chr(1), CAST(p_partkey AS VARCHAR), p_name, p_brand, p_ty
 
 @query(f"SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE contains(lower({PART_TEXT}), 'brand#1')")
 def search_rows_part(spark, sf_dir):
-    return filters.search_rows(table(spark, sf_dir, "part"), "BRAND#1").drop("_row_id")
+    return filters.search_rows(table(spark, sf_dir, "part"), "BRAND#1")
 
 
 _PAGE_COLUMNS = "CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice"
@@ -269,12 +269,12 @@ _PAGE_COLUMNS = "CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_typ
 
 @query(f"SELECT {_PAGE_COLUMNS} FROM part WHERE contains(lower({PART_TEXT}), 'ring') ORDER BY part.p_partkey LIMIT 20 OFFSET 20")
 def page_search_part(spark, sf_dir):
-    return filters.page_rows(table(spark, sf_dir, "part"), 2, 20, "Ring").drop("_row_id")
+    return filters.page_rows(table(spark, sf_dir, "part", ids=True), 2, 20, "Ring").drop("_row_id")
 
 
 @query(f"SELECT {_PAGE_COLUMNS} FROM part ORDER BY part.p_partkey LIMIT 50 OFFSET 100")
 def page_rows_part(spark, sf_dir):
-    return filters.page_rows(table(spark, sf_dir, "part"), 3, 50, dense_ids=True).drop("_row_id")
+    return filters.page_rows(table(spark, sf_dir, "part", ids=True), 3, 50, dense_ids=True).drop("_row_id")
 
 
 @query("""

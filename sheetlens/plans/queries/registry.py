@@ -26,9 +26,10 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table with row ids."""
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, ids: bool = False) -> DataFrame:
+    """A driver table, with row ids where row order or identity matters."""
+    path = f"{sf_dir}/{name}.parquet"
+    return read_parquet(spark, path) if ids else spark.read.parquet(path)
 
 
 # ---- line items with the amounts that follow from them -------------------------------
@@ -48,7 +49,7 @@ sales_lines AS (
 
 def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", ids=True).select(
         "l_returnflag",
         "l_linestatus",
         "l_shipdate",
@@ -106,7 +107,7 @@ messy_customer AS (
 
 def messy_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, balance = F.col("c_mktsegment"), F.col("c_acctbal")
-    return table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer", ids=True).select(
         "c_custkey",
         F.when(balance < 2000, F.lower(s))
         .when(balance < 4000, F.concat(s, F.lit(" ")))
@@ -132,7 +133,6 @@ def text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         "o_totalprice",
         F.when(odd, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("order_date_text"),
-        "_row_id",
     )
 
 

@@ -23,7 +23,7 @@ def csv_roundtrip(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def cleaned_reload(spark, sf_dir):
-    cleaned, _ = clean.clean(table(spark, sf_dir, "orders"))
+    cleaned, _ = clean.clean(table(spark, sf_dir, "orders", ids=True))
     return tables.save_cleaned(cleaned, new_path(spark, "saved")).drop("_row_id")
 
 

@@ -188,6 +188,19 @@ def test_filters(spark):
     assert filters.display(df).where("k = '3'").first()["s"] == ""
 
 
+def test_time_filters(spark):
+    rows = [(1, dt.datetime(2024, 5, 1, 0, 0)), (2, dt.datetime(2024, 5, 1, 23, 59, 59)), (3, dt.datetime(2024, 5, 2)), (4, None)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz")
+
+    def keys(out):
+        return sorted(r["k"] for r in out.collect())
+
+    assert keys(filters.apply_filters(df, {"t": "2024-05-01"})) == [1, 2]
+    assert keys(filters.apply_filters(df, {"t": ["2024-05-02", "not a time"]})) == [3]
+    assert keys(filters.apply_filters(df, {"t": "soon"})) == []
+    assert keys(filters.apply_slicers(df, {"t": ["2024-05-01", "2024-05-01"]})) == [1, 2]
+
+
 def test_filter_reaches_the_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
     out = filters.apply_filters(df, {"o_orderstatus": "F", "o_totalprice": {"min": 10}}).select("o_orderkey")
