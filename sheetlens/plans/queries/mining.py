@@ -96,7 +96,7 @@ LEFT JOIN (SELECT row_id, "column", method, anomaly_score FROM records) m ON m.r
 """)
 def anomaly_overlay(spark, sf_dir):
     df = table(spark, sf_dir, "events", ids=True).select("event_id", "value", "_row_id")
-    page = filters.page_rows(df, 1, 100, dense_ids=True)
+    page = filters.page_rows(df, 1, 100)
     return filters.anomaly_overlay(page, _records(df, ["value"])).withColumnRenamed("_row_id", "row_id")
 
 

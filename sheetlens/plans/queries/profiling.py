@@ -274,7 +274,7 @@ def page_search_part(spark, sf_dir):
 
 @query(f"SELECT {_PAGE_COLUMNS} FROM part ORDER BY part.p_partkey LIMIT 50 OFFSET 100")
 def page_rows_part(spark, sf_dir):
-    return filters.page_rows(table(spark, sf_dir, "part", ids=True), 3, 50, dense_ids=True).drop("_row_id")
+    return filters.page_rows(table(spark, sf_dir, "part", ids=True), 3, 50).drop("_row_id")
 
 
 @query("""

@@ -188,6 +188,16 @@ def test_filters(spark):
     assert filters.display(df).where("k = '3'").first()["s"] == ""
 
 
+def test_pages(spark):
+    df = spark.range(95).select(F.col("id").alias("_row_id"), (F.col("id") * 2).alias("v")).repartition(6)
+    for page, size in ((1, 10), (4, 30), (5, 30)):
+        want = [str(2 * i) for i in range(95)][(page - 1) * size : page * size]
+        for dense in (False, True):
+            assert sorted(r["v"] for r in filters.page_rows(df, page, size, dense_ids=dense).collect()) == sorted(want)
+    gaps = df.where("v % 3 = 0")
+    assert [r["v"] for r in filters.page_rows(gaps, 2, 5).orderBy("_row_id").collect()] == ["30", "36", "42", "48", "54"]
+
+
 def test_time_filters(spark):
     rows = [(1, dt.datetime(2024, 5, 1, 0, 0)), (2, dt.datetime(2024, 5, 1, 23, 59, 59)), (3, dt.datetime(2024, 5, 2)), (4, None)]
     df = spark.createDataFrame(rows, "k int, t timestamp_ntz")
