@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -17,6 +21,7 @@ from pyspark.sql.types import StructType
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "sheetlens", cpus: str | int = "*") -> SparkSession:
@@ -36,45 +41,68 @@ def build_session(app: str = "sheetlens", cpus: str | int = "*") -> SparkSession
     )
 
 
-def shared_dir(spark: SparkSession) -> str | None:
+def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a session inside one JVM gets a folder of its own when the setting is missing; a cluster must name one.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="sheetlens-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    base = shared_dir(spark)
-    if base is None:
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    return f"{base.rstrip('/')}/sheetlens/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/sheetlens/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     This cuts the lineage: a lost executor costs a re-read of its splits, not the
-    shuffles before them. Parquet also keeps later passes column-pruned. Without a
-    shared folder the table is persisted on executor disks instead.
+    shuffles before them. Parquet also keeps later passes column-pruned.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df.persist(StorageLevel.DISK_ONLY)
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if "/sheetlens/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that their Python functions can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        archive = os.path.join(tempfile.mkdtemp(prefix="sheetlens-ship-"), f"sheetlens-{sc.applicationId}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.join("sheetlens", os.path.relpath(file, package)))
+        sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 ROWS_PER_TASK = 5_000
 
 
