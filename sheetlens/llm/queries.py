@@ -25,3 +25,23 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetlens.llm.ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    import public_tokenizers
+
+    from sheetlens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to Parquet list columns in document order and read back."""
+    import public_tokenizers
+
+    from sheetlens.llm.token_files import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

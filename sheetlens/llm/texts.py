@@ -22,6 +22,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
+_EXACT_VALUE = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
@@ -113,6 +114,14 @@ def words(texts: pa.Array) -> Words:
     return Words(row, start, end, hashes, data, len(texts))
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans as they stand, upper case told from lower case."""
+    power, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_EXACT_VALUE[data] * power[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
 def shingles(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every run of ``n`` words; a text with fewer words gives all of them as one, none without words."""
     total = len(found.hash)
