@@ -45,3 +45,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetlens.llm.token_files import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learnt from the labelled ones that are not held out."""
+    from sheetlens.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
