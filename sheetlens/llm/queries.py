@@ -77,3 +77,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in seekable bundles, read back."""
+    from sheetlens.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
