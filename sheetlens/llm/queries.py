@@ -85,3 +85,11 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetlens.llm.warc import archive_pages
 
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold an item of the benchmark, with the items."""
+    from sheetlens.llm.decontaminate import find_leaks, question_and_answer
+
+    return find_leaks(table(spark, sf_dir, "documents"), question_and_answer(table(spark, sf_dir, "benchmark")))
