@@ -1,5 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with every passage of every document.
 
+Words are runs of letters and digits in lower case.
+
 The index. An item's question and answer together are cut into entries of at most ``STRIDE`` words. An entry's score for
 a passage is the BM25 sum over the terms they share, divided by the entry's score for itself, so one threshold serves
 all items. Postings lie in blocks of ``BLOCK`` entries, with the largest weight of every term in every block.
@@ -17,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlens.llm.texts import as_texts, chunks, shingles, words
+from sheetlens.llm.texts import NOT_ALPHANUMERIC, Words, as_texts, chunks, shingles, words
 from sheetlens.session import ship_package, stage
 
 STRIDE = 64
@@ -52,11 +55,16 @@ def question_and_answer(items: DataFrame, share: float = 0.25) -> DataFrame:
     )
 
 
+def plain_words(texts: pa.Array) -> Words:
+    """Words of letters and digits in lower case (of any script), so that marks and capitals hide no item."""
+    return words(pc.utf8_lower(texts), NOT_ALPHANUMERIC)
+
+
 def _entries(batches):
     names = ["item_id", "part", "term", "tf", "n"]
     for batch in batches:
         both = pa.array([f"{q or ''} {a or ''}" for q, a in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())], pa.string())
-        found = words(both)
+        found = plain_words(both)
         first = np.searchsorted(found.row, np.arange(found.n_rows))
         part = (np.arange(len(found.row)) - first[found.row]) // STRIDE
         key = np.stack([found.row, part, found.hash.view(np.int64)], 1)
@@ -130,7 +138,7 @@ class Shard:
 
 def _grams(text: str | None, n: int) -> tuple[int, np.ndarray]:
     """(n, distinct n-grams) of a question or an answer; short ones take shorter n-grams."""
-    found = words(pa.array([text or ""], pa.string()))
+    found = plain_words(pa.array([text or ""], pa.string()))
     n = max(1, min(n, len(found.row) // 2))
     return n, np.unique(shingles(found, n)[1])
 
@@ -199,7 +207,7 @@ def _search(index, threshold: float):
         shard = index.value
         for batch in batches:
             for at, texts in chunks(as_texts(batch.column("text"))):
-                found = words(texts)
+                found = plain_words(texts)
                 row, entry, score = retrieve(found, shard, threshold)
                 best: dict[tuple[int, int], float] = {}
                 for r, i, s in zip(row.tolist(), shard.item[entry].tolist(), score.tolist()):

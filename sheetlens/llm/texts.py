@@ -92,10 +92,14 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         at = to
 
 
-def words(texts: pa.Array) -> Words:
-    """All words of ``texts`` in order."""
+#: Bytes between words that are made of letters and digits only.
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """All words of ``texts`` in order; ``between`` says which bytes stand between words."""
     data, bounds = raw(texts)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     after = np.empty_like(inside)
