@@ -93,3 +93,11 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetlens.llm.decontaminate import find_leaks, question_and_answer
 
     return find_leaks(table(spark, sf_dir, "documents"), question_and_answer(table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the maximum-entropy model and under smoothed word counts."""
+    from sheetlens.llm.maxent import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
