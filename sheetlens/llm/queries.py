@@ -101,3 +101,11 @@ def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetlens.llm.maxent import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other rows of every row of the embeddings whose vec_id is divisible by 20."""
+    from sheetlens.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
