@@ -22,6 +22,11 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return salted.join(_least_neighbour(edges), ["u", "s"]).select("u", "v", "m")
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over their hashes, the same for the same edges only."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (two long columns); component is the smallest node reached.
 
@@ -31,14 +36,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     now = stage(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = None
+    seen = _state(now)
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = _with_least(large)
         small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stage(small.unionByName(stars.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        state = _state(after)
         drop_staged(now)
         now = after
         if state == seen:

@@ -5,10 +5,11 @@ the counts of its words over all documents, in a table of fixed size), then by h
 sorts that way. The join finds all links with ``den * intersection >= num * union``:
 
 1. Equal sets are one class; only classes go on.
-2. A class gives its first ``n - ceil(t n) + l`` elements, with ``l = 1 + n // 20``. Two sets that link share at least
-   ``min(l, l')`` of them. Elements held by up to ``SMALL`` classes give pairs, which are counted; elements held by more
-   give stars around one class, for classes that have ``l`` such elements at least. Pairs that can still reach ``l``
-   and the stars make cells. No link leaves a cell.
+2. A class gives its first ``n - ceil(t n) + l`` elements. Two sets that link share at least ``min(l, l')`` of them.
+   Elements held by up to ``SMALL`` classes give pairs, which are counted; those that can still reach ``l`` are kept. A
+   link that no such element shows joins two classes with ``l`` elements held by more. With ``l = 1 + n // 20`` these
+   are few; they are looked at again with ``l = n // 2``, and what then still has ``l`` elements held by many is mostly
+   made of copies of one text: stars around one class tie it together. Pairs and stars make cells; no link leaves one.
 3. The whole sets of a cell go into one prefix tree, which is searched for all of them at once (``trie.py``). A cell
    beyond ``BLOCK`` sets is dealt out in blocks; each block also holds the same few leaders. Components then show which
    sets are not yet with the cell's largest component, and only those are searched for in the trees of all blocks. Pairs
@@ -96,13 +97,17 @@ def _rarity(described: DataFrame) -> np.ndarray:
     return np.round(np.log2(counts + 1.0)).astype(np.int64)
 
 
-def prefix_sizes(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+#: ``l`` as a function of the set size, at the first look and at the second.
+LOOKS = (lambda n: 1 + n // 20, lambda n: np.maximum(1, n // 2))
+
+
+def prefix_sizes(n: np.ndarray, num: int, den: int, look: int) -> tuple[np.ndarray, np.ndarray]:
     """(length of the prefix, elements of it that two linked sets share at least)."""
-    least = 1 + n // 20
+    least = LOOKS[look](n)
     return np.minimum(n, n - (n * num + den - 1) // den + least), least
 
 
-def _prefixes(n_words: int, num: int, den: int, rarity):
+def _prefixes(n_words: int, num: int, den: int, look: int, rarity):
     """(element, sig, n) of the prefixes; a set seen before in the task is left out."""
 
     def run(batches):
@@ -122,7 +127,7 @@ def _prefixes(n_words: int, num: int, den: int, rarity):
                 _, first = np.unique(sig, return_index=True)
                 fresh = first[(n[first] > 0) & ~np.isin(sig[first], seen)]
                 seen = np.concatenate([seen, sig[fresh]])
-                length, _ = prefix_sizes(n[fresh], num, den)
+                length, _ = prefix_sizes(n[fresh], num, den, look)
                 at = np.repeat(bounds[fresh] - np.cumsum(length) + length, length) + np.arange(length.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value[at].view(np.int64)), pa.array(np.repeat(sig[fresh], length)), pa.array(np.repeat(n[fresh], length).astype(np.int32))],
@@ -132,7 +137,7 @@ def _prefixes(n_words: int, num: int, den: int, rarity):
     return run
 
 
-def _meet(num: int, den: int):
+def _meet(num: int, den: int, look: int):
     """Pairs of classes that share an element of few classes; stars for elements of many. Input is ordered by element."""
 
     def run(batches):
@@ -146,18 +151,18 @@ def _meet(num: int, den: int):
                 continue
             last = np.searchsorted(element, element[-1])  # the last element may go on in the next batch
             held = [c[last:] for c in columns]
-            yield from _of_elements(*(c[:last] for c in columns), num, den)
+            yield from _of_elements(*(c[:last] for c in columns), num, den, look)
             if len(held[0]) > 1 << 20:
                 # one element of very many classes: its star is made of pieces that share the first class
-                yield from _of_elements(*held, num, den)
+                yield from _of_elements(*held, num, den, look)
                 held = [c[:1] for c in held]
         if held is not None:
-            yield from _of_elements(*held, num, den)
+            yield from _of_elements(*held, num, den, look)
 
     return run
 
 
-def _of_elements(element, sig, n, num, den):
+def _of_elements(element, sig, n, num, den, look):
     if not len(element):
         return
     keep = np.concatenate([[True], (element[1:] != element[:-1]) | (sig[1:] != sig[:-1])])
@@ -179,17 +184,17 @@ def _of_elements(element, sig, n, num, den):
         a, b = np.concatenate(a), np.concatenate(b)
         pair = np.stack([sig[a], sig[b]], 1)  # sorted by sig inside an element
         ends, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
-        yield _edges(ends[:, 0], ends[:, 1], np.minimum(n[a[at]], n[b[at]]), n[a[at]], n[b[at]], times, False)
+        yield _edges(ends[:, 0], ends[:, 1], n[a[at]], n[b[at]], times, False, look)
     star = np.flatnonzero((size > SMALL)[group])
     if len(star):
         pair = np.stack([sig[start[group[star]]], sig[star]], 1)
         ends, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
         own = n[star[at]]
-        yield _edges(ends[:, 0], ends[:, 1], own, own, own, times, True)
+        yield _edges(ends[:, 0], ends[:, 1], own, own, times, True, look)
 
 
-def _edges(a, b, n, na, nb, times, star):
-    need = np.minimum(prefix_sizes(na.astype(np.int64), 1, 1)[1], prefix_sizes(nb.astype(np.int64), 1, 1)[1])
+def _edges(a, b, n_a, n_b, times, star, look):
+    need = np.minimum(LOOKS[look](n_a.astype(np.int64)), LOOKS[look](n_b.astype(np.int64)))
     return pa.RecordBatch.from_arrays(
         [pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(np.full(len(a), star))],
         ["a", "b", "need", "times", "star"],
@@ -201,8 +206,8 @@ def _sets(n_words: int, rarity):
         for batch in batches:
             for at, part in chunks(as_texts(batch.column("text"))):
                 row, value = _elements(words(part), n_words, rarity.value)
-                ids = [batch.column(c).slice(at, len(part)) for c in ("cell", "node")]
-                yield pa.RecordBatch.from_arrays([*ids, lists(value.view(np.int64), row_bounds(row, len(part)), pa.int64())], ["cell", "node", "elements"])
+                ids = [batch.column(c).slice(at, len(part)) for c in ("cell", "m", "node")]
+                yield pa.RecordBatch.from_arrays([*ids, lists(value.view(np.int64), row_bounds(row, len(part)), pa.int64())], ["cell", "m", "node", "elements"])
 
     return run
 
@@ -242,9 +247,11 @@ EDGE = "a bigint, b bigint"
 
 
 def _join_cells(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) between the nodes of ``members`` (cell, node, elements), complete up to components."""
-    sizes = members.groupBy("cell").agg(F.count("*").alias("m"))
-    sized = stage(members.join(sizes, "cell").withColumn("at", F.xxhash64("node")), "sets")
+    """Verified links (a, b) between the nodes of ``members``, complete up to components.
+
+    ``members`` has cell, m (nodes in the cell), node and elements.
+    """
+    sized = stage(members.withColumn("at", F.xxhash64("node")), "sets")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     dealt = sized.withColumn("block", F.pmod("at", blocks))
     search = _search(num, den)
@@ -285,6 +292,29 @@ def _join_cells(members: DataFrame, num: int, den: int) -> DataFrame:
     return found.unionByName(more)
 
 
+def _texts_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``source`` joined with the rows of ``nodes`` for its doc_id; up to ``BROADCAST_ROWS`` rows of numbers are broadcast."""
+    nodes = stage(nodes, "nodes")
+    few = nodes.count() <= BROADCAST_ROWS
+    return source.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("node"))
+
+
+def _meetings(source: DataFrame, n: int, num: int, den: int, look: int, rarity):
+    """(pairs of classes that may link, classes with many elements held by many classes, stars of such elements)."""
+    prefixes = source.select("text").mapInArrow(_prefixes(n, num, den, look, rarity), "element bigint, sig bigint, n int")
+    ordered = prefixes.repartition("element").sortWithinPartitions("element", "sig")
+    edges = stage(ordered.mapInArrow(_meet(num, den, look), "a bigint, b bigint, need int, times int, star boolean"), "meetings")
+    hot = edges.where("star").groupBy(F.col("b").alias("sig")).agg(F.sum("times").alias("hot"), F.max("need").alias("need"))
+    hot_of = [hot.select(F.col("sig").alias(k), F.col("hot").alias(f"hot_{k}")) for k in ("a", "b")]
+    counted = edges.where("NOT star").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times"))
+    reachable = F.col("times") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+    pairs = counted.join(hot_of[0], "a", "left").join(hot_of[1], "b", "left").where(reachable >= F.col("need")).select("a", "b")
+    many = stage(hot.where("hot >= need").select("sig"), "many")
+    # the classes of a star meet at their element's first class, whether or not that has many such elements itself
+    stars = edges.where("star").select("a", "b").distinct().join(many, F.col("b") == F.col("sig")).select("a", "b")
+    return pairs, many, stars
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), class_id and component_id.
 
@@ -304,25 +334,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("sig", "check", "n").agg(F.min("doc_id").alias("rep"))
 
-    prefixes = source.where("doc_id IS NOT NULL").mapInArrow(_prefixes(n, num, den, rarity), "element bigint, sig bigint, n int")
-    ordered = prefixes.repartition("element").sortWithinPartitions("element", "sig")
-    edges = stage(ordered.mapInArrow(_meet(num, den), "a bigint, b bigint, need int, times int, star boolean"), "meetings")
-    stars = edges.where("star").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times"))
-    hot = edges.where("star").groupBy(F.col("b").alias("sig")).agg(F.sum("times").alias("hot"))
-    counted = edges.where("NOT star").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times"))
-    hot_of = [hot.select(F.col("sig").alias(k), F.col("hot").alias(f"hot_{k}")) for k in ("a", "b")]
-    reachable = F.col("times") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    pairs = counted.join(hot_of[0], "a", "left").join(hot_of[1], "b", "left").where(reachable >= F.col("need")).select("a", "b")
-    # the classes of a star meet at their element's first class, whether or not that takes part itself
-    centred = stars.join(hot_of[1], "b").where("hot_b >= need").select("a", "b")
-    cells = connected_components(pairs.unionByName(centred))
-    members = stage(
-        cells.join(classes.select("sig", "rep"), F.col("node") == F.col("sig")).select(F.col("component").alias("cell"), F.col("rep").alias("node")).distinct(),
-        "cells",
-    )
-    few = members.count() <= BROADCAST_ROWS
-    texts = source.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("node"))
-    sets = texts.select("cell", "node", "text").mapInArrow(_sets(n, rarity), "cell bigint, node bigint, elements array<bigint>")
+    pairs, many, _ = _meetings(source.where("doc_id IS NOT NULL"), n, num, den, 0, rarity)
+    again = _texts_of(source, classes.join(many, "sig").select(F.col("rep").alias("node")).distinct())
+    more, _, stars = _meetings(again, n, num, den, 1, rarity)
+    cells = connected_components(pairs.unionByName(more).unionByName(stars))
+    members = cells.join(classes.select("sig", "rep"), F.col("node") == F.col("sig"))
+    members = stage(members.select(F.col("component").alias("cell"), F.col("rep").alias("node")).distinct(), "cells")
+    sized = members.join(members.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    sets = _texts_of(source, stage(sized, "cells")).select("cell", "m", "node", "text")
+    sets = sets.mapInArrow(_sets(n, rarity), "cell bigint, m bigint, node bigint, elements array<bigint>")
     found = _join_cells(sets, num, den)
     linked = connected_components(found)
     roots = classes.join(linked, F.col("rep") == F.col("node"), "left").select(
