@@ -109,3 +109,19 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetlens.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotations, with the message each one answers."""
+    from sheetlens.llm.quotes import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+# the tables quote nothing, so every message answers the one before; quotations are tested against brute force
+ORACLE["op2_quote_linking"] = """
+SELECT conv_id, turn, role, text, lag(turn) OVER w AS reply_to, false AS quoted, first(turn) OVER w AS thread,
+       row_number() OVER w - 1 AS depth
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+"""
