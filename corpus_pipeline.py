@@ -42,8 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in the text and ``n_chars`` brought up to date."""
-    cleaned = redact_secrets(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    length = F.char_length("text").cast("bigint")
+    cleaned = redact_secrets(docs.withColumn("_before", length))
+    return cleaned.withColumn("n_chars", F.when(length != F.col("_before"), length).otherwise(F.col("n_chars"))).drop("_before")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
