@@ -6,37 +6,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetlens.functions.counts import union_all
 from sheetlens.functions.values import col, field_type
-from sheetlens.sources.row_ids import ROW_ID, data_columns, with_row_id
+from sheetlens.sources.row_ids import data_columns
 
 # Domains in order of preference, with title and keywords.
 DOMAINS = (
-    ("sales", "Sales Analytics", "sales revenue order product price customer discount quantity unit retail store deal cart purchased"),
-    ("marketing", "Marketing Performance", "campaign clicks impressions ctr conversion ad_spend spend lead channel cpc cpa roas reach traffic ad"),
-    ("healthcare", "Healthcare & Clinical Analytics", "patient diagnosis treatment hospital doctor symptom admission stay medical disease readmitted dosage clinical department"),
-    ("finance", "Financial Analytics", "transaction amount balance invoice expense budget account credit debit profit loss cash asset liability tax"),
-    ("customer", "Customer Analytics", "churn ltv satisfaction retention nps feedback support ticket subscription tier loyalty segment user"),
-    ("education", "Education & Academics", "student marks grade attendance score subject exam gpa semester course academic pass teacher class"),
-    ("hr", "Human Resources", "employee salary department attrition hire manager designation tenure compensation rating leave workforce"),
-    ("operations", "Operations & Logistics", "shipment warehouse supplier delivery freight carrier lead_time dispatch delay inventory stock sku supply"),
+    (
+        "sales",
+        "Sales Analytics",
+        (
+            "sales", "revenue", "order", "product", "price", "customer", "discount", "quantity", "unit", "retail",
+            "store", "deal", "cart", "purchased",
+        ),
+    ),
+    (
+        "marketing",
+        "Marketing Performance",
+        (
+            "campaign", "clicks", "impressions", "ctr", "conversion", "ad_spend", "spend", "lead", "channel", "cpc",
+            "cpa", "roas", "reach", "traffic", "ad",
+        ),
+    ),
+    (
+        "healthcare",
+        "Healthcare & Clinical Analytics",
+        (
+            "patient", "diagnosis", "treatment", "hospital", "doctor", "symptom", "admission", "stay", "medical",
+            "disease", "readmitted", "dosage", "clinical", "department",
+        ),
+    ),
+    (
+        "finance",
+        "Financial Analytics",
+        (
+            "transaction", "amount", "balance", "invoice", "expense", "budget", "account", "credit", "debit",
+            "profit", "loss", "cash", "asset", "liability", "tax",
+        ),
+    ),
+    (
+        "customer",
+        "Customer Analytics",
+        (
+            "churn", "ltv", "satisfaction", "retention", "nps", "feedback", "support", "ticket", "subscription",
+            "tier", "loyalty", "segment", "user",
+        ),
+    ),
+    (
+        "education",
+        "Education & Academics",
+        (
+            "student", "marks", "grade", "attendance", "score", "subject", "exam", "gpa", "semester", "course",
+            "academic", "pass", "teacher", "class",
+        ),
+    ),
+    (
+        "hr",
+        "Human Resources",
+        (
+            "employee", "salary", "department", "attrition", "hire", "manager", "designation", "tenure",
+            "compensation", "rating", "leave", "workforce",
+        ),
+    ),
+    (
+        "operations",
+        "Operations & Logistics",
+        (
+            "shipment", "warehouse", "supplier", "delivery", "freight", "carrier", "lead_time", "dispatch", "delay",
+            "inventory", "stock", "sku", "supply",
+        ),
+    ),
 )
 GENERAL = ("general", "General Structured Dataset", 52)
-SAMPLE_PER_COLUMN = 15
 
 
-def _sample_text(df: DataFrame) -> DataFrame:
-    """One row: the first present values of every text column, lower-cased."""
-    df = with_row_id(df)
+def _held_words(df: DataFrame) -> DataFrame:
+    """One row: the keywords that any value of any text column holds, case ignored."""
     texts = [c for c in data_columns(df) if isinstance(field_type(df, c), T.StringType)]
+    words = sorted({w for _, _, keywords in DOMAINS for w in keywords})
     if not texts:
-        return df.sparkSession.range(1).select(F.lit("").alias("text"))
-    parts = [
-        df.select(ROW_ID, col(c).alias("value")).where(F.col("value").isNotNull()).orderBy(ROW_ID).limit(SAMPLE_PER_COLUMN)
-        for c in texts
-    ]
-    joined = F.array_join(F.array_sort(F.collect_list("value")), " ")
-    return union_all(parts).agg(F.lower(joined).alias("text"))
+        return df.sparkSession.range(1).select(F.array().cast("array<string>").alias("held"))
+    lowered = df.select(F.lower(F.concat_ws(" ", *[col(c) for c in texts])).alias("text"))
+    found = lowered.agg(*[F.bool_or(F.contains("text", F.lit(w))).alias(f"w{i}") for i, w in enumerate(words)])
+    return found.select(F.array_compact(F.array(*[F.when(F.col(f"w{i}"), w) for i, w in enumerate(words)])).alias("held"))
 
 
 def domain_scores(df: DataFrame) -> DataFrame:
@@ -47,15 +98,15 @@ def domain_scores(df: DataFrame) -> DataFrame:
             F.lit(i).alias("domain_order"),
             F.lit(key).alias("domain"),
             F.lit(title).alias("domain_name"),
-            F.lit(2 * sum(w in names for w in words.split())).alias("name_score"),
-            F.split(F.lit(words), " ").alias("words"),
+            F.lit(2 * sum(w in names for w in words)).alias("name_score"),
+            F.array(*[F.lit(w) for w in words]).alias("words"),
         )
         for i, (key, title, words) in enumerate(DOMAINS)
     ]
-    found = F.size(F.filter("words", lambda w: F.contains(F.col("text"), w)))
+    found = F.size(F.array_intersect("words", "held"))
     return (
-        _sample_text(df)
-        .select("text", F.inline(F.array(*domains)))
+        _held_words(df)
+        .select("held", F.inline(F.array(*domains)))
         .select("domain_order", "domain", "domain_name", "name_score", found.alias("value_score"))
         .withColumn("score", F.col("name_score") + F.col("value_score"))
     )

@@ -89,7 +89,7 @@ def filter_status(df: DataFrame, active: dict[str, Any] | None) -> DataFrame:
 def apply_slicers(df: DataFrame, active: dict[str, Any]) -> DataFrame:
     """Dashboard slicers: two-element lists are ranges, text compares trimmed and case-free.
 
-    A range with a text start that holds "-" is a date range over whole days.
+    A range is one of whole days when either end is a text that holds "-" after its first sign; an end may be left open.
     """
     for name, wanted in active.items():
         if wanted in (None, "", "All") or name not in df.columns:
@@ -97,7 +97,7 @@ def apply_slicers(df: DataFrame, active: dict[str, Any]) -> DataFrame:
         t = field_type(df, name)
         if isinstance(wanted, (list, tuple)) and len(wanted) == 2:
             low, high = wanted
-            if isinstance(low, str) and "-" in low:
+            if any(isinstance(end, str) and "-" in end[1:] for end in (low, high)):
                 tests = []
                 if is_time(t):
                     # whole days as a half-open range of the stored type, so that it is pushed down

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import col, numeric_frame
-from sheetlens.session import spread, stage
+from sheetlens.session import ship_package, spread, stage
 from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 # Size of the forest and expected share of outliers.
@@ -77,16 +77,12 @@ def _uniform(*parts) -> F.Column:
 def tree_samples(rows: DataFrame, n: int) -> DataFrame:
     """Up to 256 rows for each of the trees, as (tree, row id, values)."""
     want = min(SUBSAMPLE, n)
-    if n > TREES * SUBSAMPLE:
-        # each kept row serves one tree; about a fifth more rows than needed are kept
-        kept = rows.where(_uniform(ROW_ID, F.lit(SEED)) < F.lit(1.2 * TREES * SUBSAMPLE / n + 1e-12))
-        drawn = kept.withColumn("tree", F.pmod(F.xxhash64(F.lit(SEED + 1), ROW_ID), F.lit(TREES)).cast("int"))
-    else:
-        # a small table: every tree draws from all rows
-        share = min(1.0, (want + 6 * math.sqrt(want) + 10) / n)
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).where(
-            _uniform(F.lit(SEED), ROW_ID, "tree") < F.lit(share)
-        )
+    # a tree draws a row with probability ``share``; a row that no tree draws leaves before the trees are tried
+    share = min(1.0, (want + 6 * math.sqrt(want) + 10) / n)
+    any_tree = min(1.0, TREES * share)
+    kept = rows.where(_uniform(ROW_ID, F.lit(SEED)) < F.lit(any_tree))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: _uniform(F.lit(SEED + 1), ROW_ID, t) < F.lit(share / any_tree))
+    drawn = kept.withColumn("tree", F.explode(trees))
     # one shuffle by tree serves the pick and the growing; the number keeps small data spread over the cores
     drawn = drawn.repartition(min(TREES, rows.sparkSession.sparkContext.defaultParallelism), "tree")
     pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(SEED + 2), ROW_ID, "tree"), ROW_ID)
@@ -137,6 +133,7 @@ def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame | None:
 
     The scored rows are written once, since both the threshold and the flags read them.
     """
+    ship_package(df.sparkSession)
     rows = numeric_frame(with_row_id(df), columns, [ROW_ID]).na.drop(subset=columns)
     n = rows.count()
     if n < MIN_ROWS:

@@ -119,6 +119,7 @@ def significant_pairs(pairs: DataFrame, k: int | None = TOP_PAIRS) -> DataFrame:
             F.when(r > 0, "positive").otherwise("negative").alias("direction"),
             "order_a",
             "order_b",
+            r.alias("raw_r"),
         )
         .orderBy(F.desc(F.abs("correlation")), "order_a", "order_b")
     )
@@ -127,6 +128,7 @@ def significant_pairs(pairs: DataFrame, k: int | None = TOP_PAIRS) -> DataFrame:
 
 def explained(pairs: DataFrame) -> DataFrame:
     """Significant pairs with their one-line reading."""
+    # fixed value: the sentence
     text = F.format_string(
         "%s and %s show a %s %s correlation (r = %s). "
         "Note: This indicates a statistical association and does not imply causation.",
@@ -134,9 +136,9 @@ def explained(pairs: DataFrame) -> DataFrame:
         "column_b",
         "strength",
         "direction",
-        fixed("correlation"),
+        fixed("raw_r"),
     )
-    return pairs.withColumn("explanation", text)
+    return pairs.withColumn("explanation", text).drop("raw_r")
 
 
 def strongest(pairs: DataFrame) -> DataFrame:
@@ -160,6 +162,7 @@ def what_if_options(pairs: DataFrame, k: int = TOP_OPTIONS) -> DataFrame:
             F.when(F.col("r") >= 0, "positive").otherwise("negative").alias("relationship"),
             "order_a",
             "order_b",
+            r.alias("raw_r"),
         )
         .orderBy(F.desc(F.abs("correlation")), "order_a", "order_b")
         .limit(k)

@@ -133,7 +133,7 @@ def corr_matrix_lineitem(spark, sf_dir):
 @query(f"""
 WITH {SALES_LINES_SQL}, {pairs_sql('sales_lines', VALUE_COLUMNS)}, {SIGNIFICANT_SQL}
 SELECT column_a, column_b, correlation, strength, direction,
-       column_a || ' and ' || column_b || ' show a ' || strength || ' ' || direction || ' correlation (r = ' || format('{{:.2f}}', correlation)
+       column_a || ' and ' || column_b || ' show a ' || strength || ' ' || direction || ' correlation (r = ' || format('{{:.2f}}', raw_r)
        || '). Note: This indicates a statistical association and does not imply causation.' AS explanation
 FROM significant
 """)

@@ -177,12 +177,12 @@ def _domain_sql() -> str:
     words = ", ".join(
         f"({i}, '{key}', '{title.replace(chr(39), chr(39) * 2)}', '{w}')"
         for i, (key, title, keywords) in enumerate(domain.DOMAINS)
-        for w in keywords.split()
+        for w in keywords
     )
     texts = []
-    for name, (key, names, columns) in DOMAIN_TABLES.items():
-        samples = union([f"(SELECT {c} AS v FROM {name} WHERE {c} IS NOT NULL ORDER BY {key} LIMIT 15)" for c in columns])
-        texts.append(f"SELECT '{name}' AS table_name, '{names}' AS names, lower(string_agg(v, ' ')) AS txt FROM ({samples})")
+    for name, (_, names, columns) in DOMAIN_TABLES.items():
+        values = " || ' ' || ".join(f"coalesce({c}, '')" for c in columns)
+        texts.append(f"SELECT '{name}' AS table_name, '{names}' AS names, lower(string_agg(DISTINCT {values}, ' ')) AS txt FROM {name}")
     return (
         f"WITH words(domain_order, domain, domain_name, word) AS (VALUES {words}), texts AS ({union(texts)}), "
         "scores AS (SELECT table_name, CAST(domain_order AS INTEGER) AS domain_order, domain, domain_name, "

@@ -241,7 +241,7 @@ SIGNIFICANT_SQL = """
 significant AS (
   SELECT a AS column_a, b AS column_b, round(r, 3) AS correlation,
          CASE WHEN abs(r) >= 0.6 THEN 'strong' ELSE 'moderate' END AS strength,
-         CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, oa, ob
+         CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, oa, ob, r AS raw_r
   FROM pairs WHERE oa < ob AND abs(r) >= 0.35
   ORDER BY abs(correlation) DESC, oa, ob LIMIT 10)
 """

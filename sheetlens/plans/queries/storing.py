@@ -21,6 +21,25 @@ def csv_roundtrip(spark, sf_dir):
     return csv.read_csv(spark, out).drop("_row_id")
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_documents(spark, sf_dir):
+    """Texts with line breaks, quotes and blanks."""
+    out = tables.export_csv(table(spark, sf_dir, "documents"), new_path(spark, "export"), "documents.csv")
+    return csv.read_csv(spark, out).drop("_row_id")
+
+
+@query("""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority,
+       'datetime' AS date_class FROM orders
+""")
+def csv_roundtrip_orders(spark, sf_dir):
+    """Dates come back as text of class datetime."""
+    out = tables.export_csv(table(spark, sf_dir, "orders"), new_path(spark, "export"), "orders.csv")
+    back = csv.read_csv(spark, out).drop("_row_id")
+    kind = "datetime" if "o_orderdate" in profile.infer_types(back).dates else "other"
+    return back.withColumn("date_class", F.lit(kind))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def cleaned_reload(spark, sf_dir):
     cleaned, _ = clean.clean(table(spark, sf_dir, "orders", ids=True))

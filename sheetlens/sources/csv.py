@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetlens.functions.values import col, parse_double
-from sheetlens.sources.row_ids import ROW_ID, read_parquet, with_row_id
+from sheetlens.sources.row_ids import ROW_ID, number_text_rows, read_parquet, with_row_id
 
 # Accepted files and texts that mean "missing".
 EXTENSIONS = (".csv", ".parquet")
@@ -18,7 +18,7 @@ NA_TOKENS = (
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 TRUE_TOKENS, FALSE_TOKENS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
-INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d{1,38}\s*$"
 BROKEN_CHARACTER = "�"
 
 
@@ -35,7 +35,7 @@ def check_extension(path: str) -> str:
 
 def header_names(spark: SparkSession, path: str, encoding: str) -> list[str]:
     """Trimmed names of the first line; blank ones get a number, repeated ones a suffix."""
-    options = {"encoding": encoding, "header": "false", "inferSchema": "false", "quote": '"', "escape": '"'}
+    options = {"encoding": encoding, "header": "false", "inferSchema": "false", "quote": '"', "escape": '"', "multiLine": "true"}
     first = spark.read.options(**options).csv(path).limit(1).collect()
     if not first:
         raise IngestError("The file is empty.")
@@ -50,18 +50,25 @@ def header_names(spark: SparkSession, path: str, encoding: str) -> list[str]:
 def _read_text(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     names = header_names(spark, path, encoding)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    options = {"encoding": encoding, "header": "true", "enforceSchema": "true", "quote": '"', "escape": '"'}
+    # quoted line breaks: a file is one split then, so large tables come as many files
+    options = {"encoding": encoding, "header": "true", "enforceSchema": "true", "quote": '"', "escape": '"', "multiLine": "true"}
     raw = spark.read.options(**options).schema(schema).csv(path)
     present = [F.when(~F.coalesce(col(f"c{i}"), F.lit("")).isin(*NA_TOKENS), col(f"c{i}")).alias(n) for i, n in enumerate(names)]
-    return raw.select(*present)
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+    return raw.select(*present, *place, F.monotonically_increasing_id().alias("_at"))
 
 
-def _typed(c: str, rows: int, ints: int, nums: int, flags: int) -> Column:
+PLACE = ("_file", "_from", "_at")
+
+
+def _typed(c: str, rows: int, ints: int, digits: int, nums: int, flags: int) -> Column:
     """A text column in the narrowest type all its present values fit."""
     if rows and flags == rows:
         return col(c).isin(*TRUE_TOKENS)
     if rows and ints == rows:
         return F.trim(col(c)).cast("bigint")
+    if rows and digits == rows:
+        return F.trim(col(c)).cast("decimal(38,0)")
     if rows and nums == rows:
         return parse_double(col(c))
     return col(c)
@@ -77,24 +84,27 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> Dat
     for encoding in ("UTF-8", "ISO-8859-1"):
         df = _read_text(spark, path, encoding)
         aggs = [F.count("*").alias("rows")]
-        for i, c in enumerate(df.columns):
+        names = [c for c in df.columns if c not in PLACE]
+        for i, c in enumerate(names):
             v = col(c)
+            whole = F.when(v.rlike(INTEGER_PATTERN), F.trim(v))
             aggs += [
                 F.count(v).alias(f"n{i}"),
-                F.count(F.when(v.rlike(INTEGER_PATTERN), 1)).alias(f"i{i}"),
+                F.count(whole.try_cast("bigint")).alias(f"i{i}"),
+                F.count(whole.try_cast("decimal(38,0)")).alias(f"w{i}"),
                 F.count(parse_double(v)).alias(f"d{i}"),
                 F.count(F.when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1)).alias(f"b{i}"),
                 F.count(F.when(F.contains(v, F.lit(BROKEN_CHARACTER)), 1)).alias(f"x{i}"),
             ]
         row = df.agg(*aggs).first()
-        if encoding != "UTF-8" or not any(row[f"x{i}"] for i in range(len(df.columns))):
+        if encoding != "UTF-8" or not any(row[f"x{i}"] for i in range(len(names))):
             break
-    check_size(row["rows"], len(df.columns), max_rows)
-    kept = [(i, c) for i, c in enumerate(df.columns) if row[f"n{i}"]]
-    typed = [_typed(c, row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"]).alias(c) for i, c in kept]
+    check_size(row["rows"], len(names), max_rows)
+    kept = [(i, c) for i, c in enumerate(names) if row[f"n{i}"]]
+    typed = [_typed(c, row[f"n{i}"], row[f"i{i}"], row[f"w{i}"], row[f"d{i}"], row[f"b{i}"]).alias(c) for i, c in kept]
     names = [c for _, c in kept]
     any_present = F.coalesce(*[col(n) for n in names]).isNotNull()
-    return with_row_id(df.select(*[col(n) for n in names])).where(any_present).select(*typed, ROW_ID)
+    return number_text_rows(df.select(*[col(n) for n in names], *PLACE)).where(any_present).select(*typed, ROW_ID)
 
 
 def check_size(rows: int, columns: int, max_rows: int | None) -> None:

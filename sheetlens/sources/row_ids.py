@@ -8,36 +8,44 @@ from pyspark.sql import functions as F
 ROW_ID = "_row_id"
 FILE_STRIDE_BITS = 40
 BLOCK_BITS = 18
-LISTED_FILES = 20_000
+#: monotonically_increasing_id counts the rows of a task in these bits.
+SPLIT_ROW_BITS = 33
 
 
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_ID]
 
 
+def _ranked(places: DataFrame, *by: str) -> DataFrame:
+    """Distinct rows of ``places`` with their rank; one row per file or split, far fewer than the table has rows."""
+    return places.distinct().withColumn("_pos", F.row_number().over(Window.orderBy(*by)).cast("bigint") - 1)
+
+
 def read_parquet(spark, path: str) -> DataFrame:
-    """Parquet rows with ``_row_id`` = (file position, row in file), free of any shuffle.
+    """Parquet rows with ``_row_id`` = (rank of the file by path, row in file), whatever the number of files.
 
-    The positions of up to ``LISTED_FILES`` files are broadcast, a few megabytes at most. Beyond that
-    the ids follow the order of the input splits instead.
+    The ranks come from a scan that reads no data column, and are joined by file path.
     """
     df = spark.read.parquet(path)
-    files = sorted(f.replace("file:///", "file:/", 1) for f in df.inputFiles())
-    if len(files) <= 1:
+    files = df.select(F.col("_metadata.file_path").alias("_file"))
+    if files.distinct().limit(2).count() <= 1:
         return df.select("*", F.col("_metadata.row_index").alias(ROW_ID))
-    if len(files) > LISTED_FILES:
-        return df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    positions = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _pos bigint")
     with_file = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    # a row of an unlisted file must not vanish silently
-    position = F.coalesce(F.col("_pos"), F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))).cast("bigint"))
     return (
-        with_file.join(F.broadcast(positions), "_file", "left")
-        .withColumn(ROW_ID, F.shiftleft(position, FILE_STRIDE_BITS) + F.col("_at"))
+        with_file.join(_ranked(files, "_file"), "_file")
+        .withColumn(ROW_ID, F.shiftleft("_pos", FILE_STRIDE_BITS) + F.col("_at"))
         .drop("_file", "_pos", "_at")
     )
 
 
+def number_text_rows(df: DataFrame) -> DataFrame:
+    """Rows of a text source that carry ``_file``, ``_from`` (start of their split) and ``_at`` (a number that rises
+    inside the split), with ``_row_id`` = (rank of the split by path and start, row in split)."""
+    splits = _ranked(df.select("_file", "_from"), "_file", "_from")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << SPLIT_ROW_BITS) - 1))
+    return df.join(splits, ["_file", "_from"]).withColumn(ROW_ID, F.shiftleft("_pos", SPLIT_ROW_BITS) + inside).drop("_file", "_from", "_pos", "_at")
+
+
 def with_row_id(df: DataFrame, key: Column | None = None) -> DataFrame:
     """Add ``_row_id`` from a unique key, or from the partition order of ``df``."""
     if ROW_ID in df.columns:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from sheetlens.functions.values import col, field_type, is_time
 from sheetlens.operators.clean import CleanReport
 from sheetlens.operators.profile import TableTypes
-from sheetlens.session import small_frame
+from sheetlens.session import path_exists, small_frame
 from sheetlens.sources.row_ids import ROW_ID
 
 # Fixed value: length of the dataset list.
@@ -33,17 +33,30 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, folder: str, filename: str) -> str:
-    """Download form: a folder of CSV parts named after the original file."""
+    """Download form: a folder of CSV parts named after the original file; values keep their blanks.
+
+    Times are written as days where a column holds whole days only, else with seconds (and a fraction where one has it).
+    """
     out = f"{folder.rstrip('/')}/cleaned_{filename}"
     rows = df.drop(ROW_ID)
-    rows.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(out)
+    times = [c for c in rows.columns if is_time(field_type(rows, c))]
+    if times:
+        day = [F.bool_and(F.date_trunc("day", col(c)) == col(c).cast("timestamp")).alias(f"d{i}") for i, c in enumerate(times)]
+        second = [F.bool_and(F.date_trunc("second", col(c)) == col(c).cast("timestamp")).alias(f"s{i}") for i, c in enumerate(times)]
+        whole = rows.agg(*day, *second).first()
+        for i, c in enumerate(times):
+            layout = "yyyy-MM-dd" if whole[f"d{i}"] else "yyyy-MM-dd HH:mm:ss" if whole[f"s{i}"] else "yyyy-MM-dd HH:mm:ss.SSSSSS"
+            rows = rows.withColumn(c, F.date_format(col(c), layout))
+    keep = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("errorifexists").options(**keep).csv(out)
     return out
 
 
 def append_result(result: DataFrame, base: str, kind: str, dataset_id: str) -> None:
-    """Add one analysis result table; partitions keep datasets apart."""
+    """Store one analysis result table; partitions keep datasets apart, and a repeated run replaces its own."""
     rows = result.withColumn("dataset_id", F.lit(dataset_id))
-    rows.write.mode("append").partitionBy("dataset_id").parquet(f"{base.rstrip('/')}/{kind}")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset_id").parquet(f"{base.rstrip('/')}/{kind}")
 
 
 def read_result(spark: SparkSession, base: str, kind: str, dataset_id: str) -> DataFrame:
@@ -104,10 +117,10 @@ def store_version(rows: DataFrame, base: str) -> None:
     ``rows`` holds one row per ``dashboard_id``; one writer at a time.
     """
     spark, path = rows.sparkSession, f"{base.rstrip('/')}/dashboards"
-    try:
+    if path_exists(spark, path):
         known = spark.read.parquet(path).groupBy("dashboard_id").agg(F.max("version").alias("_last"))
         joined = rows.join(known, "dashboard_id", "left")
-    except AnalysisException:
+    else:
         joined = rows.withColumn("_last", F.lit(None).cast("bigint"))
     versioned = joined.withColumn("version", F.coalesce(F.col("_last"), F.lit(0)).cast("bigint") + 1).drop("_last")
     versioned.write.mode("append").parquet(path)
