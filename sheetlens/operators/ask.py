@@ -89,16 +89,19 @@ def _first_named(text: Column, names: list[str], by_prefix: bool = False) -> Col
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
-def resolve_questions(questions: DataFrame, types: TableTypes, asked: str = "en", names: list[str] | None = None) -> DataFrame:
+def resolve_questions(questions: DataFrame, types: TableTypes, asked: str = "en", names: list[str] | None = None, filled: list[str] | None = None) -> DataFrame:
     """Add language, intent, col_a and col_b to a table with a ``question`` column.
 
     An optional ``context`` column names the chart the question is about. ``names`` are the
-    columns that hold values in the filtered table (default: all numerical ones).
+    columns that hold values in the filtered table (default: all numerical ones), ``filled`` the categories that do
+    (default: all); a question about a category without values goes on to the later rules.
     """
     numbers = types.numerical if names is None else [n for n in types.numerical if n in names]
     labels = types.categorical
     q = F.lower(F.trim(F.col("question")))
     no_column = F.lit(None).cast("string")
+    category = F.coalesce(_first_named(q, labels), F.lit(labels[0]) if labels else no_column)
+    ranked = [c for c in labels if filled is None or c in filled]
     context = F.lower(F.col("context")) if "context" in questions.columns else no_column
     in_context = F.coalesce(
         _first_named(context, [c.name for c in types.columns]), F.lit(numbers[0]) if numbers else no_column
@@ -113,7 +116,7 @@ def resolve_questions(questions: DataFrame, types: TableTypes, asked: str = "en"
         (named.isNotNull() & spread, "distribution"),
         (average & F.lit(bool(numbers)), "average_default"),
         (
-            has_any(q, RANK_WORDS) & F.lit(bool(labels)),
+            has_any(q, RANK_WORDS) & (category.isin(ranked) if ranked else F.lit(False)),
             "ranking",
         ),
         (has_any(q, LINK_WORDS), "correlation"),
@@ -125,7 +128,6 @@ def resolve_questions(questions: DataFrame, types: TableTypes, asked: str = "en"
         intent = intent.when(test, name)
     intent = intent.otherwise("summary")
     counted = has_any(q, COUNT_WORDS) if numbers else F.lit(True)
-    category = F.coalesce(_first_named(q, labels), F.lit(labels[0]) if labels else no_column)
     number = F.coalesce(_first_named(q, numbers), F.lit(numbers[0]) if numbers else no_column)
     step = questions.withColumn("language", detect_language(F.col("question"), asked)).withColumn("intent", intent)
     i = F.col("intent")
@@ -405,7 +407,8 @@ def answer_questions(questions: DataFrame, answers: DataFrame, types: TableTypes
         fixed = {k: F.lit(v) for k, v in local[0].items()}
         return resolved.select("*", *[v.cast("int" if k == "confidence" else "string").alias(k) for k, v in fixed.items()])
     names = [r["col_a"] for r in local if r["intent"] == "average"]
-    asked_for = resolve_questions(questions, types, asked, names)
+    filled = [r["col_a"] for r in local if r["intent"] == "frequency"]
+    asked_for = resolve_questions(questions, types, asked, names, filled)
     on = [asked_for[k].eqNullSafe(kept[k]) for k in ("intent", "col_a", "col_b")]
     joined = asked_for.join(kept, reduce(lambda a, b: a & b, on), "left")
     return joined.select(asked_for["*"], *[kept[k] for k in ("answer", "supporting_metric", "category", "confidence", "action", "target")])

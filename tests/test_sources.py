@@ -82,3 +82,13 @@ def test_bucket_labels_never_collide():
         labels = charts.bucket_labels([low + width * i for i in range(11)])
         assert len(set(labels)) == 10
     assert charts.bucket_labels([0.0, 50.0, 100.0, 1234.6]) == ["0.0–50.0", "50–100", "100–1,234"]
+
+
+def test_questions_about_a_category_without_values_fall_through(spark):
+    from sheetlens.operators import ask, profile
+
+    types = profile.infer_types(spark.createDataFrame([(f"c{i % 3}", float(i)) for i in range(60)], "cat string, v double"))
+    active = spark.createDataFrame([(None, 1.0), (None, 2.0)], "cat string, v double")
+    asked = ask.question_frame(spark, ["which cat has the highest v?", "count by cat", "what is the average v?"])
+    rows = ask.answer_questions(asked, ask.possible_answers(active, types), types).collect()
+    assert all(r["answer"] is not None for r in rows)
