@@ -50,10 +50,10 @@ def test_language_model_on_nothing(spark):
 
 def test_probabilities_of_a_history_sum_to_one():
     rng = np.random.default_rng(2)
-    tables = [rng.standard_normal((50, 8)), rng.standard_normal((50, 8))]
-    for table in tables:
-        z = maxent._log_softmax(table, [rng.integers(0, 50, 9), rng.integers(0, 50, 9)])
-        assert np.allclose(np.exp(z).sum(1), 1)
+    table = rng.standard_normal((50, maxent.SLOTS)).astype(np.float32)
+    rows = [rng.integers(0, 50, 9), rng.integers(0, 50, 9)]
+    each = [maxent.log_probability(table, rows, np.full(9, slot)) for slot in range(maxent.SLOTS)]
+    assert np.allclose(np.exp(each).sum(0), 1, atol=1e-5)
 
 
 def _vectors(n, seed=0):
