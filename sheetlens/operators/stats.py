@@ -162,7 +162,6 @@ def what_if_options(pairs: DataFrame, k: int = TOP_OPTIONS) -> DataFrame:
             F.when(F.col("r") >= 0, "positive").otherwise("negative").alias("relationship"),
             "order_a",
             "order_b",
-            r.alias("raw_r"),
         )
         .orderBy(F.desc(F.abs("correlation")), "order_a", "order_b")
         .limit(k)

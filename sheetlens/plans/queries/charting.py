@@ -262,7 +262,11 @@ def chart_specs(spark, sf_dir):
     return recommend.spec_frame(spark, recommend.recommend(types, recommend.best_pair(pairs)))
 
 
-@query()
+@query(f"""
+WITH {SALES_LINES_SQL}
+SELECT round(l_extendedprice, 2) AS x, round(revenue, 2) AS y FROM sales_lines
+ORDER BY md5(row_id || ':{charts.SAMPLE_SEED}'), row_id LIMIT {charts.SCATTER_POINTS}
+""")
 def scatter_sample(spark, sf_dir):
     return charts.scatter(sales_lines(spark, sf_dir), "l_extendedprice", "revenue")
 
