@@ -31,6 +31,7 @@ def kpis(df: DataFrame, types: TableTypes, quality_score: float | None = None) -
         F.count("*").alias("rows"), F.coalesce(F.sum(first), F.lit(0.0)).alias("total"), F.avg(second).alias("mean")
     )
     records = F.format_string("%,d", "rows")
+    # fixed values: labels and captions
     entries = [
         (f"Total {numbers[0]}", "Cumulative Aggregation", money(F.col("total")))
         if numbers

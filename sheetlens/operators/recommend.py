@@ -52,6 +52,7 @@ def recommend(types: TableTypes, best_pair: tuple[str, str, float] | None) -> li
     measures = [c for c in nums if is_measure_name(c)] or nums
     main = measures[0] if measures else None
     second = measures[1] if len(measures) > 1 else (nums[1] if len(nums) > 1 else None)
+    # fixed values: the chart titles
     out: list[ChartSpec] = []
     if types.date_column and main:
         shown = tuple(measures[:2])

@@ -201,6 +201,7 @@ def what_if(df: DataFrame, driver: str, target: str, percentage_change: float) -
     The sum over simulated rows has the closed form slope * factor * Σx + n * intercept.
     """
     if driver not in df.columns or target not in df.columns:
+        # fixed value: the message
         message = f"Columns {driver} or {target} not found in dataset."
         return small_frame(df.sparkSession, [{"success": False, "error": message}], WHAT_IF_DDL)
     factor = 1.0 + percentage_change / 100.0
@@ -243,5 +244,6 @@ def what_if(df: DataFrame, driver: str, target: str, percentage_change: float) -
         shown(r2, 3).alias("r_squared"),
         F.when(F.col("success"), F.least(F.lit(95), F.greatest(F.lit(40), F.floor(r2 * 100)))).cast("int").alias("confidence_score"),
         F.when(F.col("success"), summary).alias("summary"),
+        # fixed value: the message
         F.when(~F.col("success"), F.lit("Not enough data points to compute simulation model.")).alias("error"),
     )

@@ -197,6 +197,7 @@ def dashboard(df: DataFrame, dataset_id: str, quality_score: float | None = None
     for i, s in enumerate(specs):
         sections[f"chart_{i + 1}_{s.kind}"] = (lambda s=s: recommend.chart_data(df, s, types, a.pairs), [])
     contents = run_together({k: (lambda make=make, order=order: _as_json(make(), order)) for k, (make, order) in sections.items()})
+    # fixed value: the form of the title
     rows = [("title", f'"{domain["domain_name"]} Dashboard"'), ("domain", _as_json(spark.createDataFrame([domain]), []))]
     rows += list(contents.items())
     data = [(dataset_id, i, name, content) for i, (name, content) in enumerate(rows)]
