@@ -320,8 +320,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
 
     ``class_id`` is the smallest doc_id with an equal set, ``component_id`` the smallest doc_id reachable by links of
     ``den * intersection >= num * union``. Texts without words, null texts and rows without doc_id link with nothing: a
-    document's component is then its own doc_id (null without one). Rows that repeat a doc_id share its links. Other
-    columns of ``docs`` are not read. An empty table gives no rows.
+    document's component is then its own doc_id (null without one). Rows that repeat a doc_id with another text each go
+    with their own text. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -348,7 +348,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     roots = classes.join(linked, F.col("rep") == F.col("node"), "left").select(
         "sig", "check", "n", "rep", F.coalesce("component", "rep").alias("component")
     )
-    # rows of one doc_id with different texts tie their classes together
     return _rows_with_components(rows, roots)
 
 
