@@ -1,12 +1,12 @@
 """Conversations in reply order, with quotations linked to the messages they come from and taken out of the text.
 
 Everything here is DataFrame functions. A line's quote level is the number of ``>`` it begins with. Consecutive lines of
-one level are a passage. A message's own text is its lines of level 0 without the line that announces a quotation
+one level are a passage; quoted blank lines cut it into paragraphs. A message's own text is its lines of level 0 without the line that announces a quotation
 (``... wrote:``). Own text is cut into units: all of it, its paragraphs and its lines. Passages and units are normalised
 (lower case, letters and digits only, single blanks) and compared by hash inside their conversation.
 
-A passage comes from the latest earlier message with an equal unit; a passage that equals none is tried line by line. A
-message replies to the source of most of its level-1 text, else to that of its least quoted level with a source, else to
+A passage comes from the latest earlier message with an equal unit; a passage that equals none is tried by its paragraphs,
+and a paragraph that equals none line by line, so paragraphs may be left out and wrapped anew. A message replies to the source of most of its level-1 text, else to that of its least quoted level with a source, else to
 the message before it. Depth and first message of a thread follow by pointer doubling.
 """
 
@@ -68,21 +68,27 @@ def _before(messages: DataFrame) -> DataFrame:
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, id, turn, level, n, key): quoted passages, and every line of them under its own key."""
+    """(conv_id, id, turn, level, island, para, line_at, n, key): quoted passages, their paragraphs and their lines.
+
+    ``para`` is null for a whole passage, ``line_at`` for a passage or paragraph.
+    """
     lines = messages.where("quoting").select("conv_id", "id", "turn", F.posexplode(F.split("body", r"\r?\n")).alias("at", "line"))
     levelled = lines.withColumn("level", _level(F.col("line"))).where("level > 0").withColumn("line", F.regexp_replace("line", QUOTE + " ?", ""))
     order = Window.partitionBy("id", "level").orderBy("at")
-    islands = levelled.withColumn("island", F.col("at") - F.row_number().over(order))
+    blanks = F.sum(F.when(F.col("line").rlike(r"^\s*$"), 1).otherwise(0)).over(order)
+    islands = levelled.withColumn("island", F.col("at") - F.row_number().over(order)).withColumn("para", blanks)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    whole = islands.groupBy("conv_id", "id", "turn", "level", "island").agg(_plain(joined).alias("plain")).withColumn("line_at", F.lit(None).cast("int"))
-    single = islands.select("conv_id", "id", "turn", "level", "island", _plain(F.col("line")).alias("plain"), F.col("at").alias("line_at"))
-    keyed = whole.unionByName(single).withColumn("key", _key(F.col("plain"))).where("key IS NOT NULL")
-    return keyed.select("conv_id", "id", "turn", "level", "island", "line_at", F.length("plain").alias("n"), "key")
+    place = ("conv_id", "id", "turn", "level", "island")
+    whole = islands.groupBy(*place).agg(_plain(joined).alias("plain"))
+    paragraphs = islands.groupBy(*place, "para").agg(_plain(joined).alias("plain"))
+    single = islands.select(*place, "para", _plain(F.col("line")).alias("plain"), F.col("at").alias("line_at"))
+    keyed = single.unionByName(paragraphs, True).unionByName(whole, True).withColumn("key", _key(F.col("plain"))).where("key IS NOT NULL")
+    return keyed.select(*place, "para", "line_at", F.length("plain").alias("n"), "key")
 
 
 def _units(messages: DataFrame) -> DataFrame:
     """(conv_id, key, turn, id): the own text of messages, whole, by paragraph and by line."""
-    parts = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t]*\n"), F.split("text", r"\n")))
+    parts = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", r"\n")))
     return messages.select("conv_id", "turn", "id", F.explode(parts).alias("part")).select("conv_id", "turn", "id", _key(_plain(F.col("part"))).alias("key")).where("key IS NOT NULL").distinct()
 
 
@@ -95,13 +101,15 @@ def _sources(messages: DataFrame) -> DataFrame:
     passages = stage(_passages(messages), "passages")
     # only conversations with quotations are looked at
     units = _units(messages.join(passages.select("conv_id").distinct(), "conv_id", "left_semi"))
-    line = passages.select("conv_id", "key", "turn", "id", "level", "island", "line_at", "n", F.lit(None).cast("bigint").alias("unit"))
+    line = passages.select("conv_id", "key", "turn", "id", "level", "island", "para", "line_at", "n", F.lit(None).cast("bigint").alias("unit"))
     both = line.unionByName(units.withColumn("unit", F.col("id")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "key").orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, -1)
     met = both.withColumn("source", F.last("unit", ignorenulls=True).over(before)).where("unit IS NULL AND source IS NOT NULL AND source <> id")
-    # lines count only where their whole passage has no source
-    whole = met.where("line_at IS NULL").select("id", "level", "island").withColumn("found", F.lit(True))
-    counted = met.join(whole, ["id", "level", "island"], "left").where("line_at IS NULL OR found IS NULL")
+    # paragraphs count only where their whole passage has no source, lines only where their paragraph has none either
+    whole = met.where("para IS NULL").select("id", "level", "island").withColumn("found", F.lit(True))
+    parts = met.where("para IS NOT NULL AND line_at IS NULL").select("id", "level", "island", "para").withColumn("part_found", F.lit(True))
+    traced = met.join(whole, ["id", "level", "island"], "left").join(parts, ["id", "level", "island", "para"], "left")
+    counted = traced.where("para IS NULL OR (found IS NULL AND (line_at IS NULL OR part_found IS NULL))")
     weight = counted.groupBy("id", "level", "source").agg(F.sum("n").alias("n"))
     # the least quoted level first, then the most text, then the later message
     best = weight.groupBy("id").agg(F.min_by("source", F.struct("level", -F.col("n"), -F.col("source"))).alias("source"))

@@ -166,6 +166,16 @@ def test_quotations(spark):
     assert reply_ordered(_talk(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_some_paragraphs_quoted_and_wrapped_anew(spark, end):
+    first = "The harvest was late\nthis year in the north.\n\nPrices rose all summer\nand fell in autumn.\n\nNobody\nknows why."
+    reply = "On Monday A wrote:\n> The harvest was\n> late this year in\n> the north.\n>\n> Prices rose all\n> summer and fell in autumn.\n\nI see"
+    part = "> Prices rose all\n> summer and fell\n> in autumn.\n> \t\n> I see\n> \n> never said\n\nYes"
+    rows = [(1, 0, "a", first), (1, 1, "b", "Something else"), (1, 2, "c", reply), (1, 3, "d", "I doubt it"), (1, 4, "e", part)]
+    got = {r["turn"]: r for r in reply_ordered(_talk(spark, [(*r[:3], r[3].replace("\n", end)) for r in rows])).collect()}
+    assert [(got[t]["reply_to"], got[t]["quoted"], got[t]["text"]) for t in (2, 3, 4)] == [(0, True, "I see"), (2, False, "I doubt it"), (0, True, "Yes")]
+
+
 def test_quotations_run_without_python(spark):
     plan = reply_ordered(_talk(spark, [(1, 0, "a", "x"), (1, 1, "b", "> x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
