@@ -1,7 +1,9 @@
 """Nearest vectors by largest inner product: a neighbour graph by NN-descent, and greedy search in it.
 
-Equal vectors are one node. All vectors get one more component that brings them to the same length, so that the largest
-inner product with a query (whose extra component is 0) is the nearest node as well.
+Equal vectors are one node. Nodes are grouped by length, each group at most twice as long as another of it, and every
+group has a graph of its own. In it all vectors get one more component that brings them to the length of the longest, so
+that the largest inner product with a query (whose extra component is 0) is the nearest node as well. Single vectors that
+are far longer or shorter than the rest leave the scale of the others as it is.
 
 The graph. Nodes are ordered by nearest of a bounded set of sampled pivots and by their place along a random direction,
 dealt out by ranges of that order, and every run of ``RUN`` nodes is compared in full; two such orders give the first
@@ -9,8 +11,9 @@ lists. Then NN-descent: a node's list and the nodes that list it are brought tog
 neighbours are compared, and each node keeps the best ``LIST`` it has met. Only pairs with an entry that is new since the
 last round are compared, and only pairs that beat a list's last entry are sent on. Rounds end when few lists change.
 
-The search. A query starts from its own node where it has one and from the nearest of the sampled nodes, and in every
-round joins the best nodes it has not followed yet with the graph, up to ``ROUNDS`` rounds. Results get their scores from
+The search. In every group a query starts from its own node where it is there and from the nearest of the group's sampled
+nodes, and in every round joins the best nodes it has not followed yet with the graph, up to ``ROUNDS`` rounds. Groups too
+short to hold one of its best are left out; groups with few nodes are sampled whole and need no rounds. Results get their scores from
 the original vectors in double precision, and equal vectors are expanded to their rows. Nodes, queries and graph stay
 distributed; only the sampled nodes are broadcast.
 """
@@ -70,23 +73,41 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k1", F.xxhash64(plain)).withColumn("k2", F.xxhash64(F.lit(1), plain))
 
 
-def _extended(longest: float, pivots, directions):
-    """Vectors of length one with the extra component, in half precision, and their place in every order."""
+def _length(e: F.Column) -> F.Column:
+    return F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def _by_length(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``grp``: lengths from 0.71 to 1.41 times a power of two."""
+    return nodes.withColumn("grp", F.floor(F.log2(_length(F.col("embedding"))) + 0.5).cast("int"))
+
+
+def _groups(nodes: DataFrame) -> dict[int, tuple[int, float]]:
+    """Nodes and greatest length of every group."""
+    return {r[0]: (r[1], r[2]) for r in nodes.groupBy("grp").agg(F.count("*"), F.max(_length(F.col("embedding")))).collect()}
+
+
+def _lifted(x: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Vectors of length one with the extra component, each in the scale of its group."""
+    x = x.astype(np.float64) / longest[:, None]
+    extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+    return np.concatenate([x, extra[:, None]], 1).astype(np.float32)
+
+
+def _extended(longest: dict[int, float], pivots, directions):
+    """Lifted vectors and their place in every order."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            x = _rows(batch.column("embedding")).astype(np.float64)
-            extra = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-            x = (np.concatenate([x, extra[:, None]], 1) / np.sqrt(longest)).astype(np.float32)
+            x = _lifted(_rows(batch.column("embedding")), np.array([longest[g] for g in batch.column("grp").to_pylist()]))
             places = []
             for p, d in zip(pivots.value, directions.value):
                 places += [pa.array((x @ p.T).argmax(1).astype(np.int32)), pa.array(x @ d)]
-            half = x.astype(np.float16)
-            vec = pa.array([r.tobytes() for r in half], pa.binary())
+            vec = pa.array([r.tobytes() for r in x], pa.binary())
             names = [f"{k}{i}" for i in range(len(pivots.value)) for k in ("cell", "place")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), vec, *places], ["node", "vec", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("grp"), vec, *places], ["node", "grp", "vec", *names])
 
     return run
 
@@ -99,29 +120,31 @@ def _best_pairs(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare_runs(batches):
-    """Best pairs inside every run of ``RUN`` nodes of a sorted partition; runs overlap by half."""
+    """Best pairs of one group inside every run of ``RUN`` nodes of a sorted partition; runs overlap by half."""
 
-    def best(node, x):
+    def best(node, grp, x):
         near = x @ x.T
         np.fill_diagonal(near, -np.inf)
+        near[grp[:, None] != grp] = -np.inf
         u, v = _best_pairs(near, min(LIST, len(node) - 1))
-        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(near[u, v])], ["u", "v", "s"])
+        s = near[u, v]
+        u, v, s = (c[s > -np.inf] for c in (u, v, s))
+        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(s)], ["u", "v", "s"])
 
-    node, x = np.zeros(0, np.int64), None
+    held = None
     for batch in batches:
         if not len(batch):
             continue
-        more = _packed(batch.column("vec"), np.float16).astype(np.float32)
-        node = np.concatenate([node, batch.column("node").to_numpy()])
-        x = more if x is None else np.concatenate([x, more])
-        while len(node) >= 2 * RUN:
-            yield best(node[:RUN], x[:RUN])
-            node, x = node[RUN // 2 :], x[RUN // 2 :]
-    while len(node) > 1:
-        yield best(node[:RUN], x[:RUN])
-        if len(node) <= RUN:
+        more = [batch.column("node").to_numpy(), batch.column("grp").to_numpy(), _packed(batch.column("vec"), np.float32)]
+        held = more if held is None else [np.concatenate(c) for c in zip(held, more)]
+        while len(held[0]) >= 2 * RUN:
+            yield best(*(c[:RUN] for c in held))
+            held = [c[RUN // 2 :] for c in held]
+    while held is not None and len(held[0]) > 1:
+        yield best(*(c[:RUN] for c in held))
+        if len(held[0]) <= RUN:
             break
-        node, x = node[RUN // 2 :], x[RUN // 2 :]
+        held = [c[RUN // 2 :] for c in held]
 
 
 def _keep_best(edges: DataFrame, by: str, k: int) -> DataFrame:
@@ -142,7 +165,7 @@ def _meet(batches):
     for batch in batches:
         if not len(batch):
             continue
-        table = [batch.column("u").to_numpy(), batch.column("v").to_numpy(), batch.column("fresh").to_numpy(zero_copy_only=False), batch.column("last").to_numpy(), _packed(batch.column("vec"), np.float16)]
+        table = [batch.column("u").to_numpy(), batch.column("v").to_numpy(), batch.column("fresh").to_numpy(zero_copy_only=False), batch.column("last").to_numpy(), _packed(batch.column("vec"), np.float32)]
         if held is not None:
             table = [np.concatenate(p) for p in zip(held, table)]
         last = np.searchsorted(table[0], table[0][-1])
@@ -183,27 +206,26 @@ def _neighbour_pairs(u, v, fresh, last, vec):
 
 
 def build_graph(nodes: DataFrame) -> DataFrame:
-    """(u, v) edges of the neighbour graph, both ways, from ``nodes`` (node, embedding array<float>)."""
+    """(u, v) edges of the neighbour graph, both ways, from ``nodes`` (node, embedding array<float>, grp)."""
     spark = nodes.sparkSession
-    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    n, longest = nodes.agg(F.count("*"), F.max(length)).first()
+    groups = _groups(nodes)
+    n, longest = sum(c for c, _ in groups.values()), {g: m for g, (_, m) in groups.items()}
     none = spark.createDataFrame([], "u bigint, v bigint")
     if n < 2:
         return none
     pivots, directions = [], []
     for i in range(ORDERS):
-        drawn = nodes.orderBy(F.xxhash64(F.lit(SEED + i), "node"), "node").limit(min(PIVOTS, max(1, n // 64))).select("embedding").collect()
-        p = np.array([r[0] for r in drawn], np.float64)
-        extra = np.sqrt(np.maximum(longest - (p * p).sum(1), 0))
-        pivots.append((np.concatenate([p, extra[:, None]], 1) / np.sqrt(longest)).astype(np.float32))
-        directions.append(np.random.default_rng(SEED + i).standard_normal(p.shape[1] + 1).astype(np.float32))
+        drawn = nodes.orderBy(F.xxhash64(F.lit(SEED + i), "node"), "node").limit(min(PIVOTS, max(1, n // 64))).select("embedding", "grp").collect()
+        pivots.append(_lifted(np.array([r[0] for r in drawn], np.float64), np.array([longest[r[1]] for r in drawn])))
+        directions.append(np.random.default_rng(SEED + i).standard_normal(pivots[-1].shape[1]).astype(np.float32))
     shared = spark.sparkContext.broadcast(pivots), spark.sparkContext.broadcast(directions)
     columns = "".join(f", cell{i} int, place{i} float" for i in range(ORDERS))
-    vectors = stage(nodes.mapInArrow(_extended(longest, *shared), f"node bigint, vec binary{columns}"), "vectors")
+    vectors = stage(nodes.mapInArrow(_extended(longest, *shared), f"node bigint, grp int, vec binary{columns}"), "vectors")
     first = None
     for i in range(ORDERS):
-        dealt = vectors.select("node", "vec", f"cell{i}", f"place{i}").repartitionByRange(f"cell{i}", f"place{i}").sortWithinPartitions(f"cell{i}", f"place{i}")
-        pairs = dealt.select("node", "vec").mapInArrow(_compare_runs, EDGES)
+        order = ("grp", f"cell{i}", f"place{i}")
+        dealt = vectors.select("node", "vec", *order).repartitionByRange(*order).sortWithinPartitions(*order)
+        pairs = dealt.select("node", "grp", "vec").mapInArrow(_compare_runs, EDGES)
         first = pairs if first is None else first.unionByName(pairs)
     graph = stage(_keep_best(first.groupBy("u", "v").agg(F.max("s").alias("s")), "u", LIST).withColumn("fresh", F.lit(True)), "graph")
     for turn in range(DESCENTS):
@@ -239,44 +261,65 @@ def _inner(names: list[str], kind):
 
 
 def _enter(seeds, k: int):
+    """(q, grp, node, followed): the ``k`` best seeds of each group; of groups that are seeds only, all a beam holds."""
+
     def run(batches):
-        ids, x = seeds.value
+        groups = seeds.value
         for batch in batches:
-            if len(batch):
-                near = _rows(batch.column("embedding")) @ x.T
-                row, column = _best_pairs(near, k)
-                q = batch.column("q").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[column])], ["q", "node"])
+            if not len(batch):
+                continue
+            x = _rows(batch.column("embedding")).astype(np.float64)
+            near = [x @ s.T for _, _, s, _, _ in groups]
+            everything = np.concatenate(near, 1)
+            least = np.full(len(x), -np.inf)
+            if everything.shape[1] >= BEAM:
+                least = np.partition(everything, everything.shape[1] - BEAM, axis=1)[:, everything.shape[1] - BEAM]
+            length = np.sqrt((x * x).sum(1)) * (1 + 1e-9)
+            for (grp, ids, _, longest, whole), s in zip(groups, near):
+                asks = np.flatnonzero(length * longest >= least)
+                if len(asks):
+                    row, column = _best_pairs(s[asks], BEAM if whole else k)
+                    q = batch.column("q").to_numpy()[asks[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), grp, np.int32)), pa.array(ids[column]), pa.array(np.full(len(q), whole))], ["q", "grp", "node", "followed"])
 
     return run
 
 
 def search_graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, node, s): up to ``BEAM`` near nodes of every query (q, embedding, node: its own node or null)."""
+    """(q, node, s): up to ``BEAM`` near nodes of every group for every query (q, embedding, node and grp: its own or null)."""
     spark = nodes.sparkSession
-    drawn = nodes.orderBy(F.xxhash64(F.lit(SEED - 1), "node"), "node").limit(2 * PIVOTS).collect()
-    if not drawn:
+    groups = _groups(nodes)
+    if not groups:
         return spark.createDataFrame([], "q bigint, node bigint, s double")
-    seeds = spark.sparkContext.broadcast((np.array([r["node"] for r in drawn]), np.array([r["embedding"] for r in drawn], np.float32)))
+    # groups of up to 2 * PIVOTS nodes are drawn whole, others by chance
+    share = F.create_map(*(F.lit(x) for g, (n, _) in groups.items() for x in (g, min(1.0, 2 * PIVOTS / n))))
+    chance = F.pmod(F.xxhash64(F.lit(SEED - 1), "node"), F.lit(1 << 30)) / float(1 << 30)
+    drawn: dict[int, list] = {}
+    for r in nodes.where(chance < share[F.col("grp")]).select("grp", "node", "embedding").collect():
+        drawn.setdefault(r["grp"], []).append(r)
+    seeds = spark.sparkContext.broadcast([(g, np.array([r["node"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32), groups[g][1], len(rows) == groups[g][0]) for g, rows in drawn.items()])
     queries = stage(queries, "queries")
     vectors = nodes.select("node", F.col("embedding").alias("b"))
     asked = queries.select("q", F.col("embedding").alias("a"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "node").join(asked, "q").select("q", "node", "a", "b").mapInArrow(_inner(["q", "node"], np.float32), "q bigint, node bigint, s double")
-
-    own = queries.where(F.col("node").isNotNull()).select("q", "node")
-    start = own.unionByName(queries.select("q", "embedding").mapInArrow(_enter(seeds, 4), "q bigint, node bigint")).distinct()
-    beam = stage(scored(start).withColumn("followed", F.lit(False)), "beam")
-    best = Window.partitionBy("q").orderBy(F.col("s").desc(), "node")
+        got = pairs.select("q", "node").join(vectors, "node").join(asked, "q").select("q", "node", "a", "b").mapInArrow(_inner(["q", "node"], np.float64), "q bigint, node bigint, s double")
+        return got.join(pairs, ["q", "node"])
+
+    kind = "q bigint, grp int, node bigint, followed boolean"
+    own = queries.where(F.col("node").isNotNull()).select("q", "grp", "node", F.lit(False).alias("followed"))
+    start = own.unionByName(queries.select("q", "embedding").mapInArrow(_enter(seeds, 4), kind)).groupBy("q", "grp", "node").agg(F.max("followed").alias("followed"))
+    columns = ("q", "grp", "node", "s", "followed")
+    beam = stage(scored(stage(start, "start")).select(*columns), "beam")
+    best = Window.partitionBy("q", "grp").orderBy(F.col("s").desc(), "node")
     for _ in range(ROUNDS):
-        front = beam.where("NOT followed").withColumn("r", F.row_number().over(best)).where(F.col("r") <= FOLLOW).select("q", "node")
-        reached = front.join(edges, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
-        unknown = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti")
-        known = beam.join(front.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "s", (F.col("followed") | F.coalesce("now", F.lit(False))).alias("followed"))
-        all_ = known.unionByName(scored(unknown).withColumn("followed", F.lit(False)))
+        front = beam.where("NOT followed").withColumn("r", F.row_number().over(best)).where(F.col("r") <= FOLLOW).select("q", "grp", "node")
+        reached = front.join(edges, F.col("node") == F.col("u")).select("q", "grp", F.col("v").alias("node")).distinct()
+        unknown = stage(reached.join(beam.select("q", "node"), ["q", "node"], "left_anti"), "unknown")
+        known = beam.join(front.withColumn("now", F.lit(True)), ["q", "grp", "node"], "left").select("q", "grp", "node", "s", (F.col("followed") | F.coalesce("now", F.lit(False))).alias("followed"))
+        all_ = known.unionByName(scored(unknown).withColumn("followed", F.lit(False)).select(*columns))
         after = stage(all_.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).drop("r"), "beam")
-        drop_staged(beam)
+        drop_staged(beam, unknown)
         beam = after
     return beam.select("q", "node", "s")
 
@@ -292,10 +335,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     rows = stage(_nodes(usable_vectors(vectors)).dropDuplicates(["vec_id", "k1", "k2"]), "rows")
     nodes = stage(rows.groupBy("k1", "k2").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("least")).withColumn("node", F.xxhash64("k1", "k2")), "nodes")
     keyed = rows.select("vec_id", is_query.alias("asks"), F.xxhash64("k1", "k2").alias("node"))
-    plain = nodes.select("node", "embedding")
+    plain = stage(_by_length(nodes.select("node", "embedding")), "plain")
     edges = build_graph(plain)
     asking = keyed.where("asks").select("node").distinct()
-    queries = plain.join(asking, "node", "left_semi").select(F.col("node").alias("q"), "embedding", "node")
+    queries = plain.join(asking, "node", "left_semi").select(F.col("node").alias("q"), "embedding", "node", "grp")
     near = search_graph(plain, edges, queries)
     # exact scores, then the first k + 1 rows of every vector: one of them may be the query itself
     originals = plain.select("node", F.col("embedding").alias("b"))

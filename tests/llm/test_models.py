@@ -91,6 +91,25 @@ def test_nearest_vectors_with_copies_and_odd_rows(spark):
     assert [i for i, _ in (got[1000][k] for k in range(1, 6))] == [i for i, _ in want[1000][:5]]
 
 
+@pytest.mark.parametrize("usual", ["unit", "lognormal"])
+def test_nearest_vectors_among_some_far_longer_ones(spark, usual):
+    rng = np.random.default_rng(3)
+    n, d = 6000, 64
+    x = rng.standard_normal((150, d))[rng.integers(0, 150, n)] + 0.7 * rng.standard_normal((n, d))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if usual == "lognormal":
+        x *= rng.lognormal(0, 0.3, n)[:, None]
+    x[[7, 1111, 2222, 3333, 4444]] *= [[100], [100], [300], [1000], [1000]]
+    rows = [(i, [float(v) for v in row.astype(np.float32)], 0) for i, row in enumerate(x)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "vec_id bigint, embedding array<float>").repartition(4)
+    got = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = _brute(rows)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {i for i, _ in best}) for q, best in want.items()) >= 0.95 * 20 * len(want)
+
+
 def test_few_vectors(spark):
     kind = "vec_id bigint, embedding array<float>"
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.5, 1.0]), (20, [-1.0, 2.0])], kind)
