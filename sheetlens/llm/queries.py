@@ -125,3 +125,53 @@ SELECT conv_id, turn, role, text, lag(turn) OVER w AS reply_to, false AS quoted,
        row_number() OVER w - 1 AS depth
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repeated words of at least seven letters with their more frequent spelling."""
+    from sheetlens.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+
+
+#: crc32 of a text's UTF-8 bytes, four bits at a time. Fixed values of that check sum: the remainders of the sixteen four-bit values.
+CRC32 = """xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(0, 2 * octet_length(encode({0}))),
+      lambda i: CAST(instr('0123456789ABCDEF', substr(hex(encode({0})), CAST(i + 2 - 2 * (i % 2) AS INTEGER), 1)) - 1 AS BIGINT))),
+    lambda crc, four: xor(crc >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(crc, four) & 15)])
+  ), 4294967295)"""
+
+ORACLE["op13_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7
+), counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+summed AS (SELECT run, n, {CRC32.format("(doc_id || ':' || run)")} AS h FROM counted),
+thinned AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM summed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM thinned WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, spot, substr(word, 1, spot - 1) || substr(word, spot + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.spot = b.spot AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form,
+         CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), walk(word, root) AS (
+  SELECT word, word FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT walk.word, walk.root FROM walk JOIN forms g ON g.word = walk.root WHERE g.form IS NULL) r ON r.word = f.word
+"""
