@@ -137,6 +137,14 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query
+def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, and its spans, learnt from the documents that are not held out."""
+    from sheetlens.llm.language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 #: crc32 of a text's UTF-8 bytes, four bits at a time. Fixed values of that check sum: the remainders of the sixteen four-bit values.
 CRC32 = """xor(list_reduce(
     list_prepend(4294967295, list_transform(range(0, 2 * octet_length(encode({0}))),
