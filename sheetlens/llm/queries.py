@@ -145,6 +145,14 @@ def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations, with their subtree totals."""
+    from sheetlens.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 #: crc32 of a text's UTF-8 bytes, four bits at a time. Fixed values of that check sum: the remainders of the sixteen four-bit values.
 CRC32 = """xor(list_reduce(
     list_prepend(4294967295, list_transform(range(0, 2 * octet_length(encode({0}))),
@@ -183,3 +191,38 @@ thinned AS (
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
 FROM forms f JOIN (SELECT walk.word, walk.root FROM walk JOIN forms g ON g.word = walk.root WHERE g.form IS NULL) r ON r.word = f.word
 """
+
+ORACLE["op12_conversation_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, own, conv_id - conv_id % 5 AS base, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 9 AS h
+  FROM (SELECT conv_id, count(*) AS own FROM turns GROUP BY conv_id)
+), rebuilt AS (
+  SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(b.own, 0)) + t.place - c.h, t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h LEFT JOIN convs b ON b.conv_id = c.base
+), prefixes AS MATERIALIZED (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS key, CAST(0 AS BIGINT) AS bytes FROM convs
+  UNION ALL
+  SELECT conv_id, CAST(place AS BIGINT), sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY place)), octet_length(encode(text))
+  FROM rebuilt
+), lengths AS (SELECT conv_id, max(depth) AS len FROM prefixes GROUP BY conv_id),
+nodes AS MATERIALIZED (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, max(len) = depth AS is_leaf,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = depth), '')) AS ends_sha256
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY depth, key
+), above AS MATERIALIZED (
+  SELECT p.depth, p.key, n.depth AS below, n.key AS below_key, n.n_convs, n.bytes, n.is_leaf
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+), totals AS (
+  SELECT depth, key, count(*) FILTER (below = depth + 1) AS n_children, count(*) FILTER (is_leaf) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+  FROM above GROUP BY depth, key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, t.n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t USING (depth, key) LEFT JOIN above a ON a.below = n.depth AND a.below_key = n.key AND a.depth = n.depth - 1
+LEFT JOIN nodes p ON p.depth = a.depth AND p.key = a.key
+"""
