@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sheetlens.session import drop_staged, stage
+from sheetlens.session import drop_staged, ship_package, stage
 
 SALTS = 8
 MAX_ROUNDS = 60
@@ -22,28 +24,54 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return salted.join(_least_neighbour(edges), ["u", "s"]).select("u", "v", "m")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number of edges and a sum over their hashes, the same for the same edges only."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+def _contract(batches):
+    """Edges of a task to edges from each of its nodes to the smallest one that it reaches by them."""
+    ends = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for batch in batches:
+        for held, column in zip(ends, batch.columns, strict=True):
+            held.append(column.to_numpy())
+    ids, local = np.unique(np.concatenate(ends[0] + ends[1]), return_inverse=True)
+    u, v = np.split(local, 2)
+    least = np.arange(len(ids))
+    while True:
+        low = np.minimum(least[u], least[v])
+        after = least.copy()
+        for end in (u, v):
+            np.minimum.at(after, end, low)
+            np.minimum.at(after, least[end], low)
+        after = after[after]
+        if np.array_equal(after, least):
+            break
+        least = after
+    moved = np.flatnonzero(least != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[least[moved]], pa.int64())], ["u", "v"])
+
+
+def _staged(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a written table, and their number and a sum over their hashes: the same for the same edges only."""
+    seen = Observation()
+    checked = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("s"))
+    return stage(checked, "edges"), tuple(seen.get.values())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (two long columns); component is the smallest node reached.
 
-    Each round links a node's larger neighbours to its smallest one, then its smaller neighbours likewise, and writes
+    Tasks first replace their edges by stars, which keeps components as they are and holds no more than a task's own edges.
+    Then each round links a node's larger neighbours to its smallest one, then its smaller neighbours likewise, and writes
     the new edges to the shared folder, until they stay the same. Rounds grow with the logarithm of a component's
     diameter. No node's neighbours are gathered in one place. Edges with a null end and loops are left out.
     """
-    a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
-    now = stage(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = _state(now)
+    ship_package(edges.sparkSession)
+    a, b = (F.col(f"`{c}`").cast("bigint") for c in edges.columns[:2])
+    own = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now, seen = _staged(own.mapInArrow(_contract, "u bigint, v bigint").distinct())
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = _with_least(large)
         small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stage(small.unionByName(stars.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = _state(after)
+        after, state = _staged(small.unionByName(stars.select("u", F.col("m").alias("v"))).distinct())
         drop_staged(now)
         now = after
         if state == seen:

@@ -342,7 +342,7 @@ def _label(model):
                 lang = np.where(total > 0, np.array(m.learned, object)[best], "und")
                 new = np.concatenate([[True], (found.row[1:] != found.row[:-1]) | (label[1:] != label[:-1])]) if len(label) else np.zeros(0, bool)
                 begin = np.flatnonzero(new)
-                close = np.append(begin[1:], len(label)) - 1
+                close = np.append(begin[1:], len(label))[: len(begin)] - 1
                 of = found.row[begin]
                 per = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
                 spans = pa.StructArray.from_arrays(

@@ -34,6 +34,8 @@ SMALL = 16
 BLOCK = 256
 LEADERS = 16
 BROADCAST_ROWS = 500_000
+#: Rows of one element that are held before its star goes out in pieces.
+HELD_ROWS = 1 << 20
 
 _U = np.uint64
 
@@ -78,22 +80,31 @@ def _describe(n: int):
                     [batch.column("doc_id").slice(at, len(part)), pa.array(np.diff(bounds)), pa.array(sig), pa.array(check), *empty], names
                 )
         size = len(counts) // SLICES
-        pieces = pa.array([counts[i * size : (i + 1) * size].astype(np.uint32).tobytes() for i in range(SLICES)], pa.binary())
+        pieces = pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(SLICES)], pa.binary())
         none = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pieces], names)
 
     return run
 
 
+def _add_up(batches):
+    """The sum of the counts of each slice, one row at a time."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+            own = np.frombuffer(counts.as_buffer(), np.int64)
+            totals[at] = totals[at] + own if at in totals else own.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["slice", "counts"])
+
+
 def _rarity(described: DataFrame) -> np.ndarray:
     """log2 of the count of the words in each slot, over all documents (a table of fixed size)."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts"))
-        return pa.table({"slice": table.column("slice").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
-
-    parts = described.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, total binary")
-    counts = np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(parts.collect(), key=lambda r: r["slice"])])
+    parts = described.where("slice IS NOT NULL").select("slice", "counts")
+    kind = "slice int, counts binary"
+    # added up where they lie, then once more per slice, one at a time as they stream by
+    summed = parts.mapInArrow(_add_up, kind).repartition(SLICES, "slice").mapInArrow(_add_up, kind)
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(summed.collect(), key=lambda r: r["slice"])])
     return np.round(np.log2(counts + 1.0)).astype(np.int64)
 
 
@@ -141,7 +152,7 @@ def _meet(num: int, den: int, look: int):
     """Pairs of classes that share an element of few classes; stars for elements of many. Input is ordered by element."""
 
     def run(batches):
-        held = None
+        held = large = None
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             if held is not None:
@@ -151,18 +162,20 @@ def _meet(num: int, den: int, look: int):
                 continue
             last = np.searchsorted(element, element[-1])  # the last element may go on in the next batch
             held = [c[last:] for c in columns]
-            yield from _of_elements(*(c[:last] for c in columns), num, den, look)
-            if len(held[0]) > 1 << 20:
+            yield from _of_elements(*(c[:last] for c in columns), num, den, look, large)
+            if len(held[0]) > HELD_ROWS:
                 # one element of very many classes: its star is made of pieces that share the first class
-                yield from _of_elements(*held, num, den, look)
+                large = held[0][0]
+                yield from _of_elements(*held, num, den, look, large)
                 held = [c[:1] for c in held]
         if held is not None:
-            yield from _of_elements(*held, num, den, look)
+            yield from _of_elements(*held, num, den, look, large)
 
     return run
 
 
-def _of_elements(element, sig, n, num, den, look):
+def _of_elements(element, sig, n, num, den, look, large=None):
+    """Edges of elements; ``large`` is an element that had pieces before: the rest of it is a star however small."""
     if not len(element):
         return
     keep = np.concatenate([[True], (element[1:] != element[:-1]) | (sig[1:] != sig[:-1])])
@@ -170,8 +183,11 @@ def _of_elements(element, sig, n, num, den, look):
     start = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
     size = np.diff(np.append(start, len(element)))
     group = np.repeat(np.arange(len(start)), size)
+    is_large = size > SMALL
+    if large is not None:
+        is_large |= element[start] == large
     a, b = [], []
-    in_small = (size <= SMALL)[group]
+    in_small = ~is_large[group]
     for gap in range(1, SMALL):
         i = np.flatnonzero(in_small[:-gap] & (group[:-gap] == group[gap:]))
         if not len(i):
@@ -185,7 +201,7 @@ def _of_elements(element, sig, n, num, den, look):
         pair = np.stack([sig[a], sig[b]], 1)  # sorted by sig inside an element
         ends, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
         yield _edges(ends[:, 0], ends[:, 1], n[a[at]], n[b[at]], times, False, look)
-    star = np.flatnonzero((size > SMALL)[group])
+    star = np.flatnonzero(is_large[group])
     if len(star):
         pair = np.stack([sig[start[group[star]]], sig[star]], 1)
         ends, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)

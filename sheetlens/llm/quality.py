@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +84,43 @@ def vectors(texts: pa.Array, weight: np.ndarray, basis: np.ndarray) -> np.ndarra
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
 
-def leading_directions(matrix: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+class Bags:
+    """Sparse rows of weighted features, multiplied in blocks of ``BLOCK_ROWS`` rows that are made full one at a time."""
+
+    def __init__(self, row, feature, value, n: int):
+        self.feature, self.value = feature, value
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+        self.shape = (n, FEATURES)
+
+    def _blocks(self):
+        for at in range(0, self.shape[0], BLOCK_ROWS):
+            to = min(at + BLOCK_ROWS, self.shape[0])
+            held = slice(self.bounds[at], self.bounds[to])
+            block = np.zeros((to - at, FEATURES), np.float32)
+            block[np.repeat(np.arange(to - at), np.diff(self.bounds[at : to + 1])), self.feature[held]] = self.value[held]
+            yield slice(at, to), block
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], q.shape[1]), np.float32)
+        for rows, block in self._blocks():
+            out[rows] = block @ q
+        return out
+
+    def squared_times(self, q: np.ndarray) -> np.ndarray:
+        """The transpose times the rows times ``q``."""
+        out = np.zeros_like(q)
+        for _, block in self._blocks():
+            out += block.T @ (block @ q)
+        return out
+
+
+def leading_directions(bag: Bags, k: int, seed: int = 7) -> np.ndarray:
     """The leading right singular vectors by subspace iteration, as columns."""
-    k = min(k, *matrix.shape)
-    q = np.random.default_rng(seed).standard_normal((matrix.shape[1], k + 8)).astype(np.float32)
+    k = min(k, *bag.shape)
+    q = np.random.default_rng(seed).standard_normal((bag.shape[1], k + 8)).astype(np.float32)
     for _ in range(6):
-        q, _ = np.linalg.qr(matrix.T @ (matrix @ q))
-    small = matrix @ q
-    _, _, vt = np.linalg.svd(small, full_matrices=False)
+        q, _ = np.linalg.qr(bag.squared_times(q))
+    _, _, vt = np.linalg.svd(bag.times(q), full_matrices=False)
     return (q @ vt.T[:, :k]).astype(np.float32)
 
 
@@ -152,20 +182,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 * PER_LABEL ids
     rows = texts.join(F.broadcast(sample_ids), "doc_id").mapInArrow(_sample_bags, "doc_id bigint, quality int, key string, feature array<int>, count array<int>")
-    sample = sorted({(r["doc_id"], r["key"]): r for r in rows.collect()}.values(), key=lambda r: (r["doc_id"], r["key"]))
+    # equal rows count once; what comes to the driver are arrays of at most 2 * PER_LABEL bags, not rows of Python numbers
+    rows = rows.groupBy("doc_id", "key").agg(F.first("quality").alias("quality"), F.first("feature").alias("feature"), F.first("count").alias("count"))
+    sample = rows.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("key", "ascending")])
     counts = dict(texts.mapInArrow(_frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n")).collect())
     n = counts.get(-1, 0) or 0
     seen = np.array([counts.get(i, 0) or 0 for i in range(FEATURES)], float)
     weight = np.log((1.0 + n) / (1.0 + seen)) + 0.1
-    matrix = np.zeros((len(sample), FEATURES), np.float32)
-    for i, r in enumerate(sample):
-        feature, count = np.array(r["feature"], np.int64), np.array(r["count"], np.int64)
-        matrix[i, feature] = _weighted(np.zeros(len(feature), np.int64), feature, count, weight, 1)
-    label = np.array([r["quality"] for r in sample], float)
+    row = np.repeat(np.arange(len(sample)), pc.list_value_length(sample.column("feature")).to_numpy())
+    feature, count = (pc.list_flatten(sample.column(c)).to_numpy() for c in ("feature", "count"))
+    bag = Bags(row, feature, _weighted(row, feature, count, weight, len(sample)), len(sample))
+    label = sample.column("quality").to_numpy().astype(float)
     total = max(1, sum(shares.values()))
     prior = shares.get(1, 0) / total if shares else 0.5
-    basis = leading_directions(matrix, DIMENSIONS) if len(sample) else np.zeros((FEATURES, 1), np.float32)
-    own = matrix @ basis
+    basis = leading_directions(bag, DIMENSIONS) if len(sample) else np.zeros((FEATURES, 1), np.float32)
+    own = bag.times(basis)
     norm = np.sqrt((own * own).sum(1, keepdims=True))
     own = np.divide(own, norm, out=np.zeros_like(own), where=norm > 1e-9)
     per = {q: shares.get(q, 0) / max(1, (label == q).sum()) for q in (0, 1)}

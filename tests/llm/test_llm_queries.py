@@ -17,6 +17,12 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op9": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op10": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op12": {
+        "conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint",
+        "saved_tokens": "bigint", "ends_sha256": "string",
+    },
+    "op13": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
 }
 
 
@@ -26,7 +32,7 @@ def test_columns_and_rows(spark, sf_dir, name):
     kinds = dict(out.dtypes)
     assert {c: kinds[c] for c in COLUMNS[name.split("_")[0]]} == COLUMNS[name.split("_")[0]]
     n = out.count()
-    if name.split("_")[0] in ("op3", "op7", "op8", "op9", "op10"):
+    if name.split("_")[0] in ("op3", "op7", "op8", "op9", "op10", "op11"):
         assert n == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert n > 0
 
@@ -39,4 +45,4 @@ def test_sql(spark, sf_dir, name):
 def test_all_are_registered():
     names = entry_points.queries()
     assert {"pipeline", *QUERIES} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))

@@ -97,3 +97,18 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, None), (7, 3)]
     out = dict(connected_components(spark.createDataFrame(edges, "x bigint, y bigint")).collect())
     assert out == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_pieces_of_a_large_element_stay_one_star(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", 20)
+    # two elements: one of 200 classes whose last batch holds six, then one of three classes
+    element, sig = np.r_[np.full(200, 5), np.full(3, 9)], np.r_[np.arange(200), 300, 301, 302]
+    columns = [pa.array(element), pa.array(sig), pa.array(np.full(203, 100, np.int32))]
+    cuts = [0, 50, 120, 194, 203]
+    batches = [pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in columns], ["element", "sig", "n"]) for a, b in zip(cuts, cuts[1:])]
+    out = pa.Table.from_batches(ngram_join._meet(85, 100, 0)(batches)).to_pylist()
+    assert {(r["a"], r["b"]) for r in out if r["star"]} == {(0, i) for i in range(200)}
+    assert {(r["a"], r["b"]) for r in out if not r["star"]} == {(300, 301), (300, 302), (301, 302)}
