@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.llm import trie
 from sheetlens.llm.components import connected_components
-from sheetlens.llm.texts import as_texts, chunks, distinct_per_row, lists, mix, row_bounds, shingles, words
+from sheetlens.llm.texts import SMALL_CHUNK_BYTES, as_texts, chunks, distinct_per_row, lists, mix, row_bounds, shingles, words
 from sheetlens.session import drop_staged, ship_package, stage
 
 SKETCH_BITS = 18
@@ -68,7 +68,7 @@ def _describe(n: int):
         names = ["doc_id", "n", "sig", "check", "slice", "counts"]
         for batch in batches:
             texts = as_texts(batch.column("text"))
-            for at, part in chunks(texts):
+            for at, part in chunks(texts, SMALL_CHUNK_BYTES):
                 found = words(part)
                 counts += np.bincount(_sketch_slot(found.hash), minlength=1 << SKETCH_BITS)
                 row, value = distinct_per_row(*shingles(found, n))
@@ -126,7 +126,7 @@ def _prefixes(n_words: int, num: int, den: int, look: int, rarity):
         levels = rarity.value
         for batch in batches:
             texts = as_texts(batch.column("text"))
-            for _, part in chunks(texts):
+            for _, part in chunks(texts, SMALL_CHUNK_BYTES):
                 found = words(part)
                 row, value = distinct_per_row(*shingles(found, n_words))
                 bounds = row_bounds(row, len(part))
@@ -220,7 +220,7 @@ def _edges(a, b, n_a, n_b, times, star, look):
 def _sets(n_words: int, rarity):
     def run(batches):
         for batch in batches:
-            for at, part in chunks(as_texts(batch.column("text"))):
+            for at, part in chunks(as_texts(batch.column("text")), SMALL_CHUNK_BYTES):
                 row, value = _elements(words(part), n_words, rarity.value)
                 ids = [batch.column(c).slice(at, len(part)) for c in ("cell", "m", "node")]
                 yield pa.RecordBatch.from_arrays([*ids, lists(value.view(np.int64), row_bounds(row, len(part)), pa.int64())], ["cell", "m", "node", "elements"])

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.llm.texts import as_texts, chunks, hash_spans, words
+from sheetlens.llm.texts import SMALL_CHUNK_BYTES, as_texts, chunks, hash_spans, words
 from sheetlens.session import ship_package
 
 FEATURES = 4096
@@ -31,7 +31,7 @@ PER_LABEL = 3072
 NEIGHBOURS = 25
 POWER = 4
 ACCEPT = 0.7
-BLOCK_ROWS = 512
+BLOCK_ROWS = 128
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = ord("a")
@@ -73,7 +73,7 @@ def _weighted(row, feature, count, weight: np.ndarray, n: int) -> np.ndarray:
 def vectors(texts: pa.Array, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Latent vectors of length one; zero for texts without words."""
     out = np.zeros((len(texts), basis.shape[1]), np.float32)
-    for at, part in chunks(texts):
+    for at, part in chunks(texts, SMALL_CHUNK_BYTES):
         row, feature, count = bags(part)
         if not len(row):
             continue
@@ -144,7 +144,7 @@ def _frequencies(batches):
     seen = np.zeros(FEATURES, np.int64)
     n = 0
     for batch in batches:
-        for _, part in chunks(as_texts(batch.column("text"))):
+        for _, part in chunks(as_texts(batch.column("text")), SMALL_CHUNK_BYTES):
             _, feature, _ = bags(part)
             seen += np.bincount(feature, minlength=FEATURES)
             n += len(part)
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _sample_bags(batches):
     for batch in batches:
-        for at, part in chunks(as_texts(batch.column("text"))):
+        for at, part in chunks(as_texts(batch.column("text")), SMALL_CHUNK_BYTES):
             row, feature, count = bags(part)
             bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
             key = pa.array([hashlib.sha1(x.encode()).hexdigest() for x in part.to_pylist()])

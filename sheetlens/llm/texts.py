@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+#: For steps that hold many arrays per byte of text.
+SMALL_CHUNK_BYTES = CHUNK_BYTES >> 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _LOWER = np.arange(256, dtype=np.uint8)
