@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetlens.functions.values import col, parse_double
+from sheetlens.sources.records import csv_records
 from sheetlens.sources.row_ids import ROW_ID, number_text_rows, read_parquet, with_row_id
 
 # Accepted files and texts that mean "missing".
@@ -47,15 +48,16 @@ def header_names(spark: SparkSession, path: str, encoding: str) -> list[str]:
     return [n.strip() for n in out]
 
 
-def _read_text(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    names = header_names(spark, path, encoding)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    # quoted line breaks: a file is one split then, so large tables come as many files
-    options = {"encoding": encoding, "header": "true", "enforceSchema": "true", "quote": '"', "escape": '"', "multiLine": "true"}
-    raw = spark.read.options(**options).schema(schema).csv(path)
-    present = [F.when(~F.coalesce(col(f"c{i}"), F.lit("")).isin(*NA_TOKENS), col(f"c{i}")).alias(n) for i, n in enumerate(names)]
-    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
-    return raw.select(*present, *place, F.monotonically_increasing_id().alias("_at"))
+def _read_text(records: DataFrame, names: list[str], encoding: str) -> DataFrame:
+    """Values of ``csv_records`` as text, without the header of each file and empty lines."""
+    raw = F.col("record").cast("string")
+    # lines of files with Windows line ends keep their carriage return
+    text = F.rtrim(F.make_valid_utf8(raw) if encoding == "UTF-8" else F.decode("record", encoding), F.lit("\r"))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = records.where((F.col("_from") + F.col("_at") > 0) & (F.length(F.rtrim(raw, F.lit("\r"))) > 0))
+    parsed = rows.select(F.from_csv(text, F.lit(schema), {"quote": '"', "escape": '"'}).alias("v"), *PLACE)
+    present = [F.when(~F.coalesce(F.col(f"v.c{i}"), F.lit("")).isin(*NA_TOKENS), F.col(f"v.c{i}")).alias(n) for i, n in enumerate(names)]
+    return parsed.select(*present, *PLACE)
 
 
 PLACE = ("_file", "_from", "_at")
@@ -77,12 +79,13 @@ def _typed(c: str, rows: int, ints: int, digits: int, nums: int, flags: int) ->
 def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Typed table with ``_row_id``; all-missing columns and rows are left out.
 
-    Read as UTF-8, and again as Latin-1 if any value holds an undecodable byte. One aggregate over
+    Files are read in byte ranges by all cores, quoted line breaks or not. Read as UTF-8, and again as Latin-1 if any value holds an undecodable byte. One aggregate over
     all columns decides encoding, types and empty columns.
     """
     check_extension(path)
+    records = csv_records(spark, path)
     for encoding in ("UTF-8", "ISO-8859-1"):
-        df = _read_text(spark, path, encoding)
+        df = _read_text(records, header_names(spark, path, encoding), encoding)
         aggs = [F.count("*").alias("rows")]
         names = [c for c in df.columns if c not in PLACE]
         for i, c in enumerate(names):
