@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetlens.functions.dates import parsed_date
 from sheetlens.functions.names import quoted
 
 # Symbols and patterns that decide what counts as a number or a word.
@@ -15,26 +16,6 @@ CURRENCY_SYMBOLS = "$€£¥₹"
 NUMBER_PATTERN = r"^[+-]?\d*\.?\d+$"
 WORD_PATTERN = r"^[A-Za-z][A-Za-z\s\-]*$"
 
-# Accepted date layouts, each with the shape a value must have
-# before it is worth parsing.
-DATE_FORMATS = (
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"),
-    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
-    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
-    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-    ("MMMM d, yyyy", r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$"),
-    ("yyyy-MM", r"^\d{4}-\d{2}$"),
-)
-ANY_DATE_SHAPE = "|".join(sorted({shape for _, shape in DATE_FORMATS}))
-SHORTEST_DATE, LONGEST_DATE = 7, 24
-
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FRACTION_TYPES = (T.FloatType, T.DoubleType)
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -140,17 +121,6 @@ def title_case(tidy: Column) -> Column:
     return F.when(F.contains(tidy, F.lit("-")), hyphened).otherwise(F.initcap(tidy))
 
 
-def parsed_date(c: Column, fmt: str) -> Column:
-    """Timestamp of ``c`` in one layout, NULL unless its shape fits."""
-    shape = dict(DATE_FORMATS)[fmt]
-    return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
-
-
-def date_shaped(c: Column) -> Column:
-    """Could the value be a date in any layout? One cheap test instead of a parse per layout."""
-    return F.length(c).between(SHORTEST_DATE, LONGEST_DATE) & c.rlike(ANY_DATE_SHAPE)
-
-
 def event_time(df: DataFrame, name: str, fmt: str | None = None) -> Column:
     """A date column as ``timestamp_ntz``, parsed when it is stored as text."""
     if is_time(field_type(df, name)):

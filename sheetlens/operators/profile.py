@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetlens.functions.counts import distinct_counts, one_row, top_values, union_all
+from sheetlens.functions.dates import LAYOUTS, candidate_layouts, date_shaped, parsed_date
 from sheetlens.functions.names import is_id_name
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import (
-    DATE_FORMATS,
     col,
     comparable,
-    date_shaped,
     event_time,
     field_type,
     fixed,
@@ -28,7 +27,6 @@ from sheetlens.functions.values import (
     is_numeric,
     is_time,
     numeric_frame,
-    parsed_date,
 )
 from sheetlens.session import small_frame
 from sheetlens.sources.row_ids import ROW_ID, data_columns, with_row_id
@@ -120,17 +118,16 @@ def _first_pass(df: DataFrame, columns: list[str], extra: list[Column], derived:
 
 def _date_formats(df: DataFrame, columns: list[str], present: list[int]) -> dict[str, str]:
     """Best layout of each column of mostly date-shaped text, if it parses often enough."""
-    if not columns:
+    layouts = candidate_layouts(df, columns)
+    tried = [(c, layout) for c in columns for layout in layouts[c]]
+    if not tried:
         return {}
-    hits = one_row(
-        df,
-        [F.count(parsed_date(col(c), fmt)).alias(f"d{i}_{k}") for i, c in enumerate(columns) for k, (fmt, _) in enumerate(DATE_FORMATS)],
-    )
+    hits = one_row(df, [F.count(parsed_date(col(c), layout)).alias(f"d{k}") for k, (c, layout) in enumerate(tried)])
     out = {}
-    for i, c in enumerate(columns):
-        best = max(range(len(DATE_FORMATS)), key=lambda k: (hits[f"d{i}_{k}"], -k))
-        if hits[f"d{i}_{best}"] >= DATE_HIT_RATE * present[i]:
-            out[c] = DATE_FORMATS[best][0]
+    for c, n in zip(columns, present, strict=True):
+        mine = [(hits[f"d{k}"], -k) for k, (other, _) in enumerate(tried) if other == c]
+        if mine and max(mine)[0] >= DATE_HIT_RATE * n:
+            out[c] = tried[-max(mine)[1]][1]
     return out
 
 
@@ -326,20 +323,15 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def date_detection(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Best date layout per text column and the share of values it parses."""
-    aggs = []
+    """Best date layout per text column and the share of values it parses; ties go to the layout listed first."""
+    layouts = candidate_layouts(df, columns)
+    aggs, pieces = [], []
     for i, c in enumerate(columns):
         aggs.append(F.count(col(c)).alias(f"n{i}"))
-        aggs += [F.count(parsed_date(col(c), fmt)).alias(f"d{i}_{k}") for k, (fmt, _) in enumerate(DATE_FORMATS)]
-    pieces = []
-    for i, c in enumerate(columns):
-        options = F.array(
-            *[
-                F.struct(F.col(f"d{i}_{k}").alias("hits"), F.lit(-k).alias("pref"), F.lit(fmt).alias("fmt"))
-                for k, (fmt, _) in enumerate(DATE_FORMATS)
-            ]
-        )
-        pieces.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("present"), F.array_max(options).alias("b")))
+        aggs += [F.count(parsed_date(col(c), layout)).alias(f"d{i}_{k}") for k, layout in enumerate(layouts[c])]
+        options = [F.struct(F.col(f"d{i}_{k}").alias("hits"), F.lit(-k).alias("pref"), F.lit(x).alias("fmt")) for k, x in enumerate(layouts[c])]
+        none = F.struct(F.lit(0).cast("bigint").alias("hits"), F.lit(-len(LAYOUTS)).alias("pref"), F.lit("").alias("fmt"))
+        pieces.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("present"), F.array_max(F.array(*options, none)).alias("b")))
     rate = F.try_divide(F.col("b.hits"), F.col("present"))
     found = F.coalesce(rate >= DATE_HIT_RATE, F.lit(False))
     return (

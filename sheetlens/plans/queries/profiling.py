@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetlens.functions.counts import union_all
+from sheetlens.functions.dates import parsed_date
 from sheetlens.operators import domain, filters, kpi, profile
 from sheetlens.plans.queries.registry import (
     MESSY_LINEITEM_SQL,
@@ -164,6 +165,45 @@ def date_detect(spark, sf_dir):
     return profile.date_detection(text_orders(spark, sf_dir), ["order_date_text"])
 
 
+# column, layout as written, the same for DuckDB, the part of the time that is kept, zone behind it
+WRITTEN = (
+    ("iso_fraction", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "%Y-%m-%dT%H:%M:%S.%f", "microsecond", ""),
+    ("iso_zone", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "second", "+02:00"),
+    ("iso_short_zone", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "second", "-0130"),
+    ("month_name", "d-MMM-yyyy", "%-d-%b-%Y", "day", ""),
+    ("month_first", "M/d/yyyy H:mm", "%-m/%-d/%Y %-H:%M", "minute", ""),
+    ("day_first", "d/M/yyyy", "%-d/%-m/%Y", "day", ""),
+    ("twelve_hours", "M/d/yyyy h:mm a", "%-m/%-d/%Y %-I:%M %p", "minute", ""),
+    ("month_only", "MMM yyyy", "%b %Y", "month", ""),
+    ("compact", "yyyyMMdd", "%Y%m%d", "day", ""),
+    ("long_month", "MMMM d, yyyy", "%B %-d, %Y", "day", ""),
+)
+# what is found where it is not the layout as written
+FOUND = {
+    "iso_fraction": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]", "iso_zone": "yyyy-MM-dd HH:mm:ssXXX", "iso_short_zone": "yyyy-MM-dd'T'HH:mm:ssXX",
+}
+HOURS_AHEAD = {"+02:00": "INTERVAL 120 MINUTE", "-0130": "INTERVAL (-90) MINUTE", "": "INTERVAL 0 MINUTE"}
+
+
+def _written_sql(name: str, layout: str, form: str, unit: str, zone: str) -> str:
+    found = FOUND.get(name, layout).replace("'", "''")
+    time = f"date_trunc('{unit}', ts) - {HOURS_AHEAD[zone]}"
+    text = f"CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '{form}') || '{zone}' END"
+    return f"""SELECT '{name}' AS "column", count({text}) AS present, count(DISTINCT {text}) AS n_values, count({text}) AS hits, CAST(1.0 AS DOUBLE) AS hit_rate,
+       true AS is_date, '{found}' AS date_format, min({time}) FILTER (event_id % 9 <> 0) AS first_time, max({time}) FILTER (event_id % 9 <> 0) AS last_time FROM events"""
+
+
+@query(" UNION ALL ".join(_written_sql(*w) for w in WRITTEN))
+def date_layouts(spark, sf_dir):
+    """The events' times written in ten layouts, some missing: the layout found for each, and the first and last time read with it."""
+    events = table(spark, sf_dir, "events").where("event_id % 9 <> 0")
+    texts = events.select(*(F.concat(F.date_format("ts", layout), F.lit(zone)).alias(name) for name, layout, _, _, zone in WRITTEN))
+    found = profile.date_detection(texts, texts.columns)
+    layouts = {r["column"]: r["date_format"] for r in found.select("column", "date_format").collect()}
+    times = [F.struct(F.lit(c).alias("column"), F.count_distinct(F.col(c)).alias("n_values"), F.min(t).alias("first_time"), F.max(t).alias("last_time")) for c, layout in layouts.items() if layout for t in [parsed_date(F.col(c), layout)]]
+    return found.join(texts.agg(F.array(*times).alias("t")).select(F.inline("t")), "column")
+
+
 # ---- domain ------------------------------------------------------------------
 
 DOMAIN_TABLES = {
