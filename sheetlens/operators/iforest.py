@@ -1,13 +1,16 @@
 """Isolation forest (Liu, Ting and Zhou, ICDM 2008) over Spark rows.
 
-Sampling, tree building and scoring are three Spark stages: a hash filter picks about 256 rows per
+All that is random comes from MD5 of (seed, row or tree, node) as integers, so that a forest is a function of its table that
+any SQL engine can compute. Sampling, tree building and scoring are three Spark stages: hashes pick up to 256 rows per
 tree in one scan, each tree is grown by ``applyInPandas`` from its own 256 rows, and the
 forest (a megabyte, whatever the table size) is broadcast to score Arrow batches.
-Splits are uniform in a column's range, so columns need no standardising.
+Splits are uniform in a column's range, so columns need no standardising. Path lengths are whole numbers of
+``PATH_UNITS``, so their sums do not depend on the order of the trees.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -24,7 +27,13 @@ from sheetlens.sources.row_ids import ROW_ID, with_row_id
 TREES, SUBSAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
 MIN_ROWS = 10
 
-TREE_DDL = "tree int, feature array<int>, threshold array<double>, path array<double>"
+#: A level of a tree in path length units.
+PATH_UNITS = 1_000_000_000
+#: A tree's sample is drawn from rows whose hash is below a share that gives 6 standard deviations more than needed.
+DRAWN = SUBSAMPLE + 106
+WORD = 1 << 32
+
+TREE_DDL = "tree int, feature array<int>, threshold array<double>, path array<bigint>"
 
 
 def mean_path(n: int) -> float:
@@ -34,26 +43,38 @@ def mean_path(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(points: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[list, list, list]:
+def leaf_path(level: int, n: int) -> int:
+    """Path length of a leaf with n rows, in units."""
+    return level * PATH_UNITS + round(mean_path(n) * PATH_UNITS)
+
+
+def node_numbers(tree: int, node: int) -> tuple[int, int]:
+    """Two numbers below 2**32 that decide a node's column and threshold."""
+    digest = hashlib.md5(f"{SEED}:split:{tree}:{node}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
+
+
+def grow(points: np.ndarray, depth: int, tree: int) -> tuple[list, list, list]:
     """One isolation tree laid out as a complete binary tree (children of i: 2i+1, 2i+2)."""
     inner = 2**depth - 1
     feature = np.zeros(inner, dtype=np.int32)
     threshold = np.full(inner, np.inf)
-    path = np.zeros(2 * inner + 1)
+    path = np.zeros(2 * inner + 1, dtype=np.int64)
     todo = [(0, 0, np.arange(len(points)))]
     while todo:
         node, level, rows = todo.pop()
         low, high = points[rows].min(axis=0), points[rows].max(axis=0)
         usable = np.flatnonzero(high > low)
         if level == depth or len(rows) <= 1 or len(usable) == 0:
-            # a leaf: points walk on to the left below it, so its depth goes there too
+            # a leaf: points walk on to the left below it, so its length goes there too
             while node < inner:
-                path[node] = level + mean_path(len(rows))
+                path[node] = leaf_path(level, len(rows))
                 node = 2 * node + 1
-            path[node] = level + mean_path(len(rows))
+            path[node] = leaf_path(level, len(rows))
             continue
-        f = rng.choice(usable)
-        t = rng.uniform(low[f], high[f])
+        which, where = node_numbers(tree, node)
+        f = usable[which % len(usable)]
+        t = low[f] + (high[f] - low[f]) * (where / WORD)
         feature[node], threshold[node] = f, t
         right = points[rows, f] > t
         todo += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
@@ -69,24 +90,31 @@ def path_lengths(points: np.ndarray, feature: np.ndarray, threshold: np.ndarray,
     return path[at]
 
 
-def _uniform(*parts) -> F.Column:
-    """Repeatable uniform number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(2**40)) / F.lit(float(2**40))
+def _words(*parts) -> F.Column:
+    """Four numbers below 2**32 from the MD5 of ``parts``."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), *parts).cast("binary"))
+    return F.transform(F.array(*(F.substring(digest, 1 + 8 * i, 8) for i in range(4))), lambda x: F.conv(x, 16, 10).cast("bigint"))
+
+
+def draw_limits(n: int) -> tuple[int, int]:
+    """Of n rows: the number that the hash of a row with any chance must be below, and that of a row in a given tree."""
+    any_tree = min(WORD, TREES * DRAWN * WORD // n)
+    return any_tree, min(WORD, DRAWN * WORD // n) if any_tree == WORD else WORD // TREES
 
 
 def tree_samples(rows: DataFrame, n: int) -> DataFrame:
     """Up to 256 rows for each of the trees, as (tree, row id, values)."""
     want = min(SUBSAMPLE, n)
-    # a tree draws a row with probability ``share``; a row that no tree draws leaves before the trees are tried
-    share = min(1.0, (want + 6 * math.sqrt(want) + 10) / n)
-    any_tree = min(1.0, TREES * share)
-    kept = rows.where(_uniform(ROW_ID, F.lit(SEED)) < F.lit(any_tree))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: _uniform(F.lit(SEED + 1), ROW_ID, t) < F.lit(share / any_tree))
-    drawn = kept.withColumn("tree", F.explode(trees))
+    any_tree, one_tree = draw_limits(n)
+    # a row that no tree draws leaves before the trees are tried
+    kept = rows.where(_words(F.lit("any"), F.col(ROW_ID).cast("string"))[0] < F.lit(any_tree))
+    fours = F.transform(F.sequence(F.lit(0), F.lit(TREES // 4 - 1)), lambda q: _words(F.lit("tree"), F.col(ROW_ID).cast("string"), q.cast("string")))
+    numbered = F.transform(F.flatten(fours), lambda h, i: F.struct(i.alias("tree"), h.alias("_hash")))
+    drawn = kept.withColumn("_t", F.explode(F.filter(numbered, lambda t: t["_hash"] < F.lit(one_tree)))).select(*kept.columns, "_t.tree", "_t._hash")
     # one shuffle by tree serves the pick and the growing; the number keeps small data spread over the cores
     drawn = drawn.repartition(min(TREES, rows.sparkSession.sparkContext.defaultParallelism), "tree")
-    pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(SEED + 2), ROW_ID, "tree"), ROW_ID)
-    return drawn.withColumn("_pick", F.row_number().over(pick)).where(F.col("_pick") <= want).drop("_pick")
+    pick = Window.partitionBy("tree").orderBy("_hash", ROW_ID)
+    return drawn.withColumn("_pick", F.row_number().over(pick)).where(F.col("_pick") <= want).drop("_pick", "_hash")
 
 
 def fit(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
@@ -96,7 +124,7 @@ def fit(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW_ID)
         tree = int(pdf["tree"].iloc[0])
-        grown = grow(pdf[columns].to_numpy(dtype=float), depth, np.random.default_rng([SEED, tree]))
+        grown = grow(pdf[columns].to_numpy(dtype=float), depth, tree)
         return pd.DataFrame([(tree, *grown)], columns=["tree", "feature", "threshold", "path"])
 
     return tree_samples(rows, n).groupBy("tree").applyInPandas(build, TREE_DDL)
@@ -108,18 +136,18 @@ def score(rows: DataFrame, forest: DataFrame, columns: list[str], n: int) -> Dat
     trees = [
         (np.array(t["feature"]), np.array(t["threshold"]), np.array(t["path"])) for t in forest.orderBy("tree").collect()
     ]
-    model = spark.sparkContext.broadcast((trees, mean_path(min(SUBSAMPLE, n))))
+    model = spark.sparkContext.broadcast((trees, mean_path(min(SUBSAMPLE, n)) * PATH_UNITS))
 
     def apply(batches):
         trees_, scale = model.value
         for pdf in batches:
             points = pdf[columns].to_numpy(dtype=float)
-            total = sum(path_lengths(points, *t) for t in trees_) / len(trees_)
+            total = sum(path_lengths(points, *t) for t in trees_)
             best = points.argmax(axis=1)
             yield pd.DataFrame(
                 {
                     ROW_ID: pdf[ROW_ID],
-                    "score": np.power(2.0, -total / scale),
+                    "score": np.power(2.0, -(total / (len(trees_) * scale))),
                     "top_column": np.array(columns, dtype=object)[best],
                     "top_value": points[np.arange(len(points)), best],
                 }
