@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetlens.operators import ask, insight, profile
+from sheetlens.operators import anomaly, ask, insight, profile
 from sheetlens.plans import analysis
-from sheetlens.plans.queries.mining import LINE_MONTHS, ORDER_MONTHS, records_sql
+from sheetlens.plans.queries.mining import LINE_MONTHS, ORDER_MONTHS, ORDER_NUMBERS, forest_sql, records_sql, top_column_sql
 from sheetlens.plans.queries.registry import (
     CHANGES_SQL,
     PERIODS_SQL,
@@ -84,11 +84,12 @@ def ask_frequent_category(spark, sf_dir):
 FACTS_SQL = f"""
 WITH {SALES_LINES_SQL}, {bounds_sql('sales_lines', VALUE_COLUMNS)}, {outliers_sql('sales_lines', VALUE_COLUMNS)},
 {records_sql('sales_lines', VALUE_COLUMNS)}, {LINE_MONTHS}, {CHANGES_SQL}, {PERIODS_SQL}, {TRENDS_SQL},
-{pairs_sql('sales_lines', VALUE_COLUMNS)}, {SIGNIFICANT_SQL},
+{pairs_sql('sales_lines', VALUE_COLUMNS)}, {SIGNIFICANT_SQL}, {forest_sql("SELECT * FROM sales_lines", VALUE_COLUMNS)},
 leaders AS (SELECT l_returnflag AS top_category, round(sum(l_quantity), 2) AS value FROM sales_lines GROUP BY 1 ORDER BY sum(l_quantity) DESC, 1 LIMIT 1),
 unordered AS (
   SELECT 0 AS g, col_order * 2.0 AS p, 'anomaly_univariate' AS kind, "column" AS column_a, NULL::VARCHAR AS column_b, NULL::VARCHAR AS label,
          NULL::VARCHAR AS direction, NULL::DOUBLE AS value, iqr_outliers AS count FROM outliers WHERE zscore_outliers > 0 OR iqr_outliers > 0
+  UNION ALL SELECT 0, -1.0, 'anomaly_multivariate', NULL, NULL, NULL, NULL, round(100.0 * count(*) / (SELECT n FROM forest_sizes), 2), count(*) FROM forest_flags HAVING count(*) > 0
   UNION ALL SELECT 0, col_order * 2.0 + 1, 'anomaly_time', "column", NULL, period, direction, pct_change, NULL FROM periods
   UNION ALL SELECT 1, k, 'trend', "column", NULL, NULL, direction, total_pct_change, periods_analyzed
             FROM (SELECT *, row_number() OVER (ORDER BY abs(total_pct_change) DESC, col_order) AS k FROM trends) WHERE k <= 3
@@ -101,23 +102,25 @@ facts AS (SELECT * EXCLUDE (g, p), CAST(row_number() OVER (ORDER BY g, p) AS INT
 CARDS_SQL = FACTS_SQL + """
 , cards AS (
   SELECT fact_order, kind,
-         CASE kind WHEN 'correlation' THEN 'correlation' WHEN 'anomaly_time' THEN 'anomaly' WHEN 'ranking' THEN 'ranking' ELSE 'trend' END AS category,
+         CASE kind WHEN 'correlation' THEN 'correlation' WHEN 'anomaly_time' THEN 'anomaly' WHEN 'anomaly_multivariate' THEN 'anomaly' WHEN 'ranking' THEN 'ranking' ELSE 'trend' END AS category,
          CASE kind WHEN 'correlation' THEN CASE WHEN abs(value) >= 0.8 THEN 'critical' WHEN abs(value) >= 0.55 THEN 'important' ELSE 'informational' END
                    WHEN 'trend' THEN CASE WHEN abs(value) >= 25 THEN 'critical' WHEN abs(value) >= 10 THEN 'important' ELSE 'informational' END
                    WHEN 'anomaly_time' THEN CASE WHEN abs(value) >= 30 THEN 'critical' ELSE 'important' END
-                   WHEN 'ranking' THEN 'important' ELSE 'informational' END AS priority,
+                   WHEN 'ranking' THEN 'important' WHEN 'anomaly_multivariate' THEN 'critical' ELSE 'informational' END AS priority,
          CASE kind WHEN 'correlation' THEN 'Strong Link: ' || column_a || ' & ' || column_b
                    WHEN 'trend' THEN column_a || ' Shows ' || CASE direction WHEN 'increasing' THEN 'Increasing' WHEN 'decreasing' THEN 'Decreasing' ELSE 'Stable/Fluctuating' END
                         || ' Momentum (' || CASE WHEN value >= 0 THEN '+' ELSE '-' END || format('{:.1f}', abs(value)) || '%)'
+                   WHEN 'anomaly_multivariate' THEN 'Unusual Records Detected (' || count || ' rows)'
                    WHEN 'anomaly_time' THEN 'Sharp Volatility Spike in ' || column_a
                    WHEN 'ranking' THEN 'Top Performer: ''' || label || ''' Leads ' || column_a
                    ELSE 'Baseline Performance Distribution' END AS title,
          CASE kind WHEN 'correlation' THEN 'Pearson r = ' || format('{:.2f}', value) || ' (' || direction || ')'
                    WHEN 'trend' THEN CASE WHEN value >= 0 THEN '+' ELSE '-' END || format('{:.1f}', abs(value)) || '% Net Change'
                    WHEN 'anomaly_time' THEN CASE WHEN value >= 0 THEN '+' ELSE '-' END || format('{:.1f}', abs(value)) || '% Period Spike (' || label || ')'
+                   WHEN 'anomaly_multivariate' THEN count || ' Unusual Records (' || value || '% of rows)'
                    WHEN 'ranking' THEN '#1 Rank · ' || format('{:,.2f}', value) || ' ' || column_b
                    ELSE 'Verified Clean' END AS supporting_metric,
-         CASE kind WHEN 'trend' THEN column_a WHEN 'anomaly_time' THEN column_a WHEN 'anomaly_univariate' THEN 'Overview' END AS single_source
+         CASE kind WHEN 'trend' THEN column_a WHEN 'anomaly_time' THEN column_a WHEN 'anomaly_univariate' THEN 'Overview' WHEN 'anomaly_multivariate' THEN 'All numerical features' END AS single_source
   FROM facts),
 kept AS (SELECT *, CASE priority WHEN 'critical' THEN 0 WHEN 'important' THEN 1 ELSE 2 END AS pr FROM (
   SELECT *, row_number() OVER (PARTITION BY single_source IS NULL, coalesce(single_source, '#' || fact_order) ORDER BY fact_order) AS k FROM cards) WHERE k = 1),
@@ -127,7 +130,7 @@ top_cards AS (SELECT * FROM kept ORDER BY pr, fact_order LIMIT 10)
 
 def _analysis(spark, sf_dir):
     df = sales_lines(spark, sf_dir)
-    return df, analysis.analyse(df, forest=False, segments=False)
+    return df, analysis.analyse(df, segments=False)
 
 
 @query(FACTS_SQL + " SELECT * FROM facts")
@@ -156,8 +159,14 @@ def insights_filtered(spark, sf_dir):
     return insight.filter_insights(cards, "critical", "Revenue").select(*CARD_COLUMNS)
 
 
-@query(CARDS_SQL + """
-, n AS (SELECT count(*) AS n FROM sales_lines), anomalies AS (SELECT count(DISTINCT row_id) AS total FROM records),
+# rows that the forest flags or a record of the report names: as many records as the forest's leave room for
+ANOMALIES_SQL = f"""anomalies AS (
+  SELECT count(DISTINCT row_id) AS total
+  FROM (SELECT row_id FROM forest_flags UNION ALL SELECT row_id FROM records WHERE record <= {anomaly.ALL_RECORDS} - least({anomaly.FOREST_RECORDS}, (SELECT count(*) FROM forest_flags))))"""
+
+
+@query(CARDS_SQL + ", " + ANOMALIES_SQL + """
+, n AS (SELECT count(*) AS n FROM sales_lines),
 p AS (SELECT * FROM significant ORDER BY abs(correlation) DESC, oa, ob LIMIT 1),
 t AS (SELECT * FROM trends ORDER BY abs(total_pct_change) DESC, col_order LIMIT 1)
 SELECT 'Across ' || format('{:,}', n.n) || ' verified records in Sales Analytics, core volume trends and segment distributions indicate consistent operational performance.'
@@ -272,11 +281,12 @@ def question_columns(spark, sf_dir):
 @query("""
 SELECT CAST(1 AS INTEGER) AS position, 'Which o_orderstatus has the highest o_orderkey?' AS question
 UNION ALL SELECT 2, 'What is the average o_orderkey?'
-UNION ALL SELECT 3, 'Show me the Data Explorer table'
+UNION ALL SELECT 3, 'Are there any unusual outliers in the data?'
+UNION ALL SELECT 4, 'Show me the Data Explorer table'
 """)
 def suggested_questions(spark, sf_dir):
     df = table(spark, sf_dir, "orders", ids=True)
-    a = analysis.analyse(df, forest=False, segments=False)
+    a = analysis.analyse(df, segments=False)
     asked = ask.suggested_questions(a.types, a.total_anomalies, not a.significant.isEmpty())
     return ask.question_frame(spark, asked)
 
@@ -320,7 +330,8 @@ possible AS (
   UNION ALL SELECT 'clear_filter', NULL, NULL, 'Clearing all active slicer filters and restoring the full dataset view.', 'Restoring ' || total || ' total records', 100 FROM n
   UNION ALL SELECT 'summary', NULL, NULL, 'Analyzing ' || rows || ' active records across 6 columns for Sales Analytics. Data distribution is validated with 3 numerical and 2 categorical dimensions' || suffix || '.', rows || ' records · 6 columns', 95 FROM n
   UNION ALL SELECT 'correlation', NULL, NULL, 'No strong linear correlations (|r| >= 0.35) were identified among active numerical columns.', 'Max |r| < 0.35', 92
-  UNION ALL SELECT 'anomaly', NULL, NULL, 'No high-severity statistical anomalies were detected in the numerical attributes.', '0 critical anomalies', 94
+  UNION ALL SELECT 'anomaly', NULL, NULL, anomalies.total || ' data points were identified as statistically unusual via Isolation Forest. Top outlier: Row #' || (row_id + 1) || ' on ''' || top_column
+       || ''' with value ' || regexp_replace(format('{{:,.2f}}', top_value), '0$', '') || '.', anomalies.total || ' anomalies detected', 96 FROM anomalies, first_flagged
   UNION ALL SELECT 'trend', NULL, NULL, 'Primary measure ''' || "column" || ''' exhibits a ' || direction || ' trend with a net change of ' || CASE WHEN total_pct_change >= 0 THEN '+' ELSE '-' END || format('{{:.1f}}', abs(total_pct_change)) || '% across ' || periods_analyzed || ' periods.',
        "column" || ': ' || CASE WHEN total_pct_change >= 0 THEN '+' ELSE '-' END || format('{{:.1f}}', abs(total_pct_change)) || '%', 96 FROM tr)
 SELECT origin, k, turn, r.intent, answer, metric AS supporting_metric, CAST(confidence AS INTEGER) AS confidence
@@ -328,10 +339,17 @@ FROM resolved r LEFT JOIN possible p ON p.intent = r.intent AND p.a IS NOT DISTI
 """
 
 
-@query(RESOLVED_SQL + ", " + ORDER_MONTHS + ", " + TRENDS_SQL + _answer_sql())
+ORDER_ANOMALIES_SQL = f"""
+order_rows AS (SELECT *, row_number() OVER () - 1 AS row_id FROM orders), {bounds_sql("order_rows", ORDER_NUMBERS)}, {records_sql("order_rows", ORDER_NUMBERS)},
+{forest_sql("SELECT * FROM order_rows", ORDER_NUMBERS)}, {ANOMALIES_SQL},
+first_flagged AS (SELECT row_id, {top_column_sql(ORDER_NUMBERS)} FROM forest_flags ORDER BY row_id LIMIT 1)
+"""
+
+
+@query(RESOLVED_SQL + ", " + ORDER_MONTHS + ", " + TRENDS_SQL + ", " + ORDER_ANOMALIES_SQL + _answer_sql())
 def answer_questions(spark, sf_dir):
     df = table(spark, sf_dir, "orders", ids=True)
-    a = analysis.analyse(df, forest=False, segments=False)
+    a = analysis.analyse(df, segments=False)
     answers = analysis.answers(df, a, {"o_totalprice": {"min": 100000, "max": 400000}}, "Sales Analytics")
     out = ask.answer_questions(questions(spark, sf_dir), answers, a.types)
     return out.select("origin", "k", "turn", "intent", "answer", "supporting_metric", "confidence")

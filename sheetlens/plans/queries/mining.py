@@ -128,13 +128,13 @@ def trend_lineitem(spark, sf_dir):
 CUSTOMER_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
-def _forest_sql(source: str, columns: list[str]) -> str:
+def forest_sql(source: str, columns: list[str]) -> str:
     """CTEs up to ``forest_scores`` (row_id, values, sum of path lengths): sampling, ten levels of splits, scoring.
 
     ``source`` has row_id and the columns. Nodes are numbered as in a complete binary tree.
     """
     seed, trees, want, drawn, word = iforest.SEED, iforest.TREES, iforest.SUBSAMPLE, iforest.DRAWN, iforest.WORD
-    depth = f"(SELECT CAST(greatest(1, ceil(log2(least({want}, n)))) AS BIGINT) FROM sizes)"
+    depth = f"(SELECT CAST(greatest(1, ceil(log2(least({want}, n)))) AS BIGINT) FROM forest_sizes)"
     number = "CAST('0x' || substr({0}, {1}, 8) AS BIGINT)".format
     mean = "CASE WHEN {0} <= 1 THEN 0.0 WHEN {0} = 2 THEN 1.0 ELSE 2.0 * (ln({0} - 1) + 0.5772156649015329) - 2.0 * ({0} - 1) / {0} END".format
     spread = [f"CASE WHEN max({c}) > min({c}) THEN {i} END" for i, c in enumerate(columns)]
@@ -156,41 +156,41 @@ splits{level} AS MATERIALIZED (
     walks = []
     for level in range(8):
         walks.append(f"""
-walk{level + 1} AS (
-  SELECT w.tree, 2 * w.node + CASE WHEN [{", ".join(columns)}][1 + s.f] > s.t THEN 2 ELSE 1 END AS node, w.row_id, {", ".join("w." + c for c in columns)}
-  FROM walk{level} w JOIN splits{level} s ON s.tree = w.tree AND s.node = w.node WHERE NOT s.is_leaf
+walk{level + 1} AS MATERIALIZED (
+  SELECT w.tree, CAST(2 * w.node + CASE WHEN [{", ".join("p." + c for c in columns)}][1 + s.f] > s.t THEN 2 ELSE 1 END AS SMALLINT) AS node, w.row_id
+  FROM walk{level} w JOIN splits{level} s ON s.tree = w.tree AND s.node = w.node JOIN forest_points p ON p.row_id = w.row_id WHERE NOT s.is_leaf
 )""")
     ends = [f"SELECT w.row_id, {level} AS level, s.n FROM walk{level} w JOIN splits{level} s ON s.tree = w.tree AND s.node = w.node WHERE s.is_leaf" for level in range(8)]
     ends.append("SELECT w.row_id, 8 AS level, s.n FROM walk8 w JOIN (SELECT tree, node, count(*) AS n FROM level8 GROUP BY tree, node) s ON s.tree = w.tree AND s.node = w.node")
     values = ", ".join(columns)
     return f"""
-points AS MATERIALIZED (SELECT row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)} FROM ({source}) WHERE {" AND ".join(c + " IS NOT NULL" for c in columns)}),
-sizes AS MATERIALIZED (SELECT count(*) AS n, least({word}, {trees * drawn * word} // count(*)) AS any_tree FROM points),
-limits AS MATERIALIZED (SELECT n, any_tree, CASE WHEN any_tree = {word} THEN least({word}, {drawn * word} // n) ELSE {word // trees} END AS one_tree FROM sizes),
-hashed AS (
+forest_points AS MATERIALIZED (SELECT row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)} FROM ({source}) WHERE {" AND ".join(c + " IS NOT NULL" for c in columns)}),
+forest_sizes AS MATERIALIZED (SELECT count(*) AS n, least({word}, {trees * drawn * word} // count(*)) AS any_tree FROM forest_points),
+forest_limits AS MATERIALIZED (SELECT n, any_tree, CASE WHEN any_tree = {word} THEN least({word}, {drawn * word} // n) ELSE {word // trees} END AS one_tree FROM forest_sizes),
+forest_hashed AS (
   SELECT p.*, t.tree, md5('{seed}:tree:' || p.row_id || ':' || t.tree // 4) AS h, one_tree
-  FROM points p, limits, (SELECT unnest(range(0, {trees})) AS tree) t WHERE {number(f"md5('{seed}:any:' || p.row_id)", 1)} < any_tree
-), drawn AS (SELECT *, CAST('0x' || substr(h, CAST(1 + 8 * (tree % 4) AS INTEGER), 8) AS BIGINT) AS u FROM hashed),
-picked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY u, row_id) AS place FROM drawn WHERE u < one_tree),
-level0 AS MATERIALIZED (SELECT tree, 0 AS node, row_id, {values} FROM picked WHERE place <= {want}),{",".join(levels)},
-walk0 AS (SELECT t.tree, 0 AS node, p.row_id, {", ".join("p." + c for c in columns)} FROM points p, (SELECT DISTINCT tree FROM level0) t),{",".join(walks)},
+  FROM forest_points p, forest_limits, (SELECT unnest(range(0, {trees})) AS tree) t WHERE {number(f"md5('{seed}:any:' || p.row_id)", 1)} < any_tree
+), forest_drawn AS (SELECT *, CAST('0x' || substr(h, CAST(1 + 8 * (tree % 4) AS INTEGER), 8) AS BIGINT) AS u FROM forest_hashed),
+forest_picked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY u, row_id) AS place FROM forest_drawn WHERE u < one_tree),
+level0 AS MATERIALIZED (SELECT tree, 0 AS node, row_id, {values} FROM forest_picked WHERE place <= {want}),{",".join(levels)},
+walk0 AS (SELECT CAST(t.tree AS SMALLINT) AS tree, CAST(0 AS SMALLINT) AS node, p.row_id FROM forest_points p, (SELECT DISTINCT tree FROM level0) t),{",".join(walks)},
 forest_paths AS MATERIALIZED (
   SELECT row_id, CAST(sum(CAST(level AS BIGINT) * {iforest.PATH_UNITS} + CAST(round(({mean("n")}) * {iforest.PATH_UNITS}) AS BIGINT)) AS BIGINT) AS total FROM ({" UNION ALL ".join(ends)}) GROUP BY row_id
 ), forest_scores AS (
-  SELECT points.*, total, power(2.0, -(total / ({trees} * ({mean(f"least({want}, n)")}) * {float(iforest.PATH_UNITS)}))) AS score FROM points JOIN forest_paths USING (row_id), sizes
+  SELECT p.*, total, power(2.0, -(total / ({trees} * ({mean(f"least({want}, n)")}) * {float(iforest.PATH_UNITS)}))) AS score FROM forest_points p JOIN forest_paths USING (row_id), forest_sizes
 ), forest_flags AS MATERIALIZED (
-  SELECT * FROM forest_scores WHERE total < (SELECT total FROM forest_scores ORDER BY total DESC LIMIT 1 OFFSET (SELECT CAST(floor({1 - iforest.CONTAMINATION} * (n - 1)) AS BIGINT) FROM sizes))
+  SELECT * FROM forest_scores WHERE total < (SELECT total FROM forest_scores ORDER BY total DESC LIMIT 1 OFFSET (SELECT CAST(floor({1 - iforest.CONTAMINATION} * (n - 1)) AS BIGINT) FROM forest_sizes))
 )"""
 
 
-def _top_sql(columns: list[str]) -> str:
+def top_column_sql(columns: list[str]) -> str:
     best = f"list_position([{', '.join(columns)}], greatest({', '.join(columns)}))"
     return f"[{', '.join(repr(c) for c in columns)}][{best}] AS top_column, greatest({', '.join(columns)}) AS top_value"
 
 
 @query(f"""
-WITH {_forest_sql("SELECT c_custkey AS row_id, * FROM customer", CUSTOMER_NUMBERS)}
-SELECT row_id, round(score, 6) AS score, {_top_sql(CUSTOMER_NUMBERS)} FROM forest_flags
+WITH {forest_sql("SELECT c_custkey AS row_id, * FROM customer", CUSTOMER_NUMBERS)}
+SELECT row_id, round(score, 6) AS score, {top_column_sql(CUSTOMER_NUMBERS)} FROM forest_flags
 """)
 def iforest_flags(spark, sf_dir):
     scored = iforest.isolation_forest(table(spark, sf_dir, "customer", ids=True), CUSTOMER_NUMBERS)
@@ -198,8 +198,8 @@ def iforest_flags(spark, sf_dir):
 
 
 @query(f"""
-WITH {_forest_sql("SELECT c_custkey AS row_id, * FROM customer", CUSTOMER_NUMBERS)},
-shown AS (SELECT row_id, {_top_sql(CUSTOMER_NUMBERS)} FROM forest_flags ORDER BY row_id LIMIT {anomaly.FOREST_RECORDS})
+WITH {forest_sql("SELECT c_custkey AS row_id, * FROM customer", CUSTOMER_NUMBERS)},
+shown AS (SELECT row_id, {top_column_sql(CUSTOMER_NUMBERS)} FROM forest_flags ORDER BY row_id LIMIT {anomaly.FOREST_RECORDS})
 SELECT 'anomaly_' || row_id AS id, row_id, top_column AS "column", top_value AS value, 'Isolation Forest' AS method, CAST({anomaly.FOREST_SCORE} AS INTEGER) AS anomaly_score, 'High' AS severity,
        'Multivariate outlier flagged across numerical attributes (' || top_column || ' = ' || regexp_replace(format('{{:,.2f}}', top_value), '0$', '') || ').' AS explanation,
        CAST(row_number() OVER (ORDER BY row_id) AS INTEGER) AS record, row_id + 1 AS row_index
@@ -214,7 +214,7 @@ def anomaly_records_forest(spark, sf_dir):
 
 
 @query(f"""
-WITH {_forest_sql("SELECT event_id AS row_id, * FROM events", ["user_id", "value"])},
+WITH {forest_sql("SELECT event_id AS row_id, * FROM events", ["user_id", "value"])},
 {bounds_sql('events', ['user_id', 'value'])}, {EVENT_ROWS_SQL}, {records_sql('event_rows', ['user_id', 'value'])}
 SELECT count(DISTINCT row_id) AS total_anomalies
 FROM (SELECT row_id FROM forest_flags UNION ALL SELECT row_id FROM records WHERE record <= {anomaly.ALL_RECORDS} - least({anomaly.FOREST_RECORDS}, (SELECT count(*) FROM forest_flags)))
