@@ -44,16 +44,8 @@ def _rows(names, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
-def _forest_flags(rows, con) -> bool:
-    """Every flag lies beyond the 0.95 rank of n scores: at most 5 % of the rows, and no row twice."""
-    n = con.execute("SELECT count(*) FROM customer").fetchall()[0][0]
-    return 0 < len(rows) <= 0.05 * n + 1 and len({r["row_id"] for r in rows}) == len(rows) and all(0.4 < r["score"] < 1 for r in rows)
-
-
 #: Queries beyond SQL, with what must hold of their rows.
 PROPERTIES = {
-    "iforest_flags": _forest_flags,
-    "total_anomalies": lambda rows, con: len(rows) == 1 and all(isinstance(v, int) and v > 0 for v in rows[0]),
     "kmeans_profile": lambda rows, con: len({tuple(r) for r in rows}) == len(rows) >= 2,
     "dashboard_bundle": lambda rows, con: all(r[0] for r in rows) and len(rows) > 3,
 }
