@@ -30,6 +30,8 @@ MIN_COUNT = 2
 RATIO = 10
 #: One edit: Q * EDITS + 1 bigrams make a prefix, EDITS + 1 of them are pivots.
 Q, EDITS = 2, 1
+#: Longer words are met by halves.
+LONG_WORD = 64
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 #: Each form occurs ``RATIO`` times as often as its word, so no chain of forms is longer than a count has digits.
@@ -135,6 +137,24 @@ def _letters(word: str) -> int:
     return mask
 
 
+def _sides(word: str, order: dict[str, tuple[int, int]]):
+    """(text that is the same in a near word, whether from a pivot, end of the prefix).
+
+    A word beyond ``LONG_WORD`` may repeat a bigram at very many places; of it and a near word, the first half of the shorter
+    one or the last is the same, so halves are its keys. Words of the two lengths at the bound have both kinds.
+    """
+    n = len(word)
+    if n <= LONG_WORD + 1:
+        places, chosen, last = prefix_and_pivots(word, order)
+        for i in places:
+            yield word[: i + Q] + "<", i in chosen, last
+            yield ">" + word[i:], i in chosen, last
+    if n >= LONG_WORD:
+        for half in {n // 2, (n - 1) // 2}:
+            yield word[:half] + "<", True, -1
+            yield ">" + word[n - half :], True, -1
+
+
 def _entries(order):
     def run(batches):
         grams = order.value
@@ -143,15 +163,13 @@ def _entries(order):
             for at in range(0, len(words), 20_000):
                 row, key, pivot, end, mask = [], [], [], [], []
                 for k, word in enumerate(words[at : at + 20_000]):
-                    places, chosen, last = prefix_and_pivots(word, grams)
                     letters = _letters(word)
-                    for i in places:
-                        for side in (word[: i + Q] + "<", ">" + word[i:]):
-                            row.append(at + k)
-                            key.append(xxhash.xxh64_intdigest(side))
-                            pivot.append(i in chosen)
-                            end.append(last)
-                            mask.append(letters)
+                    for side, is_pivot, last in _sides(word, grams):
+                        row.append(at + k)
+                        key.append(xxhash.xxh64_intdigest(side))
+                        pivot.append(is_pivot)
+                        end.append(last)
+                        mask.append(letters)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(pivot, pa.bool_()), pa.array(end, pa.int32()), pa.array(mask, pa.int64()),
