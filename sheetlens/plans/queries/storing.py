@@ -63,7 +63,7 @@ def dataset_listing(spark, sf_dir):
     for owner, hour in (("ana", 1), ("ben", 2)):
         made = dt.datetime(2024, 1, 1, hour)
         tables.append_dataset(tables.dataset_row(spark, "lines", "lines.csv", types, report, copies, kind, made, owner), base)
-    return tables.list_datasets(spark.read.parquet(f"{base}/datasets"), "ana").drop("created_at")
+    return tables.list_datasets(tables.read_datasets(spark, base), "ana").drop("created_at")
 
 
 @query("""

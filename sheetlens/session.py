@@ -80,6 +80,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def publish_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole content in one step; False, and nothing changed, if it is there already.
+
+    A local file is linked into place. Elsewhere a finished file is renamed, which must fail where the target exists,
+    as it does in HDFS.
+    """
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".draft-{uuid.uuid4().hex}")
+    if system.getScheme() == "file":
+        source, target = draft.toUri().getPath(), where.toUri().getPath()
+        with open(source, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(source, target)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(source)
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if not system.exists(where) and system.rename(draft, where):
+        return True
+    system.delete(draft, False)
+    return False
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for df in tables:
@@ -87,8 +127,7 @@ def drop_staged(*tables: DataFrame) -> None:
         folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
         for folder in folders:
             if "/sheetlens/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                drop_folder(spark, folder)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlens.functions.values import col, field_type, is_time
 from sheetlens.operators.clean import CleanReport
 from sheetlens.operators.profile import TableTypes
-from sheetlens.session import path_exists, small_frame
+from sheetlens.session import drop_folder, make_folder, path_exists, publish_once, small_frame
 from sheetlens.sources.row_ids import ROW_ID
 
 # Fixed value: length of the dataset list.
@@ -19,6 +22,7 @@ DATASET_DDL = (
     "categorical_columns int, date_columns int, missing_values bigint, duplicate_rows bigint, dataset_domain string, "
     "quality_score double, created_at timestamp"
 )
+VERSION_LOG_DDL = "commit bigint, write string, run string"
 
 
 def save_cleaned(df: DataFrame, path: str) -> DataFrame:
@@ -95,7 +99,14 @@ def dataset_row(
 
 
 def append_dataset(row: DataFrame, base: str) -> None:
-    row.write.mode("append").parquet(f"{base.rstrip('/')}/datasets")
+    """Add datasets to the list; a repeated run replaces the row of its owner and dataset."""
+    writer = row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("owner", "dataset_id").parquet(f"{base.rstrip('/')}/datasets")
+
+
+def read_datasets(spark: SparkSession, base: str) -> DataFrame:
+    """The list of datasets; ids and owners stay text, whatever they look like."""
+    return spark.read.schema(DATASET_DDL).parquet(f"{base.rstrip('/')}/datasets")
 
 
 def list_datasets(datasets: DataFrame, owner: str | None = None) -> DataFrame:
@@ -105,30 +116,53 @@ def list_datasets(datasets: DataFrame, owner: str | None = None) -> DataFrame:
     return datasets.orderBy(F.desc("created_at"), F.desc("dataset_id")).limit(LIST_LENGTH)
 
 
-def latest_version(stored: DataFrame) -> DataFrame:
-    """The newest version per dashboard id."""
-    others = F.struct(*[c for c in stored.columns if c != "dashboard_id"])
-    return stored.groupBy("dashboard_id").agg(F.max_by(others, "version").alias("r")).select("dashboard_id", "r.*")
+def _version_folders(base: str) -> tuple[str, str]:
+    return f"{base.rstrip('/')}/dashboards", f"{base.rstrip('/')}/dashboard_commits"
+
+
+def _version_log(spark: SparkSession, base: str) -> DataFrame:
+    """One row per commit: its number, the folder that it wrote and the run that it belongs to."""
+    return spark.read.schema(VERSION_LOG_DDL).json(_version_folders(base)[1])
 
 
-def store_version(rows: DataFrame, base: str) -> None:
-    """Append dashboards with the next version number of their id (1 for new ones).
+def store_version(rows: DataFrame, base: str, run: str | None = None) -> bool:
+    """Store the next version of the dashboards in ``rows`` (one row per ``dashboard_id``), with any number of writers.
 
-    ``rows`` holds one row per ``dashboard_id``; one writer at a time.
+    Rows go to a folder of their own, which counts only once its commit is published. Commits have consecutive numbers
+    and a number can be claimed once; a writer that loses the race looks at the log again and tries the number after it.
+    The version of a dashboard is its place among the commits that hold it, so a lost race rewrites no row. A ``run``
+    that is named in the log already adds nothing, in which case the result is False.
     """
-    spark, path = rows.sparkSession, f"{base.rstrip('/')}/dashboards"
-    if path_exists(spark, path):
-        known = spark.read.parquet(path).groupBy("dashboard_id").agg(F.max("version").alias("_last"))
-        joined = rows.join(known, "dashboard_id", "left")
-    else:
-        joined = rows.withColumn("_last", F.lit(None).cast("bigint"))
-    versioned = joined.withColumn("version", F.coalesce(F.col("_last"), F.lit(0)).cast("bigint") + 1).drop("_last")
-    versioned.write.mode("append").parquet(path)
+    spark, (data, log) = rows.sparkSession, _version_folders(base)
+    if path_exists(spark, data) and not path_exists(spark, log):
+        raise ValueError(f"{data} holds tables but no version log")
+    make_folder(spark, log)
+    write, written = f"w-{uuid.uuid4().hex}", False
+    while True:
+        known = _version_log(spark, base).agg(F.max("commit").alias("last"), F.bool_or(F.col("run") == F.lit(run)).alias("done")).first()
+        if known["done"]:
+            if written:
+                drop_folder(spark, f"{data}/write={write}")
+            return False
+        if not written:
+            rows.write.parquet(f"{data}/write={write}")
+            written = True
+        number = (known["last"] or 0) + 1
+        if publish_once(spark, f"{log}/{number:020d}.json", json.dumps({"commit": number, "write": write, "run": run})):
+            return True
+
+
+def stored_versions(spark: SparkSession, base: str) -> DataFrame:
+    """All committed rows with their ``commit``; folders without a commit (a lost writer's) are left out."""
+    commits = _version_log(spark, base).select("write", "commit")
+    return spark.read.parquet(_version_folders(base)[0]).join(commits, "write").drop("write")
 
 
 def read_dashboard(spark: SparkSession, base: str, dashboard_id: str | None = None) -> DataFrame:
     """Latest version of one dashboard, or of all."""
-    stored = spark.read.parquet(f"{base.rstrip('/')}/dashboards")
+    stored = stored_versions(spark, base)
     if dashboard_id is not None:
         stored = stored.where(F.col("dashboard_id") == dashboard_id)
-    return latest_version(stored)
+    others = F.struct(*[c for c in stored.columns if c not in ("dashboard_id", "commit")])
+    latest = stored.groupBy("dashboard_id").agg(F.max_by(others, "commit").alias("r"), F.count("*").alias("version"))
+    return latest.select("dashboard_id", "r.*", "version")

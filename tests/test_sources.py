@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetlens.operators import charts, filters
-from sheetlens.session import drop_staged, new_path, path_exists, stage
+from sheetlens.session import drop_staged, new_path, path_exists, run_together, small_frame, stage
 from sheetlens.sources import csv, tables
 from sheetlens.sources.row_ids import read_parquet
 
@@ -55,6 +55,41 @@ def test_versions_do_not_restart_on_a_broken_store(spark):
         tables.store_version(rows, broken)
 
 
+def test_writers_at_once_get_versions_of_their_own(spark):
+    base = new_path(spark, "store")
+    frames = [spark.createDataFrame([("d", f"body {i}"), (f"own {i}", "x")], "dashboard_id string, body string") for i in range(5)]
+    made = run_together({str(i): (lambda i=i: tables.store_version(frames[i], base)) for i in range(5)})
+    assert all(made.values())
+    stored = tables.stored_versions(spark, base)
+    assert sorted(r["commit"] for r in stored.where("dashboard_id = 'd'").collect()) == [1, 2, 3, 4, 5]
+    versions = {r["dashboard_id"]: r["version"] for r in tables.read_dashboard(spark, base).collect()}
+    assert versions == {"d": 5} | {f"own {i}": 1 for i in range(5)}
+    last = stored.where("dashboard_id = 'd' AND commit = 5").first()["body"]
+    assert tables.read_dashboard(spark, base, "d").first()["body"] == last
+
+
+def test_a_repeated_or_lost_run_adds_no_version(spark):
+    base = new_path(spark, "store")
+    rows = spark.createDataFrame([("d", "x")], "dashboard_id string, body string")
+    at_once = run_together({str(i): (lambda: tables.store_version(rows, base, run="monday")) for i in range(3)})
+    assert sorted(at_once.values()) == [False, False, True]
+    assert not tables.store_version(rows, base, run="monday")
+    # a writer that was lost before its commit
+    rows.write.parquet(f"{base}/dashboards/write=w-lost")
+    assert tables.read_dashboard(spark, base, "d").first()["version"] == 1
+    assert tables.store_version(rows, base, run="tuesday")
+    assert tables.read_dashboard(spark, base, "d").first()["version"] == 2
+
+
+def test_a_repeated_dataset_row_replaces_its_own(spark):
+    base = new_path(spark, "datasets")
+    for rows in (3, 4, 4):
+        row = {"dataset_id": "007", "owner": None if rows == 3 else "ana", "row_count": rows}
+        tables.append_dataset(small_frame(spark, [row], tables.DATASET_DDL), base)
+    got = tables.read_datasets(spark, base).select("dataset_id", "owner", "row_count").orderBy("row_count").collect()
+    assert got == [("007", None, 3), ("007", "ana", 4)]
+
+
 def test_a_repeated_store_replaces_its_own_results(spark):
     base = new_path(spark, "results")
     for dataset in ("a", "b", "a"):
