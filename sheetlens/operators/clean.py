@@ -2,12 +2,16 @@
 
 Order: numeric text to numbers, tidy categories, drop repeated rows, fill missing values,
 drop rows that became equal, count outliers, score. The table is written once after the first
-drop and once at the end; decisions come from one aggregate per step over all columns.
+drop and once at the end; decisions come from one aggregate per step over all columns. Whole
+rows are shuffled for the first drop only: the second one looks at hashes of the rows that a
+filled value can have made equal, and compares whole rows where hashes agree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ from sheetlens.functions.values import (
 )
 from sheetlens.operators.anomaly import outlier_bounds
 from sheetlens.operators.profile import ColumnType, TableTypes, infer_types
-from sheetlens.session import small_frame, stage
+from sheetlens.session import drop_staged, small_frame, stage
 from sheetlens.sources.row_ids import ROW_ID, data_columns, with_row_id
 
 # Thresholds, weights and wording of the report.
@@ -213,19 +217,55 @@ def normalise_text(df: DataFrame, types: TableTypes) -> tuple[DataFrame, list[st
     return (_replace(df, new) if new else df), list(new)
 
 
+def _row_keys(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """What equal rows share, by column; maps by their JSON, since they have no order."""
+    return {c: comparable(c, field_type(df, c)) if isinstance(field_type(df, c), T.MapType) else col(c) for c in names}
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """Keep the first of equal rows. Copies collapse map-side, so a row repeated very often is cheap."""
     names = data_columns(df)
-    plain = [c for c in names if not isinstance(field_type(df, c), (T.MapType,))]
-    if plain != names:
-        keyed = df.withColumns({f"_key_{c}": comparable(c, field_type(df, c)) for c in names if c not in plain})
-        keys = [f"_key_{c}" if c not in plain else c for c in names]
-        aggs = [F.first(col(c)).alias(c) for c in names if c not in plain]
+    maps = [c for c in names if isinstance(field_type(df, c), T.MapType)]
+    if maps:
+        keyed = df.withColumns({f"_key_{c}": key for c, key in _row_keys(df, maps).items()})
+        keys = [f"_key_{c}" if c in maps else c for c in names]
+        aggs = [F.first(col(c)).alias(c) for c in maps]
         grouped = keyed.groupBy(*[col(k) for k in keys]).agg(F.min(ROW_ID).alias(ROW_ID), *aggs)
         return grouped.select(*[col(c) for c in names], ROW_ID)
     return df.groupBy(*[col(c) for c in names]).agg(F.min(ROW_ID).alias(ROW_ID))
 
 
+_FILLED, _HASH = "_was_filled", "_row_hash"
+
+
+def impute_and_drop(df: DataFrame, filled: dict[str, dict]) -> tuple[DataFrame, int]:
+    """Distinct rows with the fill values put in, the first of those that became equal kept: (rows, number dropped).
+
+    Two rows can only become equal when one had a gap and the other has a gap there or holds the fill value. Hashes of
+    such rows are counted (a narrow shuffle); whole rows are compared where a hash comes again and one of its rows was
+    filled. All other rows pass by; the dropped ids are taken out by a join that Spark broadcasts when they are few.
+    """
+    names = data_columns(df)
+    gap = reduce(or_, [col(c).isNull() for c in filled])
+    after = impute(df.withColumn(_FILLED, gap), filled)
+    keys = _row_keys(after, names)
+    holds = [col(c) == F.lit(f["value"]).cast(field_type(after, c)) for c, f in filled.items()]
+    touched = after.where(reduce(or_, holds)).withColumn(_HASH, F.xxhash64(*[keys[c] for c in names]))
+    again = (
+        touched.groupBy(_HASH)
+        .agg(F.count("*").alias("n"), F.bool_or(_FILLED).alias("any"))
+        .where("n > 1 AND any")
+        .select(_HASH)
+    )
+    suspects = stage(touched.join(again, _HASH, "left_semi").drop(_HASH, _FILLED), "suspects")
+    kept = drop_duplicates(suspects).select(ROW_ID)
+    dropped = stage(suspects.select(ROW_ID).join(kept, ROW_ID, "left_anti"), "dropped")
+    drop_staged(suspects)
+    count = dropped.count()
+    after = after.drop(_FILLED)
+    return (after.join(dropped, ROW_ID, "left_anti").select(*[col(c) for c in names], ROW_ID) if count else after), count
+
+
 def fill_values(df: DataFrame, types: TableTypes) -> tuple[dict[str, dict], dict[str, int]]:
     """What to put in for missing values per column, and what to leave."""
     holes = {c.name: c for c in types.columns if c.missing}
@@ -284,9 +324,11 @@ def clean(df: DataFrame) -> tuple[DataFrame, CleanReport]:
     filled, report.missing_values_left = fill_values(df, types)
     report.missing_values_filled = {c: {k: v for k, v in f.items() if k != "value"} for c, f in filled.items()}
     if filled:
-        # only filled values can make further rows equal
-        df = stage(drop_duplicates(impute(df, filled)), "cleaned")
-        report.rows_after = df.count()
+        distinct = df
+        df, dropped = impute_and_drop(distinct, filled)
+        df = stage(df, "cleaned")
+        drop_staged(distinct)
+        report.rows_after = types.rows - dropped
     else:
         report.rows_after = types.rows
     report.duplicate_rows_removed = report.rows_before - report.rows_after

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from sheetlens.operators import clean
@@ -90,3 +92,19 @@ def test_report_row(spark, messy):
     row = clean.report_frame(spark, clean.clean(messy)[1]).first()
     assert row["missing_values_filled"]["Category"]["count"] == 1
     assert row["quality_score"] == 73.6
+
+
+def test_rows_that_filling_makes_equal(spark):
+    rng = random.Random(5)
+    rows = sorted({(rng.choice(["x", "y", None]), rng.choice([1, 2, None]), rng.choice([0.0, 2.5, None]), rng.choice("ab")) for _ in range(200)}, key=str)
+    rows = [(i * 3, *r, {"k": i % 2}) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "_row_id bigint, s string, n int, v double, w string, m map<string,int>").repartition(4)
+    filled = {"s": {"value": "x"}, "n": {"value": 1.5}, "v": {"value": 2.5}}
+    got, dropped = clean.impute_and_drop(df, filled)
+    seen = {}
+    for at, s, n, v, w, m in rows:
+        seen.setdefault((s or "x", 1.5 if n is None else float(n), 2.5 if v is None else v, w, m["k"]), at)
+    found = {(r["s"], r["n"], r["v"], r["w"], r["m"]["k"]): r["_row_id"] for r in got.collect()}
+    assert found == seen and dropped == len(rows) - len(seen) > 0
+    again, none = clean.impute_and_drop(df.where("w = 'a' AND n = 1"), {"n": {"value": 1.0}})
+    assert none == 0 and again.count() == len([r for r in rows if r[4] == "a" and r[2] == 1])
