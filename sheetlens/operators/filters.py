@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetlens.functions.values import FRACTION_TYPES, col, field_type, is_numeric, is_time, numeric
-from sheetlens.sources.row_ids import ROW_ID, data_columns, with_row_id
+from sheetlens.session import stage
+from sheetlens.sources.row_ids import ROW_ID, data_columns, position_index, rows_between, with_row_id
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -154,6 +155,23 @@ def page_rows(df: DataFrame, page: int = 1, page_size: int = 50, search: str = "
     return display(rows.orderBy(ROW_ID).offset(start).limit(page_size))
 
 
+def page_index(df: DataFrame, search: str = "") -> DataFrame:
+    """Positions of the rows (or of the hits of a search) by blocks, written once for all pages of a table."""
+    return stage(position_index(search_rows(df, search).select(ROW_ID) if search else df.select(ROW_ID)), "pages")
+
+
+def page_at(df: DataFrame, index: DataFrame, page: int | None = None, page_size: int = 50, search: str = "") -> DataFrame:
+    """A page in any depth, the last one if ``page`` is None: rows of the blocks it lies in, without a sort of those before.
+
+    ``df`` carries row ids and ``index`` comes from ``page_index`` of the same table and search.
+    """
+    if page is None:
+        rows = index.agg(F.sum("n")).first()[0] or 0
+        page = max(1, -(-rows // page_size))
+    first = max(0, (page - 1) * page_size)
+    return display(rows_between(search_rows(df, search) if search else df, index, first, first + page_size))
+
+
 def anomaly_overlay(page: DataFrame, records: DataFrame) -> DataFrame:
     """Rows of a page, each with its first anomaly record, if any.
 

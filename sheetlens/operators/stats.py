@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.functions.counts import one_row, union_all
+from sheetlens.functions.counts import one_row
 from sheetlens.functions.values import col, field_type, fixed, numeric, numeric_frame
-from sheetlens.session import small_frame
+from sheetlens.session import ship_package, small_frame
 
 # Thresholds and sizes of the reports.
 MODERATE_R, STRONG_R = 0.35, 0.6
@@ -34,55 +34,92 @@ def pearson(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), spread), F.lit(0.0))
 
 
+def _gram_sums(shift: np.ndarray, complete: bool):
+    """Sums over pairs of columns (i <= j) of a task's rows, each value less its column's ``shift``.
+
+    With X the shifted values (0 where missing) and M the presence: XᵀX, and unless all are present also XᵀM, MᵀX
+    (sums of one side where both are there), X²ᵀM, MᵀX² (squares) and MᵀM (counts). A task holds these matrices only.
+    """
+    upper = np.triu_indices(len(shift))
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64, copy=False)
+            present = ~np.isnan(values)
+            x = np.where(present, values - shift, 0.0)
+            parts = [x.T @ x]
+            if not complete:
+                m = present.astype(np.float64)
+                side, square = x.T @ m, (x * x).T @ m
+                parts += [side, side.T, square, square.T, m.T @ m]
+            sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
+        if sums is not None:
+            flat = [pa.array(s[upper]) for s in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *flat], ["i", "j", *_GRAM[: len(flat)]])
+
+    return run
+
+
+_GRAM = ("xy", "x", "y", "xx", "yy", "n")
+#: A side whose spread is this small beside its distance from the column's mean is looked at again, value by value.
+DOUBTFUL = 1e-9
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per unordered pair (order_a < order_b) plus the diagonal: r, unrounded.
+    """One row per unordered pair (order_a < order_b) plus the diagonal: r over complete pairs, unrounded.
 
-    A first aggregate gives means, ranges and counts. Pairs of complete columns then need only
-    the sum of products of the centred values, which is far cheaper than a covariance state per
-    pair; pairs with missing values keep the pairwise-complete covariance form. All pairs share
-    one scan; very wide tables take one aggregate per 400 pairs.
+    One scan gives counts, means and ranges, a second one the sums of products of all pairs, however many columns there
+    are: tasks add up matrices over Arrow batches, and Spark adds those by pair. Pairs in which one side may be
+    constant where both are present are taken again, 400 a job, by a covariance that sees each value, which is exact there.
     """
+    spark = df.sparkSession
+    ship_package(spark)
     nums = numeric_frame(df, columns)
     heads = [f(col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in _HEADS]
     head = one_row(nums, [F.count("*").alias("rows"), *heads])
-    full = [head[f"n{i}"] == head["rows"] for i in range(len(columns))]
-    flat = [head[f"lo{i}"] is None or head[f"lo{i}"] == head[f"hi{i}"] for i in range(len(columns))]
-    centred = [col(c) - F.lit(head[f"mean{i}"] or 0.0) for i, c in enumerate(columns)]
-    used = [i for i in range(len(columns)) if not flat[i]]
-    pairs = list(combinations(range(len(columns)), 2))
-    parts = []
-    for start in range(0, max(len(pairs), 1), PAIRS_PER_JOB):
-        part = pairs[start : start + PAIRS_PER_JOB]
-        live = [(i, j) for i, j in part if not flat[i] and not flat[j]]
-        plain = [(i, j) for i, j in live if full[i] and full[j]]
-        sides = sorted({i for pair in plain for i in pair})
-        aggs = [F.count("*").alias("rows")]
-        aggs += [F.sum(centred[i] * centred[i]).alias(f"s{i}") for i in sides]
-        aggs += [F.sum(centred[i] * centred[j]).alias(f"s{i}_{j}") for i, j in plain]
-        aggs += [pearson(col(columns[i]), col(columns[j])).alias(f"r{i}_{j}") for i, j in live if (i, j) not in set(plain)]
-
-        def r_of(i: int, j: int) -> Column:
-            if i == j:
-                return F.lit(1.0 if i in used else 0.0)
-            if (i, j) not in live:
-                return F.lit(0.0)
-            if full[i] and full[j]:
-                return F.coalesce(F.try_divide(F.col(f"s{i}_{j}"), F.sqrt(F.col(f"s{i}")) * F.sqrt(F.col(f"s{j}"))), F.lit(0.0))
-            return F.col(f"r{i}_{j}")
-
-        shown = part + ([(i, i) for i in range(len(columns))] if start == 0 else [])
-        rows = [
-            F.struct(
-                F.lit(i).alias("order_a"),
-                F.lit(j).alias("order_b"),
-                F.lit(columns[i]).alias("col_a"),
-                F.lit(columns[j]).alias("col_b"),
-                r_of(i, j).alias("r"),
-            )
-            for i, j in shown
-        ]
-        parts.append(nums.agg(*aggs).select(F.inline(F.array(*rows))))
-    return union_all(parts)
+    live = [i for i in range(len(columns)) if head[f"lo{i}"] is not None and head[f"lo{i}"] != head[f"hi{i}"]]
+    full = np.array([head[f"n{i}"] == head["rows"] for i in live], bool)
+    r = np.zeros((len(columns), len(columns)))
+    if len(live) > 1:
+        complete = bool(full.all())
+        shift = np.array([head[f"mean{i}"] for i in live])
+        used = _GRAM[:1] if complete else _GRAM
+        ddl = "i int, j int, " + ", ".join(f"{k} double" for k in used)
+        sums = nums.select(*[col(columns[i]) for i in live]).mapInArrow(_gram_sums(shift, complete), ddl)
+        added = sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in used]).toArrow()
+        i, j, xy, *rest = (added.column(k).to_numpy() for k in ("i", "j", *used))
+        square = np.zeros(len(live))
+        square[i[i == j]] = xy[i == j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = xy / (np.sqrt(square[i]) * np.sqrt(square[j]))
+            if not complete:
+                x, y, xx, yy, n = rest
+                gap = ~(full[i] & full[j])
+                spread_x, spread_y = xx - x * x / n, yy - y * y / n
+                found[gap] = ((xy - x * y / n) / (np.sqrt(np.maximum(spread_x, 0)) * np.sqrt(np.maximum(spread_y, 0))))[gap]
+                doubtful = gap & (i < j) & (n > 0) & ((spread_x <= DOUBTFUL * xx) | (spread_y <= DOUBTFUL * yy))
+                found[gap & (n == 0)] = 0.0
+                again = list(zip(i[doubtful].tolist(), j[doubtful].tolist()))
+                exact = []
+                for start in range(0, len(again), PAIRS_PER_JOB):
+                    part = again[start : start + PAIRS_PER_JOB]
+                    exact += nums.agg(*[pearson(col(columns[live[a]]), col(columns[live[b]])) for a, b in part]).first()
+                found[doubtful] = exact
+            found[(square[i] == 0) | (square[j] == 0)] = 0.0
+        at = np.array(live)
+        r[at[i], at[j]] = found
+    for k in live:
+        r[k, k] = 1.0
+    a, b = np.triu_indices(len(columns))
+    names = np.array(columns, dtype=object)
+    table = pa.table(
+        {
+            "order_a": pa.array(a, pa.int32()), "order_b": pa.array(b, pa.int32()), "col_a": pa.array(names[a], pa.string()),
+            "col_b": pa.array(names[b], pa.string()), "r": pa.array(r[a, b]),
+        }
+    )
+    return spark.createDataFrame(table, "order_a int, order_b int, col_a string, col_b string, r double")
 
 
 def _mirrored(pairs: DataFrame) -> DataFrame:

@@ -317,6 +317,30 @@ def page_rows_part(spark, sf_dir):
     return filters.page_rows(table(spark, sf_dir, "part", ids=True), 3, 50).drop("_row_id")
 
 
+_LINE_COLUMNS = ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+)
+
+
+@query(f"""
+WITH placed AS (SELECT *, row_number() OVER () - 1 AS place, count(*) OVER () AS total FROM lineitem)
+SELECT {_LINE_COLUMNS} FROM placed WHERE place >= (total - 1) // 50 * 50
+""")
+def page_rows_deep(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem", ids=True)
+    return filters.page_at(df, filters.page_index(df)).drop("_row_id")
+
+
+@query(f"""
+WITH hits AS (SELECT *, row_number() OVER () - 1 AS place FROM (SELECT *, row_number() OVER () AS at FROM lineitem) WHERE contains(l_shipdate::VARCHAR, '1995-03'))
+SELECT {_LINE_COLUMNS} FROM hits WHERE place >= 40 AND place < 60
+""")
+def page_search_deep(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem", ids=True)
+    return filters.page_at(df, filters.page_index(df, "1995-03"), 3, 20, "1995-03").drop("_row_id")
+
+
 @query("""
 SELECT CAST(2 AS INTEGER) AS filter_order, 'o_orderstatus' AS "column", 'categorical' AS filter_type, string_agg(v, '|' ORDER BY v) AS options, NULL::VARCHAR AS low, NULL::VARCHAR AS high
 FROM (SELECT DISTINCT o_orderstatus AS v FROM orders)

@@ -71,3 +71,39 @@ def with_positions(df: DataFrame, name: str = "row_index") -> DataFrame:
         .withColumn(name, F.col("_start") + F.col("_in_block"))
         .drop("_block", "_in_block", "_start")
     )
+
+
+#: Rows of a page come from blocks of 2**12 ids; starts of blocks are added up in groups of 2**12 blocks.
+PAGE_BLOCK_BITS = GROUP_BITS = 12
+
+
+def position_index(df: DataFrame) -> DataFrame:
+    """(block, n, start): the rows of ``df`` in every block of row ids, and how many rows come before it.
+
+    Reads nothing but what ``_row_id`` and the filters of ``df`` need. Starts inside a group of blocks come from a window
+    over the group, those of the groups from one over a 4,096th of the blocks.
+    """
+    counts = df.groupBy(F.shiftright(ROW_ID, PAGE_BLOCK_BITS).alias("block")).agg(F.count("*").alias("n"))
+    grouped = counts.withColumn("_group", F.shiftright("block", GROUP_BITS))
+    earlier = (Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("_group").agg(F.sum("n").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_group").rowsBetween(*earlier)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_group").orderBy("block").rowsBetween(*earlier)), F.lit(0))
+    starts = groups.select("_group", before.alias("_before"))
+    return grouped.join(starts, "_group").select("block", "n", (F.col("_before") + inside).alias("start"))
+
+
+def rows_between(df: DataFrame, index: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of ``df`` at the positions ``first`` to ``last`` - 1 (from 0), with ``index`` from ``position_index``.
+
+    Only the blocks of these positions pass the scan's filter; a window over each of them gives the positions.
+    """
+    wanted = index.where((F.col("start") < last) & (F.col("start") + F.col("n") > first))
+    ends = wanted.agg(F.min("block").alias("low"), F.max("block").alias("high")).first()
+    if ends["low"] is None:
+        return df.limit(0)
+    low, high = ends["low"] << PAGE_BLOCK_BITS, (ends["high"] + 1) << PAGE_BLOCK_BITS
+    near = df.where((F.col(ROW_ID) >= low) & (F.col(ROW_ID) < high)).withColumn("_block", F.shiftright(ROW_ID, PAGE_BLOCK_BITS))
+    starts = wanted.select(F.col("block").alias("_block"), F.col("start").alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_block").orderBy(ROW_ID)) - 1
+    return near.join(starts, "_block").withColumn("_place", place).where((F.col("_place") >= first) & (F.col("_place") < last)).drop("_block", "_start", "_place")

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,57 @@ def test_pages(spark):
     assert [r["v"] for r in filters.page_rows(gaps, 2, 5).orderBy("_row_id").collect()] == ["30", "36", "42", "48", "54"]
 
 
+def test_pages_by_position(spark):
+    ids = [i * 700 + i % 3 for i in range(3000)] + [(5 << 40) + i for i in range(2000)]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "_row_id bigint, v string").repartition(5)
+    want = [str(i) for i in ids]
+    index = filters.page_index(df)
+    assert index.agg(F.sum("n")).first()[0] == 5000
+    for page, size in ((1, 10), (60, 50), (61, 50), (3, 1999), (101, 50)):
+        got = [r["v"] for r in filters.page_at(df, index, page, size).orderBy("_row_id").collect()]
+        assert got == want[(page - 1) * size : page * size]
+    assert [r["v"] for r in filters.page_at(df, index, None, 30).orderBy("_row_id").collect()] == want[4980:]
+    hits = [v for v in want if "77" in v]
+    found = filters.page_at(df, filters.page_index(df, "77"), 2, 20, "77")
+    assert [r["v"] for r in found.orderBy("_row_id").collect()] == hits[20:40]
+    assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+    empty = df.where("v = 'none'")
+    assert filters.page_at(empty, filters.page_index(empty)).count() == 0
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    width, rows = 40, 300
+    values = rng.normal(size=(rows, width)) + rng.normal(size=(rows, 1)) + 1e6
+    values[rng.random((rows, width)) < 0.3] = np.nan
+    values[:, 5] = np.where(np.arange(rows) % 2, 0.1 + np.arange(rows), np.where(np.arange(rows) % 4, 0.1, np.nan))
+    values[:, 6] = np.where(np.arange(rows) % 4 == 2, np.arange(rows), np.nan)  # column 5 is constant where this one is there
+    values[:, 7] = np.where(np.arange(rows) % 4 == 0, np.arange(rows), np.nan)  # column 5 is missing where this one is there
+    values[:, 8], values[:, 9] = 3.0, np.arange(rows)
+    names = [f"c{i}" for i in range(width)]
+    frame = pa.table({n: pa.array(values[:, i], from_pandas=True) for i, n in enumerate(names)})
+    df = spark.createDataFrame(frame).repartition(4)
+    got = stats.correlations(df, names).toPandas()
+    assert len(got) == width * (width + 1) // 2
+    for row in got.itertuples():
+        x, y = values[:, row.order_a], values[:, row.order_b]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        x, y = x[both], y[both]
+        flat = len(x) == 0 or x.min() == x.max() or y.min() == y.max()
+        assert row.r == (0.0 if flat else pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-7))
+
+
+def test_correlations_without_gaps_or_rows(spark):
+    values = np.random.default_rng(4).normal(size=(500, 3)).cumsum(1)
+    df = spark.createDataFrame(pa.table({n: values[:, i] for i, n in enumerate("abc")}))
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in stats.correlations(df, ["a", "b", "c"]).collect()}
+    want = np.corrcoef(values.T)
+    assert got["a", "c"] == pytest.approx(want[0, 2]) and got["b", "c"] == pytest.approx(want[1, 2]) and got["a", "a"] == 1.0
+    none = {(r["col_a"], r["col_b"]): r["r"] for r in stats.correlations(df.where("a > 1e9"), ["a", "b"]).collect()}
+    assert none == {("a", "a"): 0.0, ("a", "b"): 0.0, ("b", "b"): 0.0}
+    assert stats.correlations(df, []).count() == 0
+
+
 def test_time_filters(spark):
     rows = [(1, dt.datetime(2024, 5, 1, 0, 0)), (2, dt.datetime(2024, 5, 1, 23, 59, 59)), (3, dt.datetime(2024, 5, 2)), (4, None)]
     df = spark.createDataFrame(rows, "k int, t timestamp_ntz")
