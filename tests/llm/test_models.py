@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import zstandard
@@ -44,6 +45,73 @@ def test_language_model(spark, monkeypatch, known):
     assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
 
 
+def test_untrained_scores_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "ROUNDS", 0)  # the model's start: frequencies of classes, of slots, of words in a shared slot
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 40) + "zz" for _ in range(30))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "unseen words zz")]
+    out = {r["doc_id"]: r["score"] for r in maxent.score_documents(odd_documents(spark, rows)).collect()}
+    seen = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*tokens(t), None])
+    found = maxent.Tokens(pa.array([w or "" for w in sorted({w for _, t in rows for w in tokens(t)})]))
+    place = dict(zip(sorted({w for _, t in rows for w in tokens(t)}), zip(found.cls[::2].tolist(), found.hash[::2].view(np.int64).tolist())))
+    place[None] = (0, int(maxent.END.astype(np.int64)))
+    classes = Counter()
+    for w, n in seen.items():
+        classes[place[w][0]] += n
+    heads = {c: sorted((w for w in seen if place[w][0] == c), key=lambda w: (-seen[w], place[w][1]))[: maxent.HEAD] for c in range(maxent.CLASSES)}
+    assert any(len([w for w in seen if place[w][0] == c]) > maxent.HEAD for c in heads)
+
+    def log_p(w):
+        c = place[w][0]
+        p = math.log10((classes[c] + 0.1) / (sum(classes.values()) + 0.1 * maxent.CLASSES))
+        whole = classes[c] + 0.1 * maxent.SLOTS
+        if w in heads[c]:
+            return p + math.log10((seen[w] + 0.1) / whole)
+        rest = [seen[o] for o in seen if place[o][0] == c and o not in heads[c]]
+        return p + math.log10((sum(rest) + 0.1) / whole) + math.log10((seen[w] + 0.1) / (sum(rest) + 0.1 * (len(rest) + 1)))
+
+    for i, t in rows:
+        assert out[i] == pytest.approx(sum(log_p(w) for w in [*tokens(t), None]), rel=1e-4)
+
+
+def test_words_beyond_the_heads_are_told_apart_in_a_history(spark, monkeypatch):
+    # all words are of one class; 200 words that are no head words foretell which of 20 frequent words follows
+    rng = random.Random(4)
+    texts = []
+    for i in range(600):
+        picks = [rng.randrange(200) for _ in range(40)]
+        texts.append((i, " ".join(f"w{p}zz h{p % 20}zz" for p in picks)))
+    scores = {}
+    for words in (0, 1 << 16):
+        monkeypatch.setattr(maxent, "WORDS", words)
+        held = maxent.score_documents(odd_documents(spark, texts)).where("held_out").collect()
+        scores[words] = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert scores[1 << 16] > scores[0] + 0.1
+
+
+def test_counts_beyond_31_bits():
+    table = maxent.HashTable(np.array([7, 9], np.uint64), np.array([2**31 + 5, 2**40], np.int64))
+    assert table.get(np.array([9, 7, 8], np.uint64), -1).tolist() == [2**40, 2**31 + 5, -1]
+
+
+def test_changes_of_many_tasks_merge_in_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pieces, total, weight = [], np.zeros((maxent.BLOCK_ROWS, 4)), np.zeros(maxent.BLOCK_ROWS)
+    for task in range(700):
+        rows = np.sort(rng.choice(maxent.BLOCK_ROWS, 20, replace=False))
+        seen, change = rng.integers(1, 9, 20), rng.standard_normal((20, 4)).astype(np.float16)
+        total[rows] += change * seen[:, None]
+        weight[rows] += seen
+        pieces.append(maxent._piece(1, 2048, task // maxent.FAN_IN, rows, seen, change))
+    frame = spark.createDataFrame(pa.Table.from_batches(pieces), maxent.CHANGES)
+    (row,) = maxent.merged(frame, 700).collect()
+    assert (row["number"], row["at"]) == (1, 2048)
+    rows = np.frombuffer(row["rows"], np.int16)
+    assert rows.tolist() == np.flatnonzero(weight).tolist() and np.frombuffer(row["seen"], np.int64).tolist() == weight[rows].tolist()
+    change = np.frombuffer(row["change"], np.float16).reshape(-1, 4)
+    assert np.allclose(change, total[rows] / weight[rows][:, None], atol=5e-3)
+
+
 def test_language_model_on_nothing(spark):
     assert maxent.score_documents(odd_documents(spark, [])).count() == 0
 
