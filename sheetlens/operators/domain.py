@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetlens.functions.values import col, field_type
+from sheetlens.session import ship_package
 from sheetlens.sources.row_ids import data_columns
 
 # Domains in order of preference, with title and keywords.
@@ -79,15 +83,43 @@ DOMAINS = (
 GENERAL = ("general", "General Structured Dataset", 52)
 
 
+def _find_words(words: list[str]):
+    """Arrow batches of lower-cased text columns to the words that their values hold, each once per task.
+
+    The distinct values of a batch go through one automaton of all words; words already seen leave it, so that a common
+    word costs no more than a rare one.
+    """
+
+    def run(batches):
+        left, machine = set(words), None
+        for batch in batches:
+            if not left:
+                continue
+            if machine is None:
+                machine = ahocorasick.Automaton()
+                for w in left:
+                    machine.add_word(w, w)
+                machine.make_automaton()
+            found = set()
+            for column in batch.columns:
+                # no word holds a line break, so none is found across two values
+                found.update(w for _, w in machine.iter("\n".join(v for v in pc.unique(column).to_pylist() if v)))
+            if found:
+                left, machine = left - found, None
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    return run
+
+
 def _held_words(df: DataFrame) -> DataFrame:
     """One row: the keywords that any value of any text column holds, case ignored."""
     texts = [c for c in data_columns(df) if isinstance(field_type(df, c), T.StringType)]
     words = sorted({w for _, _, keywords in DOMAINS for w in keywords})
     if not texts:
         return df.sparkSession.range(1).select(F.array().cast("array<string>").alias("held"))
-    lowered = df.select(F.lower(F.concat_ws(" ", *[col(c) for c in texts])).alias("text"))
-    found = lowered.agg(*[F.bool_or(F.contains("text", F.lit(w))).alias(f"w{i}") for i, w in enumerate(words)])
-    return found.select(F.array_compact(F.array(*[F.when(F.col(f"w{i}"), w) for i, w in enumerate(words)])).alias("held"))
+    ship_package(df.sparkSession)
+    lowered = df.select(*[F.lower(col(c)).alias(f"t{i}") for i, c in enumerate(texts)])
+    return lowered.mapInArrow(_find_words(words), "word string").agg(F.array_sort(F.collect_set("word")).alias("held"))
 
 
 def domain_scores(df: DataFrame) -> DataFrame:

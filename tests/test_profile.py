@@ -140,3 +140,15 @@ def test_positions_are_dense(spark):
     df = spark.createDataFrame([(i,) for i in reversed(ids)], "_row_id long")
     got = {r["_row_id"]: r["row_index"] for r in with_positions(df).collect()}
     assert got == {i: k + 1 for k, i in enumerate(ids)}
+
+
+def test_domain_words_in_values(spark):
+    rng = random.Random(8)
+    words = sorted({w for _, _, keywords in domain.DOMAINS for w in keywords})
+    values = [rng.choice(["", "x", "Le\nad", "qq"]) + rng.choice(words).upper() + rng.choice(["ing", "\n", " no"]) for _ in range(40)]
+    rows = [(values[i % 40], None if i % 3 else "sto", "ck") for i in range(300)]  # no word across two columns or rows
+    df = spark.createDataFrame(rows, "a string, b string, c string").repartition(3)
+    want = sorted(w for w in words if any(w in v.lower() for row in rows for v in row if v))
+    assert domain._held_words(df).first()["held"] == want
+    assert domain._held_words(df.where("a = 'none'")).first()["held"] == []
+    assert domain._held_words(df.select(F.length("a").alias("n"))).first()["held"] == []
