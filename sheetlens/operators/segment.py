@@ -1,20 +1,27 @@
-"""K-means segments with the number of clusters chosen by silhouette."""
+"""K-means segments with the number of clusters chosen by silhouette.
+
+All numbers of clusters and all starts go through Lloyd's steps together: a pass assigns every row in every model, tasks add up
+their Arrow batches per centre and Spark adds those. Starts are k-means++ picks by hashes of row ids, so a lost task gives the
+same rows again and SQL can compute the same models.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.functions.values import col, numeric_frame
-from sheetlens.session import run_together, spread
+from sheetlens.session import ship_package, spread
+from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
-# Limits, seed and segment names.
+# Limits, seed, starts, when to stop, and segment names.
 MIN_COLUMNS, MIN_ROWS = 2, 15
-SEED = 42
+SEED, STARTS, STEPS, TOLERANCE = 42, 10, 300, 1e-4
 HIGH, MIDDLE, BASE = "High Activity Segment", "Growth Potential Segment", "Baseline / Moderate Segment"
 TOO_FEW_COLUMNS = (
     "Clustering was skipped because this dataset does not contain enough numerical features (minimum 2 required)."
@@ -22,6 +29,10 @@ TOO_FEW_COLUMNS = (
 TOO_FEW_ROWS = (
     "Clustering was skipped because the dataset has too few records for meaningful segmentation (minimum 15 required)."
 )
+ALL_ALIKE = "Clustering encountered an error: all records are alike."
+INFINITE = "Clustering encountered an error: a column holds infinite values."
+#: Hashes of rows are mixed for every pick by a linear function modulo this prime.
+PRIME = 2**31 - 1
 
 
 def candidate_ks(n: int) -> list[int]:
@@ -35,47 +46,220 @@ def not_applicable(columns: list[str], n: int) -> str | None:
     return TOO_FEW_ROWS if n < MIN_ROWS else None
 
 
+def _mixer(start: int, place: int) -> list[int]:
+    """Factors and summands for the two hashes of a row, for one pick of one start."""
+    digest = hashlib.md5(f"{SEED}:seed:{start}:{place}".encode()).hexdigest()
+    w = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    return [1 + w[0] % (PRIME - 1), w[1] % PRIME, 1 + w[2] % (PRIME - 1), w[3] % PRIME]
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, summed column by column: no row is nearer than 0."""
+    out = np.zeros((len(x), len(centres)))
+    for i in range(x.shape[1]):
+        out += (x[:, i, None] - centres[None, :, i]) ** 2
+    return out
+
+
+class Scale:
+    """Raw batches (row id, two hashes, columns) as standardised matrices."""
+
+    def __init__(self, mean: list[float], std: list[float]):
+        self.mean, self.std = np.array(mean), np.array(std)
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = np.column_stack([c.to_numpy() for c in batch.columns[:3]])
+        raw = np.column_stack([c.to_numpy() for c in batch.columns[3:]]).astype(np.float64, copy=False)
+        return key, raw, (raw - self.mean) / self.std
+
+
+def _picks(scale: Scale, chosen: np.ndarray | None, place: int):
+    """Per task and start, the row whose exponential waiting time with rate d² (1 for the first centre) is shortest.
+
+    The shortest of all rows is a draw with chances in proportion to d², the squared distance to the centres so far.
+    """
+    mixers = [_mixer(s, place) for s in range(STARTS)]
+
+    def run(batches):
+        best: dict[int, tuple[float, int, np.ndarray]] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key, _, x = scale.read(batch)
+            for s, (a, b, c, d) in enumerate(mixers):
+                high, low = (a * key[:, 1] + b) % PRIME, (c * key[:, 2] + d) % PRIME
+                wait = -np.log(1.0 - (high + (low + 1) / (PRIME + 1.0)) / PRIME)
+                if chosen is not None:
+                    rate = _squares(x, chosen[s]).min(axis=1)
+                    wait = np.where(rate > 0, wait / np.where(rate > 0, rate, 1.0), np.inf)
+                at = np.lexsort((key[:, 0], wait))[0]
+                found = (float(wait[at]), int(key[at, 0]), x[at])
+                if np.isfinite(wait[at]) and (s not in best or found[:2] < best[s][:2]):
+                    best[s] = found
+        rows = [{"start": s, "wait": w, "row": r, "x": x.tolist()} for s, (w, r, x) in best.items()]
+        yield pa.RecordBatch.from_pylist(rows, _PICK)
+
+    return run
+
+
+_PICK = pa.schema([("start", pa.int32()), ("wait", pa.float64()), ("row", pa.int64()), ("x", pa.list_(pa.float64()))])
+_PICK_DDL = "start int, wait double, row bigint, x array<double>"
+
+
+def _assigned(scale: Scale, models: dict[int, np.ndarray]):
+    """Per task, model, cluster and column: rows, sum of values, sum of their squares, and the rows' squared distances to the centre."""
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            _, _, x = scale.read(batch)
+            parts = []
+            for centres in models.values():
+                d = _squares(x, centres)
+                label = d.argmin(axis=1)
+                mine = (label[:, None] == np.arange(len(centres))).astype(np.float64)
+                n, near = mine.sum(axis=0), mine.T @ d[np.arange(len(d)), label]
+                side = np.ones(x.shape[1])
+                parts.append(np.stack([np.outer(n, side), mine.T @ x, mine.T @ (x * x), np.outer(near, side)], axis=2))
+            sums = parts if sums is None else [p + q for p, q in zip(sums, parts)]
+        if sums is not None:
+            for m, part in zip(models, sums):
+                k, p, _ = part.shape
+                place = [np.full(k * p, m, np.int32), np.repeat(np.arange(k, dtype=np.int32), p), np.tile(np.arange(p, dtype=np.int32), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in [*place, *part.reshape(-1, 4).T]], ["m", "c", "i", *_SUMS])
+
+    return run
+
+
+_SUMS = ("n", "x", "xx", "near")
+
+
+def _separated(scale: Scale, models: dict[int, np.ndarray], whole: dict[int, np.ndarray]):
+    """Per task, model, cluster and column: rows, sum of raw values and the rows' silhouettes.
+
+    The mean squared distance of a row to a cluster follows from the cluster's sums, so no pair of rows is formed.
+    """
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            _, raw, x = scale.read(batch)
+            parts = []
+            for m, centres in models.items():
+                n, s, q = whole[m][:, 0, 0], whole[m][:, :, 1], whole[m][:, :, 2].sum(axis=1)
+                label = _squares(x, centres).argmin(axis=1)
+                total = np.maximum((x * x).sum(axis=1)[:, None] * n + q - 2.0 * (x @ s.T), 0.0)
+                rows = np.arange(len(x))
+                own = total[rows, label] / np.maximum(n[label] - 1, 1)
+                other = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+                other[rows, label] = np.inf
+                other = other.min(axis=1)
+                most = np.maximum(own, other)
+                value = np.where((n[label] > 1) & (most > 0), (other - own) / np.where(most > 0, most, 1.0), 0.0)
+                mine = (label[:, None] == np.arange(len(centres))).astype(np.float64)
+                side = np.ones(x.shape[1])
+                parts.append(np.stack([np.outer(mine.sum(axis=0), side), mine.T @ raw, np.outer(mine.T @ value, side), np.zeros((len(centres), len(side)))], axis=2))
+            sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
+        if sums is not None:
+            for m, part in zip(models, sums):
+                k, p, _ = part.shape
+                place = [np.full(k * p, m, np.int32), np.repeat(np.arange(k, dtype=np.int32), p), np.tile(np.arange(p, dtype=np.int32), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in [*place, *part.reshape(-1, 4).T]], ["m", "c", "i", *_SUMS])
+
+    return run
+
+
+def _summed(rows: DataFrame, run, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The tasks' sums added up: per model a cluster x column x 4 array."""
+    ddl = "m int, c int, i int, " + ", ".join(f"{s} double" for s in _SUMS)
+    added = rows.mapInArrow(run, ddl).groupBy("m", "c", "i").agg(*[F.sum(s).alias(s) for s in _SUMS]).toArrow()
+    m, c, i, *values = (added.column(k).to_numpy() for k in ("m", "c", "i", *_SUMS))
+    out = {}
+    for model, centres in models.items():
+        out[model] = np.zeros((*centres.shape, len(_SUMS)))
+        out[model][c[m == model], i[m == model]] = np.column_stack(values)[m == model]
+    return out
+
+
+def starting_centres(rows: DataFrame, scale: Scale, most: int) -> np.ndarray:
+    """Start x place x column: the first k places of a start begin its model of k clusters.
+
+    With fewer distinct rows than places, the last one found is repeated: its cluster stays empty.
+    """
+    chosen = None
+    for place in range(most):
+        found = rows.mapInArrow(_picks(scale, chosen, place), _PICK_DDL).groupBy("start").agg(F.min(F.struct("wait", "row", "x")).alias("p"))
+        picked = {r["start"]: r["p"]["x"] for r in found.collect()}
+        new = np.array([picked[s] if s in picked else chosen[s, -1] for s in range(STARTS)])[:, None, :]
+        chosen = new if chosen is None else np.concatenate([chosen, new], axis=1)
+    return chosen
+
+
+def lloyd(rows: DataFrame, scale: Scale, models: dict[int, np.ndarray], tolerance: float) -> dict[int, np.ndarray]:
+    """Centres after Lloyd's steps; a model leaves once its centres move by no more than the tolerance. Empty clusters stay."""
+    done, active = {}, dict(models)
+    for _ in range(STEPS):
+        sums = _summed(rows, _assigned(scale, active), active)
+        moved = {}
+        for m, old in active.items():
+            n = sums[m][:, :, 0]
+            new = np.where(n > 0, sums[m][:, :, 1] / np.maximum(n, 1), old)
+            (done if ((new - old) ** 2).sum() <= tolerance else moved)[m] = new
+        active = moved
+        if not active:
+            break
+    return {m: (done | active)[m] for m in models}
+
+
 def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float | None, str | None]:
     """(cluster profile, silhouette, reason): the reason is set when there is no profile.
 
-    Profile rows: cluster, name, size, pct_of_data and mean_<column> in raw units. MLlib's silhouette
-    (squared distances, linear cost) picks k; the pairwise one would be quadratic in the rows.
+    Profile rows: cluster, name, size, pct_of_data and mean_<column> in raw units. Rows with a missing value take no part.
+    Of ten starts a k the one with the least sum of squared distances counts; of the ks the one with the largest silhouette
+    (of squared distances, linear cost; the pairwise one would be quadratic in the rows), the smaller k first.
     """
-    rows = numeric_frame(df, columns).na.drop()
-    n = rows.count() if len(columns) >= MIN_COLUMNS else 0
+    spark = df.sparkSession
+    # row ids are read only where there is something to segment
+    if len(columns) < MIN_COLUMNS:
+        return None, None, TOO_FEW_COLUMNS
+    ship_package(spark)
+    nums = numeric_frame(with_row_id(df), columns, [ROW_ID]).na.drop(subset=columns)
+    stats = [f(col(c)) for c in columns for f in (F.avg, F.stddev_pop, F.min, F.max)]
+    n, *head = nums.agg(F.count("*"), *stats).first()
     reason = not_applicable(columns, n)
     if reason:
         return None, None, reason
-    vectors = VectorAssembler(inputCols=columns, outputCol="raw").transform(spread(rows, n))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vectors)
-    # k-means passes over the features many times; they are cached, and recomputed if an executor goes
-    features = scaler.transform(vectors).drop("raw").persist(StorageLevel.MEMORY_AND_DISK)
+    mean, std, low, high = (head[i::4] for i in range(4))
+    live = [a != b for a, b in zip(low, high)]
+    if not any(live):
+        return None, None, ALL_ALIKE
+    if not np.isfinite(low + high).all():
+        return None, None, INFINITE
+    scale = Scale(mean, [s if ok else 1.0 for s, ok in zip(std, live)])
+    digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("row"), col(ROW_ID).cast("string")).cast("binary"))
+    hashes = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(f"_h{at}") for at in (1, 9)]
+    rows = spread(nums, n).select(ROW_ID, *hashes, *[col(c) for c in columns])
+    # every step reads the rows; they are cached, and recomputed if an executor goes
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        evaluator = ClusteringEvaluator(featuresCol="features")
-
-        def attempt(k: int):
-            model = KMeans(k=k, seed=SEED, featuresCol="features", solver="block").fit(features)
-            if sum(size > 0 for size in model.summary.clusterSizes) < 2:
-                return None, -2.0
-            return model, evaluator.evaluate(model.transform(features))
-
-        features.count()
-        tried = run_together({str(k): (lambda k=k: attempt(k)) for k in candidate_ks(n)})
-        best_model, best = max(tried.values(), key=lambda t: t[1])
-        if best_model is None:
-            return None, None, "Clustering encountered an error: all records are alike."
-        sums = (
-            best_model.transform(features)
-            .groupBy(F.col("prediction").alias("cluster"))
-            .agg(F.count("*").alias("size"), *[F.avg(col(c)).alias(f"mean_{c}") for c in columns])
-            .collect()
-        )
+        ks = candidate_ks(n)
+        starts = starting_centres(rows, scale, ks[-1])
+        models = {STARTS * k + s: starts[s, :k] for k in ks for s in range(STARTS)}
+        models = lloyd(rows, scale, models, TOLERANCE * sum(live) / len(live))
+        sums = _summed(rows, _assigned(scale, models), models)
+        best = {k: min(range(STARTS * k, STARTS * k + STARTS), key=lambda m: sums[m][:, 0, 3].sum()) for k in ks}
+        kept = {m: models[m] for k, m in best.items() if (sums[m][:, 0, 0] > 0).sum() > 1}
+        apart = _summed(rows, _separated(scale, kept, {m: sums[m] for m in kept}), kept) if kept else {}
     finally:
-        features.unpersist()
-    profile = df.sparkSession.createDataFrame(
-        sums, "cluster int, size bigint, " + ", ".join(f"`mean_{c}` double" for c in columns)
-    )
-    return name_segments(profile, columns), best, None
+        rows.unpersist()
+    if not kept:
+        return None, None, ALL_ALIKE
+    score = {m: apart[m][:, 0, 2].sum() / n for m in kept}
+    winner = max(kept, key=lambda m: score[m])
+    size, raw = apart[winner][:, 0, 0], apart[winner][:, :, 1]
+    found = [(c, int(size[c]), *(raw[c] / size[c]).tolist()) for c in range(len(size)) if size[c] > 0]
+    profile = spark.createDataFrame(found, "cluster int, size bigint, " + ", ".join(f"`mean_{c}` double" for c in columns))
+    return name_segments(profile, columns), float(score[winner]), None
 
 
 def name_segments(profile: DataFrame, columns: list[str]) -> DataFrame:

@@ -230,7 +230,85 @@ def total_anomalies(spark, sf_dir):
     return anomaly.total_anomalies(flagged, records)
 
 
-@query()
+def kmeans_sql(source: str, columns: list[str]) -> str:
+    """CTEs up to ``segments`` (cluster, name, size, share, means) and ``segment_head`` (n_clusters, silhouette_score).
+
+    ``source`` has row_id and the columns. Every start and k is a row of centres; one recursion moves them all.
+    """
+    p, most, prime = range(len(columns)), range(4), segment.PRIME
+    number = "CAST('0x' || substr({0}, {1}, 8) AS BIGINT)".format
+    x = [f"x{i}" for i in p]
+    # c<j>_<i>: column i of centre j; the centres a model does not have are null, and so are its distances to them
+    centre = [[f"c{j}_{i}" for i in p] for j in most]
+    flat = ", ".join(c for cs in centre for c in cs)
+    near = [" + ".join(f"(p.{x[i]} - m.{centre[j][i]}) ** 2" for i in p) for j in most]
+    label = "CASE least(d0, d1, d2, d3) WHEN d0 THEN 0 WHEN d1 THEN 1 WHEN d2 THEN 2 ELSE 3 END"
+    distances = ", ".join(f"{near[j]} AS d{j}" for j in most)
+    seeds = []
+    for j in most:
+        h = f"md5('{segment.SEED}:seed:' || m.start || ':{j}')"
+        mixed = [f"((1 + {number(h, 1 + 16 * i)} % {prime - 1}) * p.h{i} + {number(h, 9 + 16 * i)} % {prime}) % {prime}" for i in range(2)]
+        wait = f"-ln(1.0 - ({mixed[0]} + ({mixed[1]} + 1) / {prime + 1.0}) / {float(prime)})"
+        so_far = ", ".join(c for cs in centre[:j] for c in cs)
+        rate = f"least({', '.join(f'({near[g]})' for g in range(j))})" if j else "1.0"
+        before = f"km_seed{j - 1}" if j else f"(SELECT unnest(range(0, {segment.STARTS})) AS start)"
+        seeds.append(f"""
+km_seed{j} AS MATERIALIZED (
+  SELECT start, {so_far + ", " if j else ""}{", ".join(f"best.{x[i]} AS {centre[j][i]}" for i in p)}
+  FROM (SELECT m.start, {"".join(f"any_value(m.{c}) AS {c}, " for cs in centre[:j] for c in cs)}
+               arg_min({{{", ".join(f"'{v}': p.{v}" for v in x)}}}, ({wait} / ({rate}), p.row_id)) FILTER ({rate} > 0) AS best
+        FROM km_points p, {before} m GROUP BY m.start))""")
+    first = ", ".join(f"CASE WHEN k > {j} THEN {c} END" for j in most for c in centre[j])
+    moved = ", ".join(f"coalesce(avg({x[i]}) FILTER (label = {j}), any_value({c})) AS {c}" for j in most for i, c in enumerate(centre[j]))
+    shift = " + ".join(f"coalesce((n.{c} - o.{c}) ** 2, 0)" for cs in centre for c in cs)
+    of = "m.k, m.start, " + ", ".join(f"m.{c}" for cs in centre for c in cs)
+    assigned = f"SELECT *, {label} AS label FROM (SELECT {of}, p.*, {distances} FROM km_points p, {{0}} m)".format
+    spread = " + ".join(f"var_pop({v}) * count(*)" for v in x)
+    gap = " + ".join(f"(p.{v} - t.m_{v}) ** 2" for v in x)
+    live = " + ".join(f"CAST(max({c}) > min({c}) AS INTEGER)" for c in columns)
+    return f"""
+km_rows AS MATERIALIZED (SELECT row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)} FROM ({source}) WHERE {" AND ".join(c + " IS NOT NULL" for c in columns)}),
+km_scale AS MATERIALIZED (
+  SELECT count(*) AS n, {segment.TOLERANCE} * ({live}) / {len(columns)}.0 AS tolerance,
+         {", ".join(f"avg({c}) AS mean{i}, CASE WHEN max({c}) > min({c}) THEN stddev_pop({c}) ELSE 1.0 END AS std{i}" for i, c in enumerate(columns))} FROM km_rows),
+km_points AS MATERIALIZED (
+  SELECT row_id, {", ".join(f"{c} AS raw{i}, ({c} - mean{i}) / std{i} AS {x[i]}" for i, c in enumerate(columns))},
+         {", ".join(number(f"md5('{segment.SEED}:row:' || row_id)", 1 + 8 * i) + f" AS h{i}" for i in range(2))} FROM km_rows, km_scale),{",".join(seeds)},
+km_lloyd AS MATERIALIZED (
+  WITH RECURSIVE steps AS (
+    SELECT k, start, 0 AS step, false AS done, {first.replace("END", "END AS {}").format(*[c for cs in centre for c in cs])}
+    FROM km_seed3, (SELECT unnest(range(2, greatest(3, least(5, n // 10)))) AS k FROM km_scale)
+    UNION ALL
+    SELECT o.k, o.start, o.step + 1, {shift} <= (SELECT tolerance FROM km_scale), {", ".join(f"n.{c}" for cs in centre for c in cs)}
+    FROM (SELECT * FROM steps WHERE NOT done AND step < {segment.STEPS}) o
+    JOIN (SELECT k, start, {moved} FROM ({assigned("(SELECT * FROM steps WHERE NOT done)")}) GROUP BY k, start) n ON n.k = o.k AND n.start = o.start
+  ) SELECT k, start, {flat} FROM steps WHERE done OR step = {segment.STEPS}),
+km_best AS MATERIALIZED (
+  SELECT m.* FROM km_lloyd m JOIN (
+    SELECT k, arg_min(start, (inertia, start)) AS start FROM (SELECT k, start, sum(least(d0, d1, d2, d3)) AS inertia FROM ({assigned("km_lloyd")}) GROUP BY k, start) GROUP BY k
+  ) b ON b.k = m.k AND b.start = m.start),
+km_labels AS MATERIALIZED (SELECT k, label, row_id, {", ".join(f"raw{i}" for i in p)}, {", ".join(x)} FROM ({assigned("km_best")})),
+km_clusters AS MATERIALIZED (
+  SELECT k, label, count(*) AS n, {spread} AS within, {", ".join(f"avg({v}) AS m_{v}" for v in x)}, {", ".join(f"avg(raw{i}) AS mean{i}" for i in p)} FROM km_labels GROUP BY k, label),
+km_values AS (
+  SELECT k, row_id, own, other, alone FROM (
+    SELECT p.k, p.row_id, max(CASE WHEN t.label = p.label THEN (t.n * ({gap}) + t.within) / greatest(t.n - 1, 1) END) AS own,
+           min(CASE WHEN t.label <> p.label THEN {gap} + t.within / t.n END) AS other, bool_or(t.label = p.label AND t.n = 1) AS alone
+    FROM km_labels p JOIN km_clusters t ON t.k = p.k GROUP BY p.k, p.row_id)),
+km_scores AS (SELECT k, avg(CASE WHEN alone OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END) AS score FROM km_values GROUP BY k),
+km_winner AS MATERIALIZED (SELECT k, score FROM km_scores ORDER BY score DESC, k LIMIT 1),
+segment_head AS MATERIALIZED (SELECT count(*) AS n_clusters, round(any_value(score), 3) AS silhouette_score FROM km_clusters JOIN km_winner USING (k)),
+segments AS (
+  SELECT CAST(label AS INTEGER) AS cluster,
+         CASE WHEN place = 1 THEN '{segment.HIGH}' WHEN place = k THEN '{segment.BASE}' WHEN place = 2 THEN '{segment.MIDDLE}' ELSE 'Segment ' || (label + 1) END AS name,
+         n AS size, round(100.0 * n / rows, 1) AS pct_of_data, {", ".join(f"round(mean{i}, 2) AS mean_{c}" for i, c in enumerate(columns))}
+  FROM (SELECT *, row_number() OVER (ORDER BY {" + ".join(f"mean{i}" for i in p)} DESC, label) AS place, sum(n) OVER () AS rows FROM km_clusters JOIN km_winner USING (k)))"""
+
+
+@query(f"""
+WITH {kmeans_sql("SELECT c_custkey AS row_id, * FROM customer", CUSTOMER_NUMBERS)}
+SELECT s.*, silhouette_score FROM segments s, segment_head
+""")
 def kmeans_profile(spark, sf_dir):
-    profile, score, _ = segment.segments(table(spark, sf_dir, "customer"), CUSTOMER_NUMBERS)
+    profile, score, _ = segment.segments(table(spark, sf_dir, "customer", ids=True), CUSTOMER_NUMBERS)
     return profile.withColumn("silhouette_score", F.round(F.lit(score), 3))
