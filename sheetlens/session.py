@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -22,6 +23,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def build_session(app: str = "sheetlens", cpus: str | int = "*") -> SparkSession:
@@ -133,18 +135,20 @@ def drop_staged(*tables: DataFrame) -> None:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers once per application, so that their Python functions can import it."""
     sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    if os.path.isdir(package):
-        archive = os.path.join(tempfile.mkdtemp(prefix="sheetlens-ship-"), f"sheetlens-{sc.applicationId}.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for folder, _, names in os.walk(package):
-                for name in sorted(n for n in names if n.endswith(".py")):
-                    file = os.path.join(folder, name)
-                    out.write(file, os.path.join("sheetlens", os.path.relpath(file, package)))
-        sc.addPyFile(archive)
-    _shipped.add(sc.applicationId)
+    # operators that run side by side may both ask
+    with _shipping:
+        if sc.applicationId in _shipped:
+            return
+        package = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(package):
+            archive = os.path.join(tempfile.mkdtemp(prefix="sheetlens-ship-"), f"sheetlens-{sc.applicationId}.zip")
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+                for folder, _, names in os.walk(package):
+                    for name in sorted(n for n in names if n.endswith(".py")):
+                        file = os.path.join(folder, name)
+                        out.write(file, os.path.join("sheetlens", os.path.relpath(file, package)))
+            sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
 
 
 ROWS_PER_TASK = 5_000

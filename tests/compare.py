@@ -46,7 +46,6 @@ def _rows(names, rows):
 
 #: Queries beyond SQL, with what must hold of their rows.
 PROPERTIES = {
-    "kmeans_profile": lambda rows, con: len({tuple(r) for r in rows}) == len(rows) >= 2,
     "dashboard_bundle": lambda rows, con: all(r[0] for r in rows) and len(rows) > 3,
 }
 

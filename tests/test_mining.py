@@ -170,6 +170,56 @@ def test_segments(spark):
     assert [segment.candidate_ks(n) for n in (20, 45, 60)] == [[2], [2, 3], [2, 3, 4]]
 
 
+def test_segments_by_hand(spark):
+    """The numpy form of ten starts a k over the same starting centres gives the same clusters and silhouette."""
+    points = np.random.default_rng(5).normal(size=(240, 3)) * [1, 30, 0.2] + np.arange(240)[:, None] % 4 * [3, -60, 1]
+    df = spark.createDataFrame([(*map(float, p),) for p in points], "a double, b double, c double").coalesce(1)
+    profile, score, _ = segment.segments(df, ["a", "b", "c"])
+    x = (points - points.mean(axis=0)) / points.std(axis=0)
+    scale = segment.Scale(points.mean(axis=0), points.std(axis=0))
+    ids = with_row_id(df).select("_row_id", *[F.conv(F.substring(F.md5(F.concat(F.lit("42:row:"), F.col("_row_id").cast("string")).cast("binary")), at, 8), 16, 10).cast("bigint").alias(f"h{at}") for at in (1, 9)], "a", "b", "c")
+    starts = segment.starting_centres(ids, scale, 4)
+    best = None
+    for k in (2, 3, 4):
+        tried = []
+        for s in range(segment.STARTS):
+            centres = starts[s, :k]
+            for _ in range(segment.STEPS):
+                label = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+                moved = np.array([x[label == j].mean(axis=0) for j in range(k)])
+                shift, centres = ((moved - centres) ** 2).sum(), moved
+                if shift <= segment.TOLERANCE:
+                    break
+            d = ((x[:, None] - centres) ** 2).sum(axis=2)
+            tried.append((d.min(axis=1).sum(), s, d.argmin(axis=1)))
+        label = min(tried, key=lambda t: t[:2])[2]
+        apart = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        values = []
+        for i in range(len(x)):
+            mean = [apart[i, label == j].sum() / ((label == j).sum() - (j == label[i])) for j in range(k)]
+            own, other = mean[label[i]], min(m for j, m in enumerate(mean) if j != label[i])
+            values.append((other - own) / max(own, other))
+        if best is None or np.mean(values) > best[0]:
+            best = (np.mean(values), label)
+    assert score == pytest.approx(best[0], abs=1e-9)
+    rows = {r["cluster"]: r for r in profile.collect()}
+    assert {c: r["size"] for c, r in rows.items()} == {c: int((best[1] == c).sum()) for c in set(best[1].tolist())}
+    for c, r in rows.items():
+        assert [r["mean_a"], r["mean_b"], r["mean_c"]] == pytest.approx(points[best[1] == c].mean(axis=0), abs=0.006)
+
+
+def test_segments_of_odd_tables(spark):
+    schema = "a double, b double, _h1 string"
+    rows = [(1.0, 2.0, "x")] * 10 + [(3.0, 2.0, "y")] * 10 + [(None, 1.0, "z"), (float("nan"), 1.0, None)]
+    profile, score, _ = segment.segments(spark.createDataFrame(rows, schema), ["a", "b"])
+    found = sorted((r["size"], r["mean_a"], r["mean_b"]) for r in profile.collect())
+    assert found == [(10, 1.0, 2.0), (10, 3.0, 2.0)] and score == 1.0
+    assert segment.segments(spark.createDataFrame([(1.0, 2.0, "x")] * 20, schema), ["a", "b"])[2] == segment.ALL_ALIKE
+    endless = [(float(i), float("inf") if i == 3 else 1.0, "x") for i in range(20)]
+    assert segment.segments(spark.createDataFrame(endless, schema), ["a", "b"])[2] == segment.INFINITE
+    assert segment.segments(spark.createDataFrame([], schema), ["a", "b"])[2] == segment.TOO_FEW_ROWS
+
+
 def test_filters(spark):
     rows = [(1, 5.0, "A", True), (2, 6.5, "b ", False), (3, None, None, True)]
     df = spark.createDataFrame(rows, "k int, v double, s string, f boolean")
