@@ -21,7 +21,7 @@ from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 # Limits, seed, starts, when to stop, and segment names.
 MIN_COLUMNS, MIN_ROWS = 2, 15
-SEED, STARTS, STEPS, TOLERANCE = 42, 10, 300, 1e-4
+SEED, STARTS, STEPS, TOLERANCE, ALIKE = 42, 10, 300, 1e-4, 1.000000001
 HIGH, MIDDLE, BASE = "High Activity Segment", "Growth Potential Segment", "Baseline / Moderate Segment"
 TOO_FEW_COLUMNS = (
     "Clustering was skipped because this dataset does not contain enough numerical features (minimum 2 required)."
@@ -62,15 +62,14 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Scale:
-    """Raw batches (row id, two hashes, columns) as standardised matrices."""
+    """Raw columns of a batch as matrices, as they are and standardised."""
 
     def __init__(self, mean: list[float], std: list[float]):
         self.mean, self.std = np.array(mean), np.array(std)
 
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key = np.column_stack([c.to_numpy() for c in batch.columns[:3]])
-        raw = np.column_stack([c.to_numpy() for c in batch.columns[3:]]).astype(np.float64, copy=False)
-        return key, raw, (raw - self.mean) / self.std
+    def read(self, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.column_stack([c.to_numpy() for c in columns]).astype(np.float64, copy=False)
+        return raw, (raw - self.mean) / self.std
 
 
 def _picks(scale: Scale, chosen: np.ndarray | None, place: int):
@@ -85,7 +84,8 @@ def _picks(scale: Scale, chosen: np.ndarray | None, place: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            key, _, x = scale.read(batch)
+            key = np.column_stack([c.to_numpy() for c in batch.columns[:3]])
+            _, x = scale.read(batch.columns[3:])
             for s, (a, b, c, d) in enumerate(mixers):
                 high, low = (a * key[:, 1] + b) % PRIME, (c * key[:, 2] + d) % PRIME
                 wait = -np.log(1.0 - (high + (low + 1) / (PRIME + 1.0)) / PRIME)
@@ -106,31 +106,63 @@ _PICK = pa.schema([("start", pa.int32()), ("wait", pa.float64()), ("row", pa.int
 _PICK_DDL = "start int, wait double, row bigint, x array<double>"
 
 
-def _assigned(scale: Scale, models: dict[int, np.ndarray]):
-    """Per task, model, cluster and column: rows, sum of values, sum of their squares, and the rows' squared distances to the centre."""
+class Nearest:
+    """Every model's nearest centre for all rows of a batch at once: one product of matrices, then a comparison a centre."""
+
+    def __init__(self, models: dict[int, np.ndarray]):
+        self.models, self.flat = list(models), np.concatenate(list(models.values()))
+        self.half = (self.flat**2).sum(axis=1)[:, None] / 2
+        self.ends = np.cumsum([len(c) for c in models.values()])
+
+    def __call__(self, x: np.ndarray):
+        """Per model: the label of each row, the labels as a cluster x row matrix, and |c|²/2 - c·x of the nearest centre c."""
+        gap = self.half - self.flat @ x.T
+        for end, begin in zip(self.ends, [0, *self.ends[:-1]]):
+            best, label = gap[begin].copy(), np.zeros(len(x), np.int8)
+            for j in range(1, end - begin):
+                label[gap[begin + j] < best] = j
+                np.minimum(best, gap[begin + j], out=best)
+            yield label, (label == np.arange(end - begin)[:, None]).astype(np.float64), best
+
+
+def _as_rows(models, sums) -> pa.RecordBatch:
+    """Cluster x column x 4 arrays of all models as rows (m, c, i, ...)."""
+    place = [(m, c, i) for m, part in zip(models, sums) for c in range(part.shape[0]) for i in range(part.shape[1])]
+    keys = np.array(place, dtype=np.int32).T
+    values = np.concatenate([part.reshape(-1, len(_SUMS)) for part in sums]).T
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in [*keys, *values]], ["m", "c", "i", *_SUMS])
+
+
+def _added(scale: Scale, models: dict[int, np.ndarray], measure):
+    """A task's sums over its batches of what ``measure`` gives for a batch."""
 
     def run(batches):
         sums = None
         for batch in batches:
-            _, _, x = scale.read(batch)
-            parts = []
-            for centres in models.values():
-                d = _squares(x, centres)
-                label = d.argmin(axis=1)
-                mine = (label[:, None] == np.arange(len(centres))).astype(np.float64)
-                n, near = mine.sum(axis=0), mine.T @ d[np.arange(len(d)), label]
-                side = np.ones(x.shape[1])
-                parts.append(np.stack([np.outer(n, side), mine.T @ x, mine.T @ (x * x), np.outer(near, side)], axis=2))
+            parts = measure(*scale.read(batch.columns))
             sums = parts if sums is None else [p + q for p, q in zip(sums, parts)]
         if sums is not None:
-            for m, part in zip(models, sums):
-                k, p, _ = part.shape
-                place = [np.full(k * p, m, np.int32), np.repeat(np.arange(k, dtype=np.int32), p), np.tile(np.arange(p, dtype=np.int32), k)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in [*place, *part.reshape(-1, 4).T]], ["m", "c", "i", *_SUMS])
+            yield _as_rows(models, sums)
 
     return run
 
 
+def _assigned(scale: Scale, models: dict[int, np.ndarray], whole: bool = False):
+    """Per task, model, cluster and column: rows and sum of values; as a ``whole`` also the sum of squares and the rows' squared distances to the centre."""
+    nearest = Nearest(models)
+
+    def measure(raw, x):
+        parts, side, square = [], np.ones(x.shape[1]), x * x
+        length = square.sum(axis=1)
+        for _, mine, gap in nearest(x):
+            n, other = np.outer(mine.sum(axis=1), side), np.zeros((len(mine), x.shape[1]))
+            near = np.outer(mine @ np.maximum(length + 2 * gap, 0.0), side) if whole else other
+            parts.append(np.stack([n, mine @ x, mine @ square if whole else other, near], axis=2))
+        return parts
+
+    return _added(scale, models, measure)
+
+
 _SUMS = ("n", "x", "xx", "near")
 
 
@@ -139,45 +171,37 @@ def _separated(scale: Scale, models: dict[int, np.ndarray], whole: dict[int, np.
 
     The mean squared distance of a row to a cluster follows from the cluster's sums, so no pair of rows is formed.
     """
-
-    def run(batches):
-        sums = None
-        for batch in batches:
-            _, raw, x = scale.read(batch)
-            parts = []
-            for m, centres in models.items():
-                n, s, q = whole[m][:, 0, 0], whole[m][:, :, 1], whole[m][:, :, 2].sum(axis=1)
-                label = _squares(x, centres).argmin(axis=1)
-                total = np.maximum((x * x).sum(axis=1)[:, None] * n + q - 2.0 * (x @ s.T), 0.0)
-                rows = np.arange(len(x))
-                own = total[rows, label] / np.maximum(n[label] - 1, 1)
-                other = np.where(n > 0, total / np.maximum(n, 1), np.inf)
-                other[rows, label] = np.inf
-                other = other.min(axis=1)
-                most = np.maximum(own, other)
-                value = np.where((n[label] > 1) & (most > 0), (other - own) / np.where(most > 0, most, 1.0), 0.0)
-                mine = (label[:, None] == np.arange(len(centres))).astype(np.float64)
-                side = np.ones(x.shape[1])
-                parts.append(np.stack([np.outer(mine.sum(axis=0), side), mine.T @ raw, np.outer(mine.T @ value, side), np.zeros((len(centres), len(side)))], axis=2))
-            sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
-        if sums is not None:
-            for m, part in zip(models, sums):
-                k, p, _ = part.shape
-                place = [np.full(k * p, m, np.int32), np.repeat(np.arange(k, dtype=np.int32), p), np.tile(np.arange(p, dtype=np.int32), k)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in [*place, *part.reshape(-1, 4).T]], ["m", "c", "i", *_SUMS])
-
-    return run
+    nearest = Nearest(models)
+
+    def measure(raw, x):
+        parts, side, rows = [], np.ones(x.shape[1]), np.arange(len(x))
+        for m, (label, mine, _) in zip(models, nearest(x)):
+            n, s, q = whole[m][:, 0, 0], whole[m][:, :, 1], whole[m][:, :, 2].sum(axis=1)
+            total = np.maximum((x * x).sum(axis=1)[:, None] * n + q - 2.0 * (x @ s.T), 0.0)
+            own = total[rows, label] / np.maximum(n[label] - 1, 1)
+            other = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+            other[rows, label] = np.inf
+            other = other.min(axis=1)
+            most = np.maximum(own, other)
+            value = np.where((n[label] > 1) & (most > 0), (other - own) / np.where(most > 0, most, 1.0), 0.0)
+            sizes, values = np.outer(mine.sum(axis=1), side), np.outer(mine @ value, side)
+            parts.append(np.stack([sizes, mine @ raw, values, np.zeros(sizes.shape)], axis=2))
+        return parts
+
+    return _added(scale, models, measure)
 
 
 def _summed(rows: DataFrame, run, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """The tasks' sums added up: per model a cluster x column x 4 array."""
+    """The tasks' sums over ``rows`` (row id, two hashes, columns) added up: per model a cluster x column x 4 array."""
     ddl = "m int, c int, i int, " + ", ".join(f"{s} double" for s in _SUMS)
-    added = rows.mapInArrow(run, ddl).groupBy("m", "c", "i").agg(*[F.sum(s).alias(s) for s in _SUMS]).toArrow()
-    m, c, i, *values = (added.column(k).to_numpy() for k in ("m", "c", "i", *_SUMS))
+    # the passes read the values alone, without the first three columns
+    values = rows.select(*[col(c) for c in rows.columns[3:]])
+    added = values.mapInArrow(run, ddl).groupBy("m", "c", "i").agg(*[F.sum(s).alias(s) for s in _SUMS]).toArrow()
+    m, c, i, *found = (added.column(k).to_numpy() for k in ("m", "c", "i", *_SUMS))
     out = {}
     for model, centres in models.items():
         out[model] = np.zeros((*centres.shape, len(_SUMS)))
-        out[model][c[m == model], i[m == model]] = np.column_stack(values)[m == model]
+        out[model][c[m == model], i[m == model]] = np.column_stack(found)[m == model]
     return out
 
 
@@ -237,7 +261,7 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
         return None, None, INFINITE
     scale = Scale(mean, [s if ok else 1.0 for s, ok in zip(std, live)])
     digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("row"), col(ROW_ID).cast("string")).cast("binary"))
-    hashes = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(f"_h{at}") for at in (1, 9)]
+    hashes = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(f"_row_hash{at}") for at in (1, 9)]
     rows = spread(nums, n).select(ROW_ID, *hashes, *[col(c) for c in columns])
     # every step reads the rows; they are cached, and recomputed if an executor goes
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -246,8 +270,11 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
         starts = starting_centres(rows, scale, ks[-1])
         models = {STARTS * k + s: starts[s, :k] for k in ks for s in range(STARTS)}
         models = lloyd(rows, scale, models, TOLERANCE * sum(live) / len(live))
-        sums = _summed(rows, _assigned(scale, models), models)
-        best = {k: min(range(STARTS * k, STARTS * k + STARTS), key=lambda m: sums[m][:, 0, 3].sum()) for k in ks}
+        sums = _summed(rows, _assigned(scale, models, whole=True), models)
+        spread_of = {m: sums[m][:, 0, 3].sum() for m in models}
+        least = {k: min(spread_of[STARTS * k + s] for s in range(STARTS)) for k in ks}
+        # starts that end in the same clusters differ by rounding only: the first of them counts
+        best = {k: next(m for m in range(STARTS * k, STARTS * k + STARTS) if spread_of[m] <= ALIKE * least[k]) for k in ks}
         kept = {m: models[m] for k, m in best.items() if (sums[m][:, 0, 0] > 0).sum() > 1}
         apart = _summed(rows, _separated(scale, kept, {m: sums[m] for m in kept}), kept) if kept else {}
     finally:

@@ -285,7 +285,9 @@ km_lloyd AS MATERIALIZED (
   ) SELECT k, start, {flat} FROM steps WHERE done OR step = {segment.STEPS}),
 km_best AS MATERIALIZED (
   SELECT m.* FROM km_lloyd m JOIN (
-    SELECT k, arg_min(start, (inertia, start)) AS start FROM (SELECT k, start, sum(least(d0, d1, d2, d3)) AS inertia FROM ({assigned("km_lloyd")}) GROUP BY k, start) GROUP BY k
+    SELECT k, min(start) AS start FROM (
+      SELECT k, start, inertia, min(inertia) OVER (PARTITION BY k) AS least FROM (SELECT k, start, sum(least(d0, d1, d2, d3)) AS inertia FROM ({assigned("km_lloyd")}) GROUP BY k, start)
+    ) WHERE inertia <= {segment.ALIKE} * least GROUP BY k
   ) b ON b.k = m.k AND b.start = m.start),
 km_labels AS MATERIALIZED (SELECT k, label, row_id, {", ".join(f"raw{i}" for i in p)}, {", ".join(x)} FROM ({assigned("km_best")})),
 km_clusters AS MATERIALIZED (
