@@ -81,14 +81,14 @@ def filter_catalogue(df: DataFrame, types: TableTypes) -> DataFrame:
     Only categories already known to have at most 25 values are listed, so every option
     list is short; all ranges share one aggregate.
     """
-    ddl = "filter_order int, column string, filter_type string, options string, low string, high string"
+    ddl = "filter_order int, column string, filter_type string, options array<string>, low string, high string"
     parts = []
     for c in types.categorical:
         if not 1 < types.get(c).unique <= MAX_OPTIONS:
             continue
         options = df.select(col(c).cast("string").alias("o")).where(F.length(F.trim("o")) > 0).distinct()
         parts.append(
-            options.agg(F.array_join(F.array_sort(F.collect_list("o")), "|").alias("options")).select(
+            options.agg(F.array_sort(F.collect_list("o")).alias("options")).select(
                 F.lit(types.columns.index(types.get(c))).alias("filter_order"),
                 F.lit(c).alias("column"),
                 F.lit("categorical").alias("filter_type"),
@@ -114,7 +114,7 @@ def filter_catalogue(df: DataFrame, types: TableTypes) -> DataFrame:
                 F.lit(k).alias("filter_order"),
                 F.lit(c).alias("column"),
                 F.lit(kind).alias("filter_type"),
-                F.lit(None).cast("string").alias("options"),
+                F.lit(None).cast("array<string>").alias("options"),
                 lo.alias("low"),
                 hi.alias("high"),
             )

@@ -342,9 +342,9 @@ def page_search_deep(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(2 AS INTEGER) AS filter_order, 'o_orderstatus' AS "column", 'categorical' AS filter_type, string_agg(v, '|' ORDER BY v) AS options, NULL::VARCHAR AS low, NULL::VARCHAR AS high
+SELECT CAST(2 AS INTEGER) AS filter_order, 'o_orderstatus' AS "column", 'categorical' AS filter_type, CAST(to_json(list(v ORDER BY v)) AS VARCHAR) AS options, NULL::VARCHAR AS low, NULL::VARCHAR AS high
 FROM (SELECT DISTINCT o_orderstatus AS v FROM orders)
-UNION ALL SELECT 5, 'o_orderpriority', 'categorical', string_agg(v, '|' ORDER BY v), NULL, NULL FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)
+UNION ALL SELECT 5, 'o_orderpriority', 'categorical', CAST(to_json(list(v ORDER BY v)) AS VARCHAR), NULL, NULL FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)
 UNION ALL SELECT 6, 'o_orderdate', 'date_range', NULL, strftime(min(o_orderdate), '%Y-%m-%d'), strftime(max(o_orderdate), '%Y-%m-%d') FROM orders
 UNION ALL SELECT 7, 'o_orderkey', 'numeric_range', NULL, format('{:.2f}', CAST(min(o_orderkey) AS DOUBLE)), format('{:.2f}', CAST(max(o_orderkey) AS DOUBLE)) FROM orders
 UNION ALL SELECT 8, 'o_custkey', 'numeric_range', NULL, format('{:.2f}', CAST(min(o_custkey) AS DOUBLE)), format('{:.2f}', CAST(max(o_custkey) AS DOUBLE)) FROM orders
@@ -352,4 +352,5 @@ UNION ALL SELECT 9, 'o_totalprice', 'numeric_range', NULL, format('{:.2f}', min(
 """)
 def filter_catalogue_orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return kpi.filter_catalogue(df, profile.infer_types(df))
+    # the list of options as JSON text, so that values can hold any sign
+    return kpi.filter_catalogue(df, profile.infer_types(df)).withColumn("options", F.to_json("options"))

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sheetlens.operators import ask, clean, insight, profile, recommend
+from sheetlens.operators import ask, clean, insight, kpi, profile, recommend
 from sheetlens.plans import analysis
 from sheetlens.session import new_path
 from sheetlens.sources import csv, samples, tables
@@ -54,6 +54,13 @@ def test_table_without_dates_or_numbers(spark):
     assert {"kpis", "summary", "filters"} <= sections and "insights" not in sections
 
 
+def test_options_with_any_sign(spark):
+    rows = [(v, float(i)) for i, v in enumerate(["a|b", "a", "b", "a|b", ' "q"', "", None, "a"])]
+    df = spark.createDataFrame(rows, "label string, amount double")
+    found = {r["column"]: r["options"] for r in kpi.filter_catalogue(df, profile.infer_types(df)).collect()}
+    assert found["label"] == [' "q"', "a", "a|b", "b"]
+
+
 def test_single_row(spark):
     one = spark.createDataFrame([(1.0, 2.0, "a", dt.datetime(2024, 1, 1))], "x double, y double, k string, t timestamp_ntz")
     assert analysis.dashboard(one, "one").count() > 5
