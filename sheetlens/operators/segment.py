@@ -1,8 +1,12 @@
 """K-means segments with the number of clusters chosen by silhouette.
 
 All numbers of clusters and all starts go through Lloyd's steps together: a pass assigns every row in every model, tasks add up
-their Arrow batches per centre and Spark adds those. Starts are k-means++ picks by hashes of row ids, so a lost task gives the
+their blocks of rows per centre and Spark adds those. Starts are k-means++ picks by hashes of row ids, so a lost task gives the
 same rows again and SQL can compute the same models.
+
+A block holds rows in the order of a k-d tree, whose leaves know their box and sums. Where a box lies on one centre's side of
+all planes between a model's centres, the leaf's sums go to that centre at once (Kanungo et al., TPAMI 2002); rows of other leaves
+are compared one by one, so that every row has the cluster it would have without the tree.
 """
 
 from __future__ import annotations
@@ -33,6 +37,12 @@ ALL_ALIKE = "Clustering encountered an error: all records are alike."
 INFINITE = "Clustering encountered an error: a column holds infinite values."
 #: Hashes of rows are mixed for every pick by a linear function modulo this prime.
 PRIME = 2**31 - 1
+#: Rows of a leaf, rows that a task puts in order at once, and rows of a block.
+LEAF, ORDERED, BLOCK = 32, 2**19, 2**16
+#: Rows that bound the shortest waiting time before the others are looked at.
+TRIED = 1024
+#: Share of the numbers compared that rounding stays below.
+ROUNDING = 1e-12
 
 
 def candidate_ks(n: int) -> list[int]:
@@ -62,17 +72,81 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Scale:
-    """Raw columns of a batch as matrices, as they are and standardised."""
+    """Standardises raw values."""
 
     def __init__(self, mean: list[float], std: list[float]):
         self.mean, self.std = np.array(mean), np.array(std)
 
-    def read(self, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.column_stack([c.to_numpy() for c in columns]).astype(np.float64, copy=False)
-        return raw, (raw - self.mean) / self.std
+    def __call__(self, raw: np.ndarray) -> np.ndarray:
+        return (raw - self.mean) / self.std
+
+
+def _matrices(batches):
+    """(keys, raw values) of batches of rows: row id, two hashes, columns."""
+    for batch in batches:
+        if batch.num_rows:
+            keys, raw = (np.column_stack([c.to_numpy() for c in part]) for part in (batch.columns[:3], batch.columns[3:]))
+            yield keys.astype(np.int64, copy=False), raw.astype(np.float64, copy=False)
+
+
+_BLOCK_DDL = "keys binary, raw binary, leaves binary"
+
+
+def _tree_order(x: np.ndarray) -> np.ndarray:
+    """Order of the rows by halving on the widest column, down to leaves; their number is a leaf's times a power of two."""
+    order, columns, cells = np.arange(len(x)), np.ascontiguousarray(x.T), 1
+    while len(x) // cells > LEAF:
+        cut = columns.reshape(len(columns), cells, -1)
+        widest = (cut.max(axis=2) - cut.min(axis=2)).argmax(axis=0)
+        size = cut.shape[2]
+        at = np.argpartition(cut[widest, np.arange(cells)], size // 2, axis=1) + size * np.arange(cells)[:, None]
+        order, columns, cells = order[at.ravel()], columns[:, at.ravel()], 2 * cells
+    return order
+
 
+def _blocks(scale: Scale):
+    """Rows as blocks in the order of their trees; the last few rows of a task are a block without leaves."""
 
-def _picks(scale: Scale, chosen: np.ndarray | None, place: int):
+    def ordered(keys, raw):
+        while len(raw):
+            n = LEAF << ((len(raw) // LEAF).bit_length() - 1) if len(raw) >= LEAF else len(raw)
+            order = _tree_order(scale(raw[:n])) if n >= LEAF else np.arange(n)
+            for begin in range(0, n, BLOCK):
+                rows = order[begin : begin + BLOCK]
+                cells = scale(raw[rows][: len(rows) // LEAF * LEAF]).reshape(-1, LEAF, raw.shape[1])
+                low, high = cells.min(axis=1), cells.max(axis=1)
+                leaves = np.stack([(low + high) / 2, (high - low) / 2, cells.sum(axis=1), (cells**2).sum(axis=1)])
+                parts = [keys[rows], raw[rows], leaves]
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["keys", "raw", "leaves"])
+            keys, raw = keys[n:], raw[n:]
+
+    def run(batches):
+        held, count = [], 0
+        for part in _matrices(batches):
+            held.append(part)
+            count += len(part[1])
+            if count >= ORDERED:
+                keys, raw = map(np.concatenate, zip(*held))
+                yield from ordered(keys[:ORDERED], raw[:ORDERED])
+                held, count = [(keys[ORDERED:], raw[ORDERED:])], count - ORDERED
+        if count:
+            yield from ordered(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+def _unpacked(width: int):
+    """(keys, raw values) of blocks with ``width`` columns."""
+
+    def run(batches):
+        for batch in batches:
+            for keys, raw in zip(batch.column("keys"), batch.column("raw")):
+                yield np.frombuffer(keys.as_buffer(), np.int64).reshape(-1, 3), np.frombuffer(raw.as_buffer()).reshape(-1, width)
+
+    return run
+
+
+def _picks(scale: Scale, chosen: np.ndarray | None, place: int, read):
     """Per task and start, the row whose exponential waiting time with rate d² (1 for the first centre) is shortest.
 
     The shortest of all rows is a draw with chances in proportion to d², the squared distance to the centres so far.
@@ -81,21 +155,32 @@ def _picks(scale: Scale, chosen: np.ndarray | None, place: int):
 
     def run(batches):
         best: dict[int, tuple[float, int, np.ndarray]] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key = np.column_stack([c.to_numpy() for c in batch.columns[:3]])
-            _, x = scale.read(batch.columns[3:])
-            for s, (a, b, c, d) in enumerate(mixers):
-                high, low = (a * key[:, 1] + b) % PRIME, (c * key[:, 2] + d) % PRIME
-                wait = -np.log(1.0 - (high + (low + 1) / (PRIME + 1.0)) / PRIME)
-                if chosen is not None:
-                    rate = _squares(x, chosen[s]).min(axis=1)
-                    wait = np.where(rate > 0, wait / np.where(rate > 0, rate, 1.0), np.inf)
-                at = np.lexsort((key[:, 0], wait))[0]
-                found = (float(wait[at]), int(key[at, 0]), x[at])
-                if np.isfinite(wait[at]) and (s not in best or found[:2] < best[s][:2]):
+
+        def consider(s, rows, raw, high, row, second):
+            _, _, c, d = mixers[s]
+            x, low = scale(raw[rows]), (c * second[rows] + d) % PRIME
+            wait = -np.log(1.0 - (high[rows] + (low + 1) / (PRIME + 1.0)) / PRIME)
+            if chosen is not None:
+                rate = _squares(x, chosen[s]).min(axis=1)
+                wait = np.where(rate > 0, wait / np.where(rate > 0, rate, 1.0), np.inf)
+            shortest = wait.min(initial=np.inf)
+            if np.isfinite(shortest):
+                first = np.flatnonzero(wait == shortest)
+                at = first[row[rows][first].argmin()]
+                found = (float(shortest), int(row[rows][at]), x[at])
+                if s not in best or found[:2] < best[s][:2]:
                     best[s] = found
+
+        for key, raw in read(batches):
+            (row, first, second), corners = np.ascontiguousarray(key.T), scale(np.array([raw.min(axis=0), raw.max(axis=0)]))
+            for s, (a, b, _, _) in enumerate(mixers):
+                high = (a * first + b) % PRIME
+                if s not in best:
+                    consider(s, np.arange(min(TRIED, len(row))), raw, high, row, second)
+                # no rate is above that of the farthest corner of the rows' box, so the first hash alone can rule a row out
+                rate = 1.0 if chosen is None else ((corners[:, None] - chosen[s]) ** 2).max(axis=0).sum(axis=1).min()
+                limit = PRIME * -np.expm1(-best[s][0] * rate) * (1 + 1e-9) + 1 if s in best else PRIME
+                consider(s, np.flatnonzero(high <= limit), raw, high, row, second)
         rows = [{"start": s, "wait": w, "row": r, "x": x.tolist()} for s, (w, r, x) in best.items()]
         yield pa.RecordBatch.from_pylist(rows, _PICK)
 
@@ -107,22 +192,22 @@ _PICK_DDL = "start int, wait double, row bigint, x array<double>"
 
 
 class Nearest:
-    """Every model's nearest centre for all rows of a batch at once: one product of matrices, then a comparison a centre."""
+    """Every model's nearest centre for all rows of a block at once: one product of matrices, then comparisons."""
 
     def __init__(self, models: dict[int, np.ndarray]):
-        self.models, self.flat = list(models), np.concatenate(list(models.values()))
+        self.flat = np.concatenate(list(models.values()))
         self.half = (self.flat**2).sum(axis=1)[:, None] / 2
         self.ends = np.cumsum([len(c) for c in models.values()])
 
     def __call__(self, x: np.ndarray):
-        """Per model: the label of each row, the labels as a cluster x row matrix, and |c|²/2 - c·x of the nearest centre c."""
+        """Per model: the rows of each cluster as a cluster x row matrix, and |c|²/2 - c·x of the nearest centre c (the first of equals)."""
         gap = self.half - self.flat @ x.T
         for end, begin in zip(self.ends, [0, *self.ends[:-1]]):
-            best, label = gap[begin].copy(), np.zeros(len(x), np.int8)
-            for j in range(1, end - begin):
-                label[gap[begin + j] < best] = j
-                np.minimum(best, gap[begin + j], out=best)
-            yield label, (label == np.arange(end - begin)[:, None]).astype(np.float64), best
+            best = gap[begin:end].min(axis=0)
+            mine = gap[begin:end] == best
+            if np.count_nonzero(mine) > len(x):
+                mine &= mine.cumsum(axis=0) == 1
+            yield mine.astype(np.float64), best
 
 
 def _as_rows(models, sums) -> pa.RecordBatch:
@@ -134,30 +219,67 @@ def _as_rows(models, sums) -> pa.RecordBatch:
 
 
 def _added(scale: Scale, models: dict[int, np.ndarray], measure):
-    """A task's sums over its batches of what ``measure`` gives for a batch."""
+    """A task's sums over its blocks of what ``measure`` gives for the raw values, the standardised ones and the leaves."""
+    width = len(scale.mean)
 
     def run(batches):
         sums = None
         for batch in batches:
-            parts = measure(*scale.read(batch.columns))
-            sums = parts if sums is None else [p + q for p, q in zip(sums, parts)]
+            for values, cells in zip(batch.column("raw"), batch.column("leaves")):
+                raw = np.frombuffer(values.as_buffer()).reshape(-1, width)
+                parts = measure(raw, scale(raw), np.frombuffer(cells.as_buffer()).reshape(4, -1, width))
+                sums = parts if sums is None else [p + q for p, q in zip(sums, parts)]
         if sums is not None:
             yield _as_rows(models, sums)
 
     return run
 
 
+class Sides:
+    """Every model's centre that is nearest in the whole box of a leaf, where there is one."""
+
+    def __init__(self, models: dict[int, np.ndarray]):
+        self.flat, self.ends = np.concatenate(list(models.values())), np.cumsum([len(c) for c in models.values()])
+        self.half = (self.flat**2).sum(axis=1)[:, None] / 2
+        self.pairs = [[(a, b) for b in range(len(c)) for a in range(b)] for c in models.values()]
+        self.apart = np.concatenate([np.abs([c[b] - c[a] for a, b in pairs]) for c, pairs in zip(models.values(), self.pairs)])
+
+    def __call__(self, middle: np.ndarray, reach: np.ndarray):
+        """Per model: a cluster x leaf matrix with a 1 for the cluster that all rows of the leaf belong to."""
+        gap = self.half - self.flat @ middle.T
+        length = np.sqrt(2 * self.half.max())
+        # the difference of two gaps is linear: over a box it varies by no more than this
+        vary = self.apart @ reach.T + ROUNDING * length * (length + np.abs(middle).sum(axis=1) + reach.sum(axis=1))
+        at = 0
+        for end, begin, pairs in zip(self.ends, [0, *self.ends[:-1]], self.pairs):
+            wins = np.ones((end - begin, len(middle)), bool)
+            for a, b in pairs:
+                more = gap[begin + b] - gap[begin + a]
+                wins[a] &= more > vary[at]
+                wins[b] &= more < -vary[at]
+                at += 1
+            yield wins.astype(np.float64)
+
+
 def _assigned(scale: Scale, models: dict[int, np.ndarray], whole: bool = False):
     """Per task, model, cluster and column: rows and sum of values; as a ``whole`` also the sum of squares and the rows' squared distances to the centre."""
-    nearest = Nearest(models)
-
-    def measure(raw, x):
-        parts, side, square = [], np.ones(x.shape[1]), x * x
-        length = square.sum(axis=1)
-        for _, mine, gap in nearest(x):
-            n, other = np.outer(mine.sum(axis=1), side), np.zeros((len(mine), x.shape[1]))
-            near = np.outer(mine @ np.maximum(length + 2 * gap, 0.0), side) if whole else other
-            parts.append(np.stack([n, mine @ x, mine @ square if whole else other, near], axis=2))
+    sides, each = Sides(models), [(c, Nearest({m: c})) for m, c in models.items()]
+
+    def measure(raw, x, leaves):
+        parts, side = [], np.ones(x.shape[1])
+        middle, reach, total, squares = leaves
+        cells, rest = x[: len(middle) * LEAF].reshape(len(middle), LEAF * x.shape[1]), x[len(middle) * LEAF :]
+        for (centres, nearest), wins in zip(each, sides(middle, reach)):
+            n, s = LEAF * wins.sum(axis=1), wins @ total
+            mixed = np.concatenate([cells[~wins.any(axis=0)].reshape(-1, x.shape[1]), rest])
+            ((mine, gap),) = nearest(mixed)
+            near, xx = np.zeros(len(centres)), np.zeros(centres.shape)
+            if whole:
+                inside = (wins @ squares).sum(axis=1) - 2 * (centres * s).sum(axis=1) + n * (centres**2).sum(axis=1)
+                near = np.maximum(inside, 0.0) + mine @ np.maximum((mixed**2).sum(axis=1) + 2 * gap, 0.0)
+                xx = wins @ squares + mine @ mixed**2
+            n = n + mine.sum(axis=1)
+            parts.append(np.stack([np.outer(n, side), s + mine @ mixed, xx, np.outer(near, side)], axis=2))
         return parts
 
     return _added(scale, models, measure)
@@ -173,9 +295,10 @@ def _separated(scale: Scale, models: dict[int, np.ndarray], whole: dict[int, np.
     """
     nearest = Nearest(models)
 
-    def measure(raw, x):
+    def measure(raw, x, leaves):
         parts, side, rows = [], np.ones(x.shape[1]), np.arange(len(x))
-        for m, (label, mine, _) in zip(models, nearest(x)):
+        for m, (mine, _) in zip(models, nearest(x)):
+            label = mine.argmax(axis=0)
             n, s, q = whole[m][:, 0, 0], whole[m][:, :, 1], whole[m][:, :, 2].sum(axis=1)
             total = np.maximum((x * x).sum(axis=1)[:, None] * n + q - 2.0 * (x @ s.T), 0.0)
             own = total[rows, label] / np.maximum(n[label] - 1, 1)
@@ -191,12 +314,11 @@ def _separated(scale: Scale, models: dict[int, np.ndarray], whole: dict[int, np.
     return _added(scale, models, measure)
 
 
-def _summed(rows: DataFrame, run, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """The tasks' sums over ``rows`` (row id, two hashes, columns) added up: per model a cluster x column x 4 array."""
+def _summed(blocks: DataFrame, run, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The tasks' sums over ``blocks`` added up: per model a cluster x column x 4 array."""
     ddl = "m int, c int, i int, " + ", ".join(f"{s} double" for s in _SUMS)
-    # the passes read the values alone, without the first three columns
-    values = rows.select(*[col(c) for c in rows.columns[3:]])
-    added = values.mapInArrow(run, ddl).groupBy("m", "c", "i").agg(*[F.sum(s).alias(s) for s in _SUMS]).toArrow()
+    # the passes need no keys
+    added = blocks.select("raw", "leaves").mapInArrow(run, ddl).groupBy("m", "c", "i").agg(*[F.sum(s).alias(s) for s in _SUMS]).toArrow()
     m, c, i, *found = (added.column(k).to_numpy() for k in ("m", "c", "i", *_SUMS))
     out = {}
     for model, centres in models.items():
@@ -205,25 +327,26 @@ def _summed(rows: DataFrame, run, models: dict[int, np.ndarray]) -> dict[int, np
     return out
 
 
-def starting_centres(rows: DataFrame, scale: Scale, most: int) -> np.ndarray:
+def starting_centres(rows: DataFrame, scale: Scale, most: int, read=_matrices) -> np.ndarray:
     """Start x place x column: the first k places of a start begin its model of k clusters.
 
+    ``read`` gives the keys and values of ``rows``: rows (row id, two hashes, columns), or blocks of them.
     With fewer distinct rows than places, the last one found is repeated: its cluster stays empty.
     """
     chosen = None
     for place in range(most):
-        found = rows.mapInArrow(_picks(scale, chosen, place), _PICK_DDL).groupBy("start").agg(F.min(F.struct("wait", "row", "x")).alias("p"))
+        found = rows.mapInArrow(_picks(scale, chosen, place, read), _PICK_DDL).groupBy("start").agg(F.min(F.struct("wait", "row", "x")).alias("p"))
         picked = {r["start"]: r["p"]["x"] for r in found.collect()}
         new = np.array([picked[s] if s in picked else chosen[s, -1] for s in range(STARTS)])[:, None, :]
         chosen = new if chosen is None else np.concatenate([chosen, new], axis=1)
     return chosen
 
 
-def lloyd(rows: DataFrame, scale: Scale, models: dict[int, np.ndarray], tolerance: float) -> dict[int, np.ndarray]:
+def lloyd(blocks: DataFrame, scale: Scale, models: dict[int, np.ndarray], tolerance: float) -> dict[int, np.ndarray]:
     """Centres after Lloyd's steps; a model leaves once its centres move by no more than the tolerance. Empty clusters stay."""
     done, active = {}, dict(models)
     for _ in range(STEPS):
-        sums = _summed(rows, _assigned(scale, active), active)
+        sums = _summed(blocks, _assigned(scale, active), active)
         moved = {}
         for m, old in active.items():
             n = sums[m][:, :, 0]
@@ -263,22 +386,22 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
     digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("row"), col(ROW_ID).cast("string")).cast("binary"))
     hashes = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(f"_row_hash{at}") for at in (1, 9)]
     rows = spread(nums, n).select(ROW_ID, *hashes, *[col(c) for c in columns])
-    # every step reads the rows; they are cached, and recomputed if an executor goes
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # every step reads the blocks; they are cached, and recomputed if an executor goes
+    blocks = rows.mapInArrow(_blocks(scale), _BLOCK_DDL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ks = candidate_ks(n)
-        starts = starting_centres(rows, scale, ks[-1])
+        starts = starting_centres(blocks.select("keys", "raw"), scale, ks[-1], _unpacked(len(columns)))
         models = {STARTS * k + s: starts[s, :k] for k in ks for s in range(STARTS)}
-        models = lloyd(rows, scale, models, TOLERANCE * sum(live) / len(live))
-        sums = _summed(rows, _assigned(scale, models, whole=True), models)
+        models = lloyd(blocks, scale, models, TOLERANCE * sum(live) / len(live))
+        sums = _summed(blocks, _assigned(scale, models, whole=True), models)
         spread_of = {m: sums[m][:, 0, 3].sum() for m in models}
         least = {k: min(spread_of[STARTS * k + s] for s in range(STARTS)) for k in ks}
         # starts that end in the same clusters differ by rounding only: the first of them counts
         best = {k: next(m for m in range(STARTS * k, STARTS * k + STARTS) if spread_of[m] <= ALIKE * least[k]) for k in ks}
         kept = {m: models[m] for k, m in best.items() if (sums[m][:, 0, 0] > 0).sum() > 1}
-        apart = _summed(rows, _separated(scale, kept, {m: sums[m] for m in kept}), kept) if kept else {}
+        apart = _summed(blocks, _separated(scale, kept, {m: sums[m] for m in kept}), kept) if kept else {}
     finally:
-        rows.unpersist()
+        blocks.unpersist()
     if not kept:
         return None, None, ALL_ALIKE
     score = {m: apart[m][:, 0, 2].sum() / n for m in kept}

@@ -208,6 +208,42 @@ def test_segments_by_hand(spark):
         assert [r["mean_a"], r["mean_b"], r["mean_c"]] == pytest.approx(points[best[1] == c].mean(axis=0), abs=0.006)
 
 
+def test_segment_blocks():
+    """Leaves that go to a centre at once and rows compared one by one give every row its nearest centre; picks are the shortest waits."""
+    random = np.random.default_rng(3)
+    raw = np.concatenate([random.normal(size=(4500, 3)) * [1, 40, 0.1], np.repeat([[9.0, 0.0, 0.5]], 700, axis=0)])
+    keys = np.column_stack([random.permutation(len(raw)), *random.integers(0, 2**32, (2, len(raw)))])
+    scale = segment.Scale(raw.mean(axis=0), raw.std(axis=0))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in [*keys[i : i + 999].T, *raw[i : i + 999].T]], list("abcdef")) for i in range(0, len(raw), 999)]
+    blocks = list(segment._blocks(scale)(batches))
+    found = [np.concatenate(part) for part in zip(*segment._unpacked(3)(blocks))]
+    order = found[0][:, 0].argsort()
+    assert (found[0][order] == keys[keys[:, 0].argsort()]).all() and (found[1][order] == raw[keys[:, 0].argsort()]).all()
+    x, far = scale(raw), 3.0 * np.eye(3)
+    models = {k: np.concatenate([far[:1], random.normal(size=(k - 1, 3))]) for k in (2, 3, 4)} | {7: np.repeat(far[:1], 2, axis=0)}
+    out = [batch.to_pandas() for batch in segment._assigned(scale, models, whole=True)(iter(blocks))]
+    assert len(out) == 1
+    for m, centres in models.items():
+        d = ((x[:, None] - centres) ** 2).sum(axis=2)
+        label = d.argmin(axis=1)
+        for c in range(len(centres)):
+            part = out[0][(out[0].m == m) & (out[0].c == c)].sort_values("i")
+            assert (part.n == (label == c).sum()).all()
+            assert part.x.to_numpy() == pytest.approx(x[label == c].sum(axis=0), abs=1e-8)
+            assert part.xx.to_numpy() == pytest.approx((x[label == c] ** 2).sum(axis=0), abs=1e-8)
+            assert part.near.to_numpy() == pytest.approx(d[label == c, c].sum(), abs=1e-8)
+    # most leaves of the largest block need no look at their rows
+    middle, reach = np.frombuffer(blocks[0].column("leaves")[0].as_buffer()).reshape(4, -1, 3)[:2]
+    assert next(segment.Sides(models)(middle, reach)).any(axis=0).mean() > 0.5
+    chosen = random.normal(size=(segment.STARTS, 2, 3))
+    picks = [batch.to_pandas() for batch in segment._picks(scale, chosen, 2, segment._unpacked(3))(iter(blocks))][0].set_index("start")
+    for s in range(segment.STARTS):
+        a, b, c, d = segment._mixer(s, 2)
+        high, low = (a * keys[:, 1] + b) % segment.PRIME, (c * keys[:, 2] + d) % segment.PRIME
+        wait = -np.log(1.0 - (high + (low + 1) / (segment.PRIME + 1.0)) / segment.PRIME) / ((x[:, None] - chosen[s]) ** 2).sum(axis=2).min(axis=1)
+        assert picks.row[s] == keys[wait.argmin(), 0] and picks.wait[s] == pytest.approx(wait.min())
+
+
 def test_segments_of_odd_tables(spark):
     schema = "a double, b double, _h1 string"
     rows = [(1.0, 2.0, "x")] * 10 + [(3.0, 2.0, "y")] * 10 + [(None, 1.0, "z"), (float("nan"), 1.0, None)]
