@@ -12,7 +12,7 @@ from sheetlens.plans.queries.registry import (
     messy_lineitem,
     query,
 )
-from sheetlens.session import small_frame
+from sheetlens.session import drop_staged, small_frame, stage
 from sheetlens.sources.row_ids import with_row_id
 
 COERCED_SQL = """
@@ -53,8 +53,10 @@ def clean_dedup(spark, sf_dir):
 
 
 def _fills(spark, sf_dir, kinds):
-    df = clean.drop_duplicates(_coerced(spark, sf_dir))
-    filled, _ = clean.fill_values(df, profile.infer_types(df))
+    # written once: classes, medians and modes take many scans of the distinct rows
+    df = stage(clean.drop_duplicates(_coerced(spark, sf_dir)), "distinct")
+    filled, _ = clean.fill_values(df, profile.infer_types(df, "needed"))
+    drop_staged(df)
     rows = [
         {"column": c, "count": f["count"], "strategy": f["strategy"], "fill_value": str(f["fill_value"])}
         for c, f in filled.items()

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from sheetlens.operators import clean
+from sheetlens.plans.queries import cleaning
 
 
 def values(df, c):
@@ -108,3 +109,16 @@ def test_rows_that_filling_makes_equal(spark):
     assert found == seen and dropped == len(rows) - len(seen) > 0
     again, none = clean.impute_and_drop(df.where("w = 'a' AND n = 1"), {"n": {"value": 1.0}})
     assert none == 0 and again.count() == len([r for r in rows if r[4] == "a" and r[2] == 1])
+
+
+def test_fills_read_written_rows(spark, tmp_path, monkeypatch):
+    """The distinct rows are made once, not again for every scan that classes and fill values take."""
+    rows = [(i, 1, float(50 if i < 3 else i % 40), 100.0 + i, i % 4 / 100, i % 3 / 100, "AR"[i % 5 > 2]) for i in range(60)]
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    plans, real = [], clean.fill_values
+    monkeypatch.setattr(clean, "fill_values", lambda df, types: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, types))[1])
+    (row,) = cleaning.clean_impute_mode(spark, str(tmp_path)).collect()
+    flags = [r[6] for r in rows if r[5] > 0]
+    assert (row["column"], row["count"], row["fill_value"]) == ("flag", len(rows) - len(flags), max("AR", key=flags.count))
+    assert "Aggregate" not in plans[0] and "Exchange" not in plans[0]
