@@ -18,8 +18,12 @@ from sheetlens.session import drop_staged, stage
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``."""
-    return docs.join(ids.select(F.col("doc_id").alias("_dropped")).distinct(), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """``docs`` without the rows whose doc_id is in ``ids``.
+
+    The ids are written first: texts are not shuffled while an operator looks at them, nor at all where the ids are few.
+    """
+    dropped = stage(ids.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
