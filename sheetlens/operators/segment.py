@@ -81,11 +81,21 @@ class Scale:
         return (raw - self.mean) / self.std
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Values of a column; those of text are eight lower-case hexadecimal digits each."""
+    if not pa.types.is_string(column.type):
+        return column.to_numpy()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    digits = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 8)
+    digits = (digits & 15) + 9 * (digits >> 6)
+    return (digits[:, ::2] * 16 + digits[:, 1::2]).view(">u4").ravel().astype(np.int64)
+
+
 def _matrices(batches):
     """(keys, raw values) of batches of rows: row id, two hashes, columns."""
     for batch in batches:
         if batch.num_rows:
-            keys, raw = (np.column_stack([c.to_numpy() for c in part]) for part in (batch.columns[:3], batch.columns[3:]))
+            keys, raw = (np.column_stack([_numbers(c) for c in part]) for part in (batch.columns[:3], batch.columns[3:]))
             yield keys.astype(np.int64, copy=False), raw.astype(np.float64, copy=False)
 
 
@@ -384,7 +394,8 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
         return None, None, INFINITE
     scale = Scale(mean, [s if ok else 1.0 for s, ok in zip(std, live)])
     digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("row"), col(ROW_ID).cast("string")).cast("binary"))
-    hashes = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(f"_row_hash{at}") for at in (1, 9)]
+    # digits become numbers in the tasks: conv() would take several times as long as the digest
+    hashes = [F.substring(digest, at, 8).alias(f"_row_hash{at}") for at in (1, 9)]
     rows = spread(nums, n).select(ROW_ID, *hashes, *[col(c) for c in columns])
     # every step reads the blocks; they are cached, and recomputed if an executor goes
     blocks = rows.mapInArrow(_blocks(scale), _BLOCK_DDL).persist(StorageLevel.MEMORY_AND_DISK)

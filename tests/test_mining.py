@@ -157,6 +157,27 @@ def test_forest_paths_against_brute_force():
     assert iforest.mean_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
+def test_forest_leaves_without_walking():
+    random = np.random.default_rng(4)
+    sample = [np.column_stack([random.normal(size=256), random.integers(0, 5, 256), random.lognormal(size=256)]) for _ in range(40)]
+    sample[1] = np.ones((256, 3))
+    trees = [tuple(np.array(x) for x in iforest.grow(points, 8, t)) for t, points in enumerate(sample)]
+    # values on thresholds, beyond all of them and infinite ones
+    on = [threshold[np.isfinite(threshold)][:20] for _, threshold, _ in trees]
+    points = np.concatenate([*sample, *[np.column_stack([o, o, o]) for o in on], [[np.inf, -np.inf, 9e9], [-9e9, np.inf, -np.inf]]])
+    got = iforest.Forest(trees, 3)(points)
+    assert got.tolist() == sum(iforest.path_lengths(points, *t) for t in trees).tolist()
+    assert max(len(iforest.splits_and_leaves(threshold, path)[1]) for _, threshold, path in trees) > iforest.LEAVES
+
+
+def test_hashes_as_digits():
+    values = [0, 1, 0x0A0B0C0D, 0x9FFFFFF1, 2**32 - 1]
+    column = pa.array([f"{v:08x}" for v in values])
+    assert segment._numbers(column).tolist() == values
+    assert segment._numbers(column.slice(1, 3)).tolist() == values[1:4]
+    assert segment._numbers(pa.array(values)).tolist() == values
+
+
 def test_segments(spark):
     rows = [(float(i % 3) * 100 + i * 0.01, float(i % 3) * 50 - i * 0.01) for i in range(90)]
     df = spark.createDataFrame(rows, "a double, b double")
