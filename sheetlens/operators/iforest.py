@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.functions.quantiles import exact_quantiles
 from sheetlens.functions.values import col, numeric_frame
-from sheetlens.session import ship_package, spread, stage
+from sheetlens.session import ship_package, spread, stage, unmeasured_rows
 from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 # Size of the forest and expected share of outliers.
@@ -271,7 +271,8 @@ def isolation_forest(df: DataFrame, columns: list[str]) -> DataFrame | None:
     if n < MIN_ROWS:
         return None
     rows = spread(rows, n, ROW_ID)
-    scored = stage(score(rows, fit(rows, columns, n), columns, n), "forest")
+    with unmeasured_rows(df.sparkSession):
+        scored = stage(score(rows, fit(rows, columns, n), columns, n), "forest")
     (cut,) = exact_quantiles(scored, ["score"], [1.0 - CONTAMINATION], {"score": n})["score"]
     return scored.withColumn("is_outlier", col("score") > F.lit(cut))
 

@@ -7,20 +7,24 @@ same rows again and SQL can compute the same models.
 A block holds rows in the order of a k-d tree, whose leaves know their box and sums. Where a box lies on one centre's side of
 all planes between a model's centres, the leaf's sums go to that centre at once (Kanungo et al., TPAMI 2002); rows of other leaves
 are compared one by one, so that every row has the cluster it would have without the tree.
+
+Blocks are kept as an RDD of Arrow batches: a pass reads each as it was pickled, where a cached table would be made into rows
+and batches again.
 """
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.functions.values import col, numeric_frame
-from sheetlens.session import ship_package, spread
+from sheetlens.session import ship_package, spread, unmeasured_rows
 from sheetlens.sources.row_ids import ROW_ID, with_row_id
 
 # Limits, seed, starts, when to stop, and segment names.
@@ -99,7 +103,7 @@ def _matrices(batches):
             yield keys.astype(np.int64, copy=False), raw.astype(np.float64, copy=False)
 
 
-_BLOCK_DDL = "keys binary, raw binary, leaves binary"
+_BLOCK = ["keys", "raw", "leaves"]
 
 
 def _tree_order(x: np.ndarray) -> np.ndarray:
@@ -127,7 +131,7 @@ def _blocks(scale: Scale):
                 low, high = cells.min(axis=1), cells.max(axis=1)
                 leaves = np.stack([(low + high) / 2, (high - low) / 2, cells.sum(axis=1), (cells**2).sum(axis=1)])
                 parts = [keys[rows], raw[rows], leaves]
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["keys", "raw", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], _BLOCK)
             keys, raw = keys[n:], raw[n:]
 
     def run(batches):
@@ -145,6 +149,33 @@ def _blocks(scale: Scale):
     return run
 
 
+def kept_blocks(rows: DataFrame, scale: Scale) -> RDD:
+    """Blocks of ``rows`` (row id, two hashes, columns) that every pass reads; cached, and recomputed if an executor goes."""
+    ordered = _blocks(scale)
+
+    def run(batches):
+        # the way from a table to an RDD takes bytes one by one, but text as a whole
+        for block in ordered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([binascii.b2a_base64(c[0].as_buffer(), newline=False)], pa.binary()).cast(pa.string()) for c in block], _BLOCK)
+
+    with unmeasured_rows(rows.sparkSession):
+        # the plan is made here, with the setting
+        blocks = rows.mapInArrow(run, ", ".join(f"{c} string" for c in _BLOCK)).rdd
+    return blocks.map(_as_batch).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def without_keys(blocks: RDD) -> RDD:
+    """The same blocks without keys, which only the picks need; these are kept and ``blocks`` no longer."""
+    values = blocks.map(lambda block: block.select(["raw", "leaves"])).persist(StorageLevel.MEMORY_AND_DISK)
+    values.count()
+    blocks.unpersist()
+    return values
+
+
+def _as_batch(block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([binascii.a2b_base64(part)], pa.binary()) for part in block], _BLOCK)
+
+
 def _unpacked(width: int):
     """(keys, raw values) of blocks with ``width`` columns."""
 
@@ -229,7 +260,7 @@ def _as_rows(models, sums) -> pa.RecordBatch:
 
 
 def _added(scale: Scale, models: dict[int, np.ndarray], measure):
-    """A task's sums over its blocks of what ``measure`` gives for the raw values, the standardised ones and the leaves."""
+    """A task's sums over its blocks of what ``measure`` gives for the raw values and the leaves."""
     width = len(scale.mean)
 
     def run(batches):
@@ -237,7 +268,7 @@ def _added(scale: Scale, models: dict[int, np.ndarray], measure):
         for batch in batches:
             for values, cells in zip(batch.column("raw"), batch.column("leaves")):
                 raw = np.frombuffer(values.as_buffer()).reshape(-1, width)
-                parts = measure(raw, scale(raw), np.frombuffer(cells.as_buffer()).reshape(4, -1, width))
+                parts = measure(raw, np.frombuffer(cells.as_buffer()).reshape(4, -1, width))
                 sums = parts if sums is None else [p + q for p, q in zip(sums, parts)]
         if sums is not None:
             yield _as_rows(models, sums)
@@ -275,13 +306,18 @@ def _assigned(scale: Scale, models: dict[int, np.ndarray], whole: bool = False):
     """Per task, model, cluster and column: rows and sum of values; as a ``whole`` also the sum of squares and the rows' squared distances to the centre."""
     sides, each = Sides(models), [(c, Nearest({m: c})) for m, c in models.items()]
 
-    def measure(raw, x, leaves):
-        parts, side = [], np.ones(x.shape[1])
-        middle, reach, total, squares = leaves
-        cells, rest = x[: len(middle) * LEAF].reshape(len(middle), LEAF * x.shape[1]), x[len(middle) * LEAF :]
-        for (centres, nearest), wins in zip(each, sides(middle, reach)):
+    def measure(raw, leaves):
+        parts, width = [], raw.shape[1]
+        side, (middle, reach, total, squares) = np.ones(width), leaves
+        won = list(sides(middle, reach))
+        torn = [~wins.any(axis=0) for wins in won]
+        # only rows that some model compares one by one are standardised
+        some, end = np.logical_or.reduce(torn), len(middle) * LEAF
+        cells = scale(raw[:end].reshape(-1, LEAF * width)[some].reshape(-1, width)).reshape(-1, LEAF * width)
+        rest = scale(raw[end:])
+        for (centres, nearest), wins, mine in zip(each, won, torn):
             n, s = LEAF * wins.sum(axis=1), wins @ total
-            mixed = np.concatenate([cells[~wins.any(axis=0)].reshape(-1, x.shape[1]), rest])
+            mixed = np.concatenate([cells[mine[some]].reshape(-1, width), rest])
             ((mine, gap),) = nearest(mixed)
             near, xx = np.zeros(len(centres)), np.zeros(centres.shape)
             if whole:
@@ -305,7 +341,8 @@ def _separated(scale: Scale, models: dict[int, np.ndarray], whole: dict[int, np.
     """
     nearest = Nearest(models)
 
-    def measure(raw, x, leaves):
+    def measure(raw, leaves):
+        x = scale(raw)
         parts, side, rows = [], np.ones(x.shape[1]), np.arange(len(x))
         for m, (mine, _) in zip(models, nearest(x)):
             label = mine.argmax(axis=0)
@@ -324,35 +361,34 @@ def _separated(scale: Scale, models: dict[int, np.ndarray], whole: dict[int, np.
     return _added(scale, models, measure)
 
 
-def _summed(blocks: DataFrame, run, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+def _summed(blocks: RDD, run, models: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """The tasks' sums over ``blocks`` added up: per model a cluster x column x 4 array."""
-    ddl = "m int, c int, i int, " + ", ".join(f"{s} double" for s in _SUMS)
-    # the passes need no keys
-    added = blocks.select("raw", "leaves").mapInArrow(run, ddl).groupBy("m", "c", "i").agg(*[F.sum(s).alias(s) for s in _SUMS]).toArrow()
-    m, c, i, *found = (added.column(k).to_numpy() for k in ("m", "c", "i", *_SUMS))
-    out = {}
-    for model, centres in models.items():
-        out[model] = np.zeros((*centres.shape, len(_SUMS)))
-        out[model][c[m == model], i[m == model]] = np.column_stack(found)[m == model]
-    return out
+    # every task's sums are in the order of the models
+    added = blocks.mapPartitions(run).map(lambda sums: np.stack([sums.column(s).to_numpy() for s in _SUMS], axis=1)).reduce(np.add)
+    sizes = [centres.size for centres in models.values()]
+    parts = np.split(added, np.cumsum(sizes)[:-1])
+    return {m: part.reshape(*models[m].shape, len(_SUMS)) for m, part in zip(models, parts)}
 
 
-def starting_centres(rows: DataFrame, scale: Scale, most: int, read=_matrices) -> np.ndarray:
+def starting_centres(rows: DataFrame | RDD, scale: Scale, most: int, read=_matrices) -> np.ndarray:
     """Start x place x column: the first k places of a start begin its model of k clusters.
 
-    ``read`` gives the keys and values of ``rows``: rows (row id, two hashes, columns), or blocks of them.
+    ``read`` gives the keys and values of ``rows``: a table (row id, two hashes, columns), or blocks of its rows.
     With fewer distinct rows than places, the last one found is repeated: its cluster stays empty.
     """
     chosen = None
     for place in range(most):
-        found = rows.mapInArrow(_picks(scale, chosen, place, read), _PICK_DDL).groupBy("start").agg(F.min(F.struct("wait", "row", "x")).alias("p"))
-        picked = {r["start"]: r["p"]["x"] for r in found.collect()}
+        run = _picks(scale, chosen, place, read)
+        # a task gives ten rows at most
+        batches = rows.mapPartitions(run).collect() if isinstance(rows, RDD) else rows.mapInArrow(run, _PICK_DDL).toArrow().to_batches()
+        found = sorted(((r["start"], r["wait"], r["row"], r["x"]) for batch in batches for r in batch.to_pylist()), reverse=True)
+        picked = {start: x for start, _, _, x in found}
         new = np.array([picked[s] if s in picked else chosen[s, -1] for s in range(STARTS)])[:, None, :]
         chosen = new if chosen is None else np.concatenate([chosen, new], axis=1)
     return chosen
 
 
-def lloyd(blocks: DataFrame, scale: Scale, models: dict[int, np.ndarray], tolerance: float) -> dict[int, np.ndarray]:
+def lloyd(blocks: RDD, scale: Scale, models: dict[int, np.ndarray], tolerance: float) -> dict[int, np.ndarray]:
     """Centres after Lloyd's steps; a model leaves once its centres move by no more than the tolerance. Empty clusters stay."""
     done, active = {}, dict(models)
     for _ in range(STEPS):
@@ -397,11 +433,11 @@ def segments(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, float
     # digits become numbers in the tasks: conv() would take several times as long as the digest
     hashes = [F.substring(digest, at, 8).alias(f"_row_hash{at}") for at in (1, 9)]
     rows = spread(nums, n).select(ROW_ID, *hashes, *[col(c) for c in columns])
-    # every step reads the blocks; they are cached, and recomputed if an executor goes
-    blocks = rows.mapInArrow(_blocks(scale), _BLOCK_DDL).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = kept_blocks(rows, scale)
     try:
         ks = candidate_ks(n)
-        starts = starting_centres(blocks.select("keys", "raw"), scale, ks[-1], _unpacked(len(columns)))
+        starts = starting_centres(blocks, scale, ks[-1], _unpacked(len(columns)))
+        blocks = without_keys(blocks)
         models = {STARTS * k + s: starts[s, :k] for k in ks for s in range(STARTS)}
         models = lloyd(blocks, scale, models, TOLERANCE * sum(live) / len(live))
         sums = _summed(blocks, _assigned(scale, models, whole=True), models)
