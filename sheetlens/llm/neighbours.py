@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sheetlens.session import drop_staged, ship_package, stage
@@ -102,12 +102,12 @@ def _extended(longest: dict[int, float], pivots, directions):
             if not len(batch):
                 continue
             x = _lifted(_rows(batch.column("embedding")), np.array([longest[g] for g in batch.column("grp").to_pylist()]))
-            places = []
-            for p, d in zip(pivots.value, directions.value):
-                places += [pa.array((x @ p.T).argmax(1).astype(np.int32)), pa.array(x @ d)]
+            cells = np.stack([(x @ p.T).argmax(1) for p in pivots.value], 1).astype(np.int32)
+            places = np.stack([x @ d for d in directions.value], 1).astype(np.float32)
+            bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1])
+            orders = [pa.ListArray.from_arrays(bounds, pa.array(c.ravel())) for c in (cells, places)]
             vec = pa.array([r.tobytes() for r in x], pa.binary())
-            names = [f"{k}{i}" for i in range(len(pivots.value)) for k in ("cell", "place")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("grp"), vec, *places], ["node", "grp", "vec", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("grp"), vec, *orders], ["node", "grp", "vec", "cells", "places"])
 
     return run
 
@@ -120,12 +120,12 @@ def _best_pairs(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare_runs(batches):
-    """Best pairs of one group inside every run of ``RUN`` nodes of a sorted partition; runs overlap by half."""
+    """Best pairs of one order and group inside every run of ``RUN`` nodes of a sorted partition; runs overlap by half."""
 
-    def best(node, grp, x):
+    def best(node, turn, grp, x):
         near = x @ x.T
         np.fill_diagonal(near, -np.inf)
-        near[grp[:, None] != grp] = -np.inf
+        near[(grp[:, None] != grp) | (turn[:, None] != turn)] = -np.inf
         u, v = _best_pairs(near, min(LIST, len(node) - 1))
         s = near[u, v]
         u, v, s = (c[s > -np.inf] for c in (u, v, s))
@@ -135,7 +135,7 @@ def _compare_runs(batches):
     for batch in batches:
         if not len(batch):
             continue
-        more = [batch.column("node").to_numpy(), batch.column("grp").to_numpy(), _packed(batch.column("vec"), np.float32)]
+        more = [*(batch.column(c).to_numpy() for c in ("node", "turn", "grp")), _packed(batch.column("vec"), np.float32)]
         held = more if held is None else [np.concatenate(c) for c in zip(held, more)]
         while len(held[0]) >= 2 * RUN:
             yield best(*(c[:RUN] for c in held))
@@ -147,16 +147,24 @@ def _compare_runs(batches):
         held = [c[RUN // 2 :] for c in held]
 
 
-def _keep_best(edges: DataFrame, by: str, k: int) -> DataFrame:
-    rank = Window.partitionBy(by).orderBy(F.col("s").desc(), "u", "v")
-    return edges.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).drop("r")
+def _merged(edges: DataFrame) -> DataFrame:
+    """(u, v, s, fresh, r, last): the ``LIST`` best of every node's edges in order, each edge once and fresh if all its rows are.
+
+    ``last`` is the score that a new edge of the node has to beat.
+    """
+    # a node's edges meet in one exchange for both steps
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    list_of = Window.partitionBy("u")
+    ranked = once.withColumn("r", F.row_number().over(list_of.orderBy(F.col("s").desc(), "v"))).where(F.col("r") <= LIST)
+    last = F.when(F.count("*").over(list_of) >= LIST, F.min("s").over(list_of)).otherwise(F.lit(float("-inf")))
+    return ranked.withColumn("last", last.cast("float"))
 
 
 def _around(graph: DataFrame, turn: int) -> DataFrame:
     """(u, v, fresh): each node's list, and nodes that list it, new ones first and then by chance."""
     rank = Window.partitionBy("v").orderBy(F.col("fresh").desc(), F.xxhash64(F.lit(turn), "u", "v"))
     back = graph.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
-    return graph.select("u", "v", "fresh").unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    return graph.select("u", "v", "fresh").unionByName(back).repartition("u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
 
 
 def _meet(batches):
@@ -219,26 +227,25 @@ def build_graph(nodes: DataFrame) -> DataFrame:
         pivots.append(_lifted(np.array([r[0] for r in drawn], np.float64), np.array([longest[r[1]] for r in drawn])))
         directions.append(np.random.default_rng(SEED + i).standard_normal(pivots[-1].shape[1]).astype(np.float32))
     shared = spark.sparkContext.broadcast(pivots), spark.sparkContext.broadcast(directions)
-    columns = "".join(f", cell{i} int, place{i} float" for i in range(ORDERS))
-    vectors = stage(nodes.mapInArrow(_extended(longest, *shared), f"node bigint, grp int, vec binary{columns}"), "vectors")
-    first = None
-    for i in range(ORDERS):
-        order = ("grp", f"cell{i}", f"place{i}")
-        dealt = vectors.select("node", "vec", *order).repartitionByRange(*order).sortWithinPartitions(*order)
-        pairs = dealt.select("node", "grp", "vec").mapInArrow(_compare_runs, EDGES)
-        first = pairs if first is None else first.unionByName(pairs)
-    graph = stage(_keep_best(first.groupBy("u", "v").agg(F.max("s").alias("s")), "u", LIST).withColumn("fresh", F.lit(True)), "graph")
+    vectors = stage(nodes.mapInArrow(_extended(longest, *shared), "node bigint, grp int, vec binary, cells array<int>, places array<float>"), "vectors")
+    # all orders are dealt out together
+    turns = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(ORDERS - 1)).alias("turn"), "cells", "places")).alias("o")
+    order = ("turn", "grp", "cell", "place")
+    dealt = vectors.select("node", "vec", "grp", turns).select("node", "vec", "grp", F.col("o.turn").alias("turn"), F.col("o.cells").alias("cell"), F.col("o.places").alias("place"))
+    runs = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "turn", "grp", "vec").mapInArrow(_compare_runs, EDGES)
+    graph = stage(_merged(runs.withColumn("fresh", F.lit(True))), "graph")
     for turn in range(DESCENTS):
-        bars = graph.groupBy("u").agg(F.when(F.count("*") >= LIST, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("last"))
-        listed = vectors.select("node", "vec").join(bars, F.col("node") == F.col("u"), "left").select(F.col("node").alias("v"), "vec", F.coalesce("last", F.lit(float("-inf")).cast("float")).alias("last"))
-        around = _around(graph, turn)
-        lively = around.groupBy("u").agg(F.max("fresh").alias("any")).where("any").select("u")
-        met = around.join(lively, "u", "left_semi").join(listed, "v").select("u", "v", "fresh", "last", "vec")
+        bars = graph.where("r = 1").select("u", "last")
+        none_yet = F.lit(float("-inf")).cast("float")
+        listed = vectors.select("node", "vec").join(bars, F.col("node") == F.col("u"), "left").select(F.col("node").alias("v"), "vec", F.coalesce("last", none_yet).alias("last"))
+        lively = F.max("fresh").over(Window.partitionBy("u"))
+        around = _around(graph, turn).withColumn("lively", lively).where("lively").drop("lively")
+        met = around.join(listed, "v").select("u", "v", "fresh", "last", "vec")
         pairs = met.repartition("u").sortWithinPartitions("u").mapInArrow(_meet, EDGES)
         both = graph.select("u", "v", "s", F.lit(False).alias("fresh")).unionByName(pairs.withColumn("fresh", F.lit(True)))
-        merged = both.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-        after = stage(_keep_best(merged, "u", LIST), "graph")
-        changed = after.where("fresh").count()
+        seen = Observation()
+        after = stage(_merged(both).observe(seen, F.count(F.when(F.col("fresh"), 1)).alias("n")), "graph")
+        changed = seen.get["n"]
         drop_staged(graph)
         graph = after
         if changed <= SETTLED * LIST * n:
@@ -301,25 +308,31 @@ def search_graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> Data
     queries = stage(queries, "queries")
     vectors = nodes.select("node", F.col("embedding").alias("b"))
     asked = queries.select("q", F.col("embedding").alias("a"))
+    columns = ("q", "grp", "node", "followed")
+    kind = "q bigint, grp int, node bigint, followed boolean"
+    best = Window.partitionBy("q", "grp")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        got = pairs.select("q", "node").join(vectors, "node").join(asked, "q").select("q", "node", "a", "b").mapInArrow(_inner(["q", "node"], np.float64), "q bigint, node bigint, s double")
-        return got.join(pairs, ["q", "node"])
+        met = pairs.join(vectors, "node").join(asked, "q").select(*columns, "a", "b")
+        return met.mapInArrow(_inner(list(columns), np.float64), f"{kind}, s double")
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        """The ``BEAM`` best; of those not followed yet, the best ``FOLLOW`` are next."""
+        top = pairs.withColumn("r", F.row_number().over(best.orderBy(F.col("s").desc(), "node"))).where(F.col("r") <= BEAM)
+        turn = F.row_number().over(best.orderBy("followed", "r"))
+        return stage(top.withColumn("next", ~F.col("followed") & (turn <= FOLLOW)).drop("r"), "beam")
 
-    kind = "q bigint, grp int, node bigint, followed boolean"
     own = queries.where(F.col("node").isNotNull()).select("q", "grp", "node", F.lit(False).alias("followed"))
     start = own.unionByName(queries.select("q", "embedding").mapInArrow(_enter(seeds, 4), kind)).groupBy("q", "grp", "node").agg(F.max("followed").alias("followed"))
-    columns = ("q", "grp", "node", "s", "followed")
-    beam = stage(scored(stage(start, "start")).select(*columns), "beam")
-    best = Window.partitionBy("q", "grp").orderBy(F.col("s").desc(), "node")
+    beam = kept(scored(start))
     for _ in range(ROUNDS):
-        front = beam.where("NOT followed").withColumn("r", F.row_number().over(best)).where(F.col("r") <= FOLLOW).select("q", "grp", "node")
-        reached = front.join(edges, F.col("node") == F.col("u")).select("q", "grp", F.col("v").alias("node")).distinct()
-        unknown = stage(reached.join(beam.select("q", "node"), ["q", "node"], "left_anti"), "unknown")
-        known = beam.join(front.withColumn("now", F.lit(True)), ["q", "grp", "node"], "left").select("q", "grp", "node", "s", (F.col("followed") | F.coalesce("now", F.lit(False))).alias("followed"))
-        all_ = known.unionByName(scored(unknown).withColumn("followed", F.lit(False)).select(*columns))
-        after = stage(all_.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).drop("r"), "beam")
-        drop_staged(beam, unknown)
+        front = beam.where("next").select("q", "grp", "node")
+        reached = front.join(edges, F.col("node") == F.col("u")).select("q", "grp", F.col("v").alias("node"))
+        # a node is in one group, so (q, node) tells the same pairs apart
+        unknown = reached.repartition("q", "node").dropDuplicates(["q", "node"]).join(beam.select("q", "node"), ["q", "node"], "left_anti")
+        known = beam.withColumn("followed", F.col("followed") | F.col("next")).select(*columns, "s")
+        after = kept(known.unionByName(scored(unknown.withColumn("followed", F.lit(False)))))
+        drop_staged(beam)
         beam = after
     return beam.select("q", "node", "s")
 
@@ -340,14 +353,11 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     asking = keyed.where("asks").select("node").distinct()
     queries = plain.join(asking, "node", "left_semi").select(F.col("node").alias("q"), "embedding", "node", "grp")
     near = search_graph(plain, edges, queries)
-    # exact scores, then the first k + 1 rows of every vector: one of them may be the query itself
-    originals = plain.select("node", F.col("embedding").alias("b"))
-    exact = near.select("q", "node").join(originals, "node").join(plain.select(F.col("node").alias("q"), F.col("embedding").alias("a")), "q")
-    exact = exact.select("q", "node", "a", "b").mapInArrow(_inner(["q", "node"], np.float64), "q bigint, node bigint, s double")
+    # the first k + 1 rows of every vector: one of them may be the query itself
     first = Window.partitionBy("node").orderBy("vec_id")
     members = keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("node", "vec_id")
     order = (F.col("s").desc(), F.col("vec_id"))
-    listed = exact.join(members, "node").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("r") <= k + 1)
+    listed = near.join(members, "node").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("r") <= k + 1)
     salted = listed.select("q", "vec_id", "s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     askers = keyed.where("asks").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = askers.join(salted, ["q", "salt"]).where(F.col("vec_id") != F.col("query_id"))
