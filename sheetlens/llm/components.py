@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating star steps over Spark joins."""
+"""Connected components of an edge table, by alternating star steps over Spark joins and contraction inside tasks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from sheetlens.session import drop_staged, ship_package, stage
 
 SALTS = 8
 MAX_ROUNDS = 60
+#: edges that one task contracts when there are no more left
+CONTRACTED = 1 << 18
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -58,15 +60,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (two long columns); component is the smallest node reached.
 
     Tasks first replace their edges by stars, which keeps components as they are and holds no more than a task's own edges.
-    Then each round links a node's larger neighbours to its smallest one, then its smaller neighbours likewise, and writes
-    the new edges to the shared folder, until they stay the same. Rounds grow with the logarithm of a component's
-    diameter. No node's neighbours are gathered in one place. Edges with a null end and loops are left out.
+    Up to ``CONTRACTED`` edges that are left are contracted by one task, without joins. Of more, each round links a node's
+    larger neighbours to its smallest one, then its smaller neighbours likewise, and writes the new edges to the shared
+    folder, until they stay the same. Rounds grow with the logarithm of a component's diameter. No node's neighbours are
+    gathered in one place. Edges with a null end and loops are left out.
     """
     ship_package(edges.sparkSession)
     a, b = (F.col(f"`{c}`").cast("bigint") for c in edges.columns[:2])
     own = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now, seen = _staged(own.mapInArrow(_contract, "u bigint, v bigint").distinct())
     for _ in range(MAX_ROUNDS):
+        if seen[0] <= CONTRACTED:
+            after = stage(now.coalesce(1).mapInArrow(_contract, "u bigint, v bigint"), "edges")
+            drop_staged(now)
+            now = after
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = _with_least(large)

@@ -99,6 +99,24 @@ def test_connected_components(spark):
     assert out == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+@pytest.mark.parametrize("contracted", [1 << 18, 40])
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch, contracted):
+    rounds, star = [], connected_components.__globals__["_with_least"]
+    monkeypatch.setitem(connected_components.__globals__, "_with_least", lambda edges: rounds.append(1) or star(edges))
+    monkeypatch.setitem(connected_components.__globals__, "CONTRACTED", contracted)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 160) if i % 41] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    out = dict(connected_components(spark.createDataFrame(edges, "x bigint, y bigint").repartition(7)).collect())
+    kept = [e for e in edges if e[0] != e[1]]
+    nodes = sorted({x for e in kept for x in e})
+    least = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in kept:
+            least[a] = least[b] = min(least[a], least[b])
+    assert out == least
+    assert bool(rounds) == (contracted == 40)
+
+
 def test_pieces_of_a_large_element_stay_one_star(monkeypatch):
     import numpy as np
     import pyarrow as pa
