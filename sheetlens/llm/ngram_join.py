@@ -12,12 +12,15 @@ sorts that way. The join finds all links with ``den * intersection >= num * unio
    made of copies of one text: stars around one class tie it together. Pairs and stars make cells; no link leaves one.
 3. The whole sets of a cell go into one prefix tree, which is searched for all of them at once (``trie.py``). A cell
    beyond ``BLOCK`` sets is dealt out in blocks; each block also holds the same few leaders. Components then show which
-   sets are not yet with the cell's largest component, and only those are searched for in the trees of all blocks. Pairs
-   inside one component need no second look, so large groups of near copies cost no pairs.
+   sets are not yet with the cell's largest component, and only those are searched for in the trees of all sets whose
+   size allows a link, in blocks of ``SECOND_BLOCK``. Pairs inside one component need no second look, so large groups of
+   near copies cost no pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,6 +35,8 @@ SKETCH_BITS = 18
 SLICES = 16
 SMALL = 16
 BLOCK = 256
+#: Sets of a block when those outside a cell's largest component are looked for: what is copied falls with it.
+SECOND_BLOCK = 1024
 LEADERS = 16
 BROADCAST_ROWS = 500_000
 #: Rows of one element that are held before its star goes out in pieces.
@@ -285,26 +290,26 @@ def _join_cells(members: DataFrame, num: int, den: int) -> DataFrame:
         drop_staged(sized)
         return found
     labels = connected_components(found)
+    kind = F.floor(F.log(F.size("elements").cast("double")) / F.lit(math.log(den / num) + 1e-9)).cast("int") if num < den else F.size("elements")
     named = stage(
-        large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
+        large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("kind", kind), "labelled"
     )
     by_size = Window.partitionBy("cell").orderBy(F.col("c").desc(), "component")
     main = named.groupBy("cell", "component").agg(F.count("*").alias("c")).withColumn("r", F.row_number().over(by_size)).where("r = 1")
-    others = named.join(main.select("cell", "component"), ["cell", "component"], "left_anti")
-    # the others of a cell in chunks of about BLOCK sets, against every block of the cell
-    chunked = stage(
-        others.join(others.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("chunks")), "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("at"), F.col("chunks"))),
-        "others",
-    )
-    of_cell = chunked.select("cell", "chunks").distinct()
-    base = named.join(of_cell, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    probes = chunked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    second = base.select("cell", F.pmod("at", blocks).alias("block"), "chunk", "node", "elements", F.lit(False).alias("probe")).unionByName(
-        probes.select("cell", "block", "chunk", "node", "elements", F.lit(True).alias("probe"))
+    others = stage(named.join(main.select("cell", "component"), ["cell", "component"], "left_anti"), "others")
+    # sets that link are of one kind of size or of two next to each other, so each of the others meets three kinds of its cell
+    of_kind = named.groupBy("cell", "kind").agg(F.ceil(F.count("*") / F.lit(SECOND_BLOCK)).cast("int").alias("blocks"))
+    to_kinds = others.withColumn("kind", F.explode(F.array(*[F.col("kind") + step for step in (-1, 0, 1)]))).join(of_kind, ["cell", "kind"])
+    in_chunks = to_kinds.groupBy("cell", "kind").agg(F.ceil(F.count("*") / F.lit(SECOND_BLOCK)).cast("int").alias("chunks"))
+    # the others that a kind meets in chunks of about SECOND_BLOCK sets, against every block of the kind
+    chunk, block = F.pmod(F.xxhash64("at"), F.col("chunks")), F.pmod("at", F.col("blocks"))
+    base = named.join(of_kind, ["cell", "kind"]).join(in_chunks, ["cell", "kind"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    probes = to_kinds.join(in_chunks, ["cell", "kind"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    second = base.select("cell", "kind", block.alias("block"), F.col("chunk").cast("bigint"), "node", "elements", F.lit(False).alias("probe")).unionByName(
+        probes.select("cell", "kind", F.col("block").cast("bigint"), chunk.alias("chunk"), "node", "elements", F.lit(True).alias("probe"))
     )
-    more = stage(second.groupBy("cell", "block", "chunk").applyInArrow(search, EDGE), "links")
-    drop_staged(sized, named, chunked)
+    more = stage(second.groupBy("cell", "kind", "block", "chunk").applyInArrow(search, EDGE), "links")
+    drop_staged(sized, named, others)
     return found.unionByName(more)
 
 
