@@ -106,25 +106,41 @@ def _matrices(batches):
 _BLOCK = ["keys", "raw", "leaves"]
 
 
-def _tree_order(x: np.ndarray) -> np.ndarray:
-    """Order of the rows by halving on the widest column, down to leaves; their number is a leaf's times a power of two."""
-    order, columns, cells = np.arange(len(x)), np.ascontiguousarray(x.T), 1
-    while len(x) // cells > LEAF:
+def _tree_order(columns: np.ndarray) -> np.ndarray:
+    """Order of the rows by halving on the widest column, down to leaves; their number is a leaf's times a power of two.
+
+    ``columns`` (column x row) are put in that order on the way, one column at a time.
+    """
+    order, cells = np.arange(columns.shape[1]), 1
+    while len(order) // cells > LEAF:
         cut = columns.reshape(len(columns), cells, -1)
         widest = (cut.max(axis=2) - cut.min(axis=2)).argmax(axis=0)
         size = cut.shape[2]
-        at = np.argpartition(cut[widest, np.arange(cells)], size // 2, axis=1) + size * np.arange(cells)[:, None]
-        order, columns, cells = order[at.ravel()], columns[:, at.ravel()], 2 * cells
+        at = np.argpartition(cut[widest, np.arange(cells)], size // 2, axis=1)
+        at += size * np.arange(cells)[:, None]
+        at = at.ravel()
+        order, cells = order[at], 2 * cells
+        for column in columns:
+            column[:] = column[at]
     return order
 
 
 def _blocks(scale: Scale):
-    """Rows as blocks in the order of their trees; the last few rows of a task are a block without leaves."""
+    """Rows as blocks in the order of their trees; the last few rows of a task are a block without leaves.
+
+    A task holds ``ORDERED`` rows once as they came and once standardised, while it puts them in order.
+    """
+
+    def standardised(raw):
+        columns = np.empty(raw.shape[::-1])
+        for begin in range(0, len(raw), BLOCK):
+            columns[:, begin : begin + BLOCK] = scale(raw[begin : begin + BLOCK]).T
+        return columns
 
     def ordered(keys, raw):
         while len(raw):
             n = LEAF << ((len(raw) // LEAF).bit_length() - 1) if len(raw) >= LEAF else len(raw)
-            order = _tree_order(scale(raw[:n])) if n >= LEAF else np.arange(n)
+            order = _tree_order(standardised(raw[:n])) if n >= LEAF else np.arange(n)
             for begin in range(0, n, BLOCK):
                 rows = order[begin : begin + BLOCK]
                 cells = scale(raw[rows][: len(rows) // LEAF * LEAF]).reshape(-1, LEAF, raw.shape[1])
@@ -135,16 +151,21 @@ def _blocks(scale: Scale):
             keys, raw = keys[n:], raw[n:]
 
     def run(batches):
-        held, count = [], 0
-        for part in _matrices(batches):
-            held.append(part)
-            count += len(part[1])
-            if count >= ORDERED:
-                keys, raw = map(np.concatenate, zip(*held))
-                yield from ordered(keys[:ORDERED], raw[:ORDERED])
-                held, count = [(keys[ORDERED:], raw[ORDERED:])], count - ORDERED
+        keys = raw = None
+        count = 0
+        for new_keys, new_raw in _matrices(batches):
+            if raw is None:
+                # pages are taken as rows come
+                keys, raw = np.empty((ORDERED, 3), np.int64), np.empty((ORDERED, new_raw.shape[1]))
+            while len(new_raw):
+                n = min(ORDERED - count, len(new_raw))
+                keys[count : count + n], raw[count : count + n] = new_keys[:n], new_raw[:n]
+                new_keys, new_raw, count = new_keys[n:], new_raw[n:], count + n
+                if count == ORDERED:
+                    yield from ordered(keys, raw)
+                    count = 0
         if count:
-            yield from ordered(*map(np.concatenate, zip(*held)))
+            yield from ordered(keys[:count], raw[:count])
 
     return run
 

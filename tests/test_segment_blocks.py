@@ -1,5 +1,7 @@
 """Blocks of k-means as an RDD: every row once, sums as over the rows, and no more work than the leaves call for."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -56,6 +58,24 @@ def test_rows_of_decided_leaves_are_left_alone():
     assert sums.column("n").to_pylist() == [2048.0] * 4
 
 
+def test_ordering_holds_rows_about_twice():
+    rows, part = segment.ORDERED, 1 << 13
+    random = np.random.default_rng(7)
+
+    def batches():
+        for begin in range(0, rows + 5, part):
+            ids = np.arange(begin, min(begin + part, rows + 5))
+            yield pa.RecordBatch.from_arrays([pa.array(ids)] * 3 + [pa.array(c) for c in random.normal(size=(6, len(ids)))], ["id", "h1", "h9", *"abcdef"])
+
+    tracemalloc.start()
+    sizes = [len(keys.as_py()) // 24 for block in segment._blocks(segment.Scale([0.0] * 6, [1.0] * 6))(batches()) for keys in block.column("keys")]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(sizes) == rows + 5
+    # keys and values of the rows, and the values once more: 9 + 6 numbers a row; before the rows were held three times and more
+    assert most < 8 * 15 * rows * 1.6
+
+
 def test_setting_for_rows_is_put_back(spark):
     before = spark.conf.get(session.BATCH_BYTES_KEY)
     with session.unmeasured_rows(spark), session.unmeasured_rows(spark):
